@@ -87,11 +87,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
 
 
-def annotate(df: DataFrame, text: str, fields: T.StructType, worker: Callable[[], Callable[[pa.Array], list]], keep_text: bool = False) -> DataFrame:
+def annotate(df: DataFrame, text: str, fields: T.StructType, worker: Callable[[], Callable[[pa.Array], list]], keep_text: bool = False, limit: int = STEP_BYTES) -> DataFrame:
     """``df`` plus the columns ``fields`` that a Python worker derives from each text.
 
     ``worker()`` is called once a task and gives a function from an Arrow array of
-    whole texts to one Arrow array a field.  Batches are cut to about ``STEP_BYTES``
+    whole texts to one Arrow array a field.  Batches are cut to about ``limit`` bytes
     of text, so memory stays flat.  Columns of ``df`` named like a field are replaced.
     """
     kept = [c for c in df.columns if c not in fields.names and (keep_text or c != text)]
@@ -103,7 +103,7 @@ def annotate(df: DataFrame, text: str, fields: T.StructType, worker: Callable[[]
         judge = worker()
         for batch in batches:
             texts = batch.column(len(kept))
-            for a, b in steps(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+            for a, b in steps(pc.binary_length(texts).to_numpy(zero_copy_only=False), limit):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *judge(texts.slice(a, b - a))], names=names)
 

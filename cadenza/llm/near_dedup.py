@@ -38,6 +38,8 @@ BANDS, ROWS = 28, 5
 COORDINATES = BANDS * ROWS
 #: Darts of a signature: enough that all coordinates are hit but once in 150 documents, which throw on.
 DARTS = COORDINATES * (np.log(COORDINATES) + 5)
+#: Bytes of text sketched at once; its darts take some hundred times as much.
+STEP = 1 << 20
 #: Darts of an element drawn at once.
 DRAW = 8
 #: Documents and shingles that one checking task holds of a piece.
@@ -190,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     rows with one id share its class.  An empty table gives an empty result.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sketch = stored(annotate(slim, "text", SKETCH, sketcher), "sketch")
+    sketch = stored(annotate(slim, "text", SKETCH, sketcher, limit=STEP), "sketch")
     whole = sketch.where(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = stored(
         whole.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "keys")).alias("r")).select("h1", "h2", F.col("r.id").alias("rep"), F.col("r.n").alias("size"), F.col("r.keys").alias("keys")),
