@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,9 @@ class MergeTable:
         return out
 
 
+@lru_cache(1)
 def counter(path: str) -> Callable[[pa.Array], list]:
+    """The counter of a file in this process; its memory of pre-tokens outlives the task."""
     table = MergeTable(path)
     special = regex.compile("|".join(map(regex.escape, table.special)))
     pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -109,7 +112,7 @@ def counter(path: str) -> Callable[[pa.Array], list]:
             split.append((len(parts) - 1, [w for p in parts for w in words_of(p)]))
         if len(known) > REMEMBERED:
             known = {}
-        new = list({w for _, ws in split for w in ws if w not in known})
+        new = list(set().union(*(ws for _, ws in split)).difference(known))
         if new:
             known.update(zip(new, table.count([w.encode() for w in new]).tolist(), strict=True))
         n = [k + sum(map(known.__getitem__, ws)) for k, ws in split]
