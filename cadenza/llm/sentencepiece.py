@@ -30,7 +30,7 @@ from cadenza.llm.common import annotate, read
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose pieces a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 800_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 FIELDS = T.StructType(
     [T.StructField("n_bytes", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
@@ -70,7 +70,9 @@ class PieceModel:
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
-            fields = list(proto(f.read()))
+            data = f.read()
+        fields = list(proto(data))
+        self.name = hashlib.sha256(data).hexdigest()
         pieces = []
         for number, value in fields:
             if number == 1:
@@ -188,8 +190,8 @@ class PieceModel:
         place = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return order[place], np.repeat(self.long, count)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The numbers of each word's pieces."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words' pieces, and the offsets of the words among them."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.frombuffer("\0".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1
@@ -212,19 +214,21 @@ class PieceModel:
             rest = np.flatnonzero(~ok)
             ok[rest] = self.holds(last[s[rest]], p[rest])
             last[end[a:b][ok]] = p[ok]
-        out, tail, size = [], last.tolist(), self.sizes.tolist()
-        for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
-            e, own = a + n, []
-            while e > a:
-                own.append(tail[e])
-                e -= size[tail[e]]
-            out.append(own[::-1])
-        return out
+        # back from the ends, all words in step
+        found, of = [], []
+        open_, at_ = np.flatnonzero(sizes > 0), (first + sizes)[sizes > 0]
+        while len(open_):
+            p = last[at_]
+            found.append(p)
+            of.append(open_)
+            at_ = at_ - self.sizes[p]
+            more = at_ > first[open_]
+            open_, at_ = open_[more], at_[more]
+        flat, of = np.concatenate(found[::-1]), np.concatenate(of[::-1])
+        return flat[np.argsort(of, kind="stable")], np.append(0, np.cumsum(np.bincount(of, minlength=len(words))))
 
     def pieces_of(self, word: str, numbers: list[int]) -> list[int]:
         """Vocabulary ids; a character without a piece becomes its UTF-8 bytes."""
-        if 0 not in numbers:
-            return self.ids[numbers].tolist()
         out, at = [], 0
         for n in numbers:
             out += [self.byte_ids[b] for b in word[at].encode()] if n == 0 else [int(self.ids[n])]
@@ -256,7 +260,18 @@ def order_of_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
+_encoders: dict[str, Callable[[list[str]], list[np.ndarray]]] = {}
+
+
 def encoder(model: PieceModel) -> Callable[[list[str]], list[np.ndarray]]:
+    """The model's encoder in this process; its memory of words outlives the task."""
+    if model.name not in _encoders:
+        _encoders.clear()
+        _encoders[model.name] = new_encoder(model)
+    return _encoders[model.name]
+
+
+def new_encoder(model: PieceModel) -> Callable[[list[str]], list[np.ndarray]]:
     """From texts to their ids, with a memory of words."""
     split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
     known: dict[str, bytes] = {}
@@ -266,15 +281,17 @@ def encoder(model: PieceModel) -> Callable[[list[str]], list[np.ndarray]]:
         words = [split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(known) > REMEMBERED:
             known = {}
-        new = list({w for ws in words for w in ws if w not in known})
-        plain = [w for w in new if not w.startswith(MARK * 2) and "\0" not in w]
-        for w in new:
-            if w.startswith(MARK * 2) or "\0" in w:
-                known[w] = np.array(model.merged_ids(w), np.int32).tobytes()
+        new = set().union(*words).difference(known)
+        odd = {w for w in new if w.startswith(MARK * 2) or "\0" in w}
+        known.update((w, np.array(model.merged_ids(w), np.int32).tobytes()) for w in odd)
+        plain = list(new - odd)
         if plain:
-            for w, numbers in zip(plain, model.encode_words(plain), strict=True):
-                known[w] = np.array(model.pieces_of(w, numbers), np.int32).tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]), np.int32) for ws in words]
+            flat, at = model.encode_words(plain)
+            data, bounds = model.ids[flat].astype(np.int32).tobytes(), (4 * at).tolist()
+            known.update(zip(plain, (data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
+            for k in np.unique(np.searchsorted(at, np.flatnonzero(flat == 0), side="right") - 1).tolist():
+                known[plain[k]] = np.array(model.pieces_of(plain[k], flat[at[k] : at[k + 1]].tolist()), np.int32).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in words]
 
     return encode
 
