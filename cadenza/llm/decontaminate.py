@@ -155,8 +155,8 @@ def hits(block: Block, texts: list[str | None]) -> tuple[np.ndarray, list[np.nda
             found[r].add(block.ids[block.item[k]])
     hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
     rows, starts = np.unique(shard.row[hit], return_index=True)
-    for r, x in zip(rows.tolist(), np.split(shard.at[hit], starts[1:]), strict=True):
-        spans[r] = x
+    for r, a, b in zip(rows.tolist(), starts.tolist(), [*starts[1:].tolist(), len(hit)], strict=False):
+        spans[r] = shard.at[hit[a:b]]
     return shard.counts, spans, found
 
 
