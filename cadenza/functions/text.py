@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalize_value(c: Column) -> Column:
@@ -55,7 +56,7 @@ def unwrap_bytes(c: Column) -> Column:
     return F.regexp_replace(c, r"^b(['\"])(.*)\1$", "$2")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """NFKD without what is not ASCII."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
@@ -66,7 +67,7 @@ def match_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(ascii_fold(c)), r"\W+", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity, 0 to 1, in the given order."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -82,7 +83,7 @@ def token_set(a: str, b: str) -> float:
     return max(SequenceMatcher(None, x, y).ratio() for x, y in pairs if x or y) if left or right else 0.0
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 to 100: the best ratio among the shared tokens and either side's sorted tokens."""
     return pd.Series([None if x is None or y is None else round(100 * token_set(x, y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
