@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,8 +66,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch on its way to a worker.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def steps(lengths: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
@@ -87,12 +92,50 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
 
 
-def annotate(df: DataFrame, text: str, fields: T.StructType, worker: Callable[[], Callable[[pa.Array], list]], keep_text: bool = False, limit: int = STEP_BYTES) -> DataFrame:
+#: What a worker process keeps from task to task, by operator; only one operator's at a time.
+_memories: dict[str, object] = {}
+
+
+def remembered(name: str, build: Callable[[], object]) -> object:
+    """``build()`` once in this process for as long as no other operator runs in it."""
+    if name not in _memories:
+        _memories.clear()
+        _memories[name] = build()
+    return _memories[name]
+
+
+def tidy(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Iterator], Iterator]:
+    """A worker function that drops other operators' memories before and hands freed memory back to the system after it ran."""
+
+    def trim() -> None:
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    def tidied(batches: Iterator) -> Iterator:
+        if others := [n for n in _memories if n != keep]:
+            for name in others:
+                del _memories[name]
+            gc.collect()
+            trim()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by bytes as well, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def annotate(df: DataFrame, text: str, fields: T.StructType, worker: Callable[[], Callable[[pa.Array], list]], keep_text: bool = False, limit: int = STEP_BYTES, memory: str = "") -> DataFrame:
     """``df`` plus the columns ``fields`` that a Python worker derives from each text.
 
     ``worker()`` is called once a task and gives a function from an Arrow array of
     whole texts to one Arrow array a field.  Batches are cut to about ``limit`` bytes
-    of text, so memory stays flat.  Columns of ``df`` named like a field are replaced.
+    of text, so memory stays flat.  ``memory`` names what the worker remembers.  Columns of ``df`` named like a field are replaced.
     """
     kept = [c for c in df.columns if c not in fields.names and (keep_text or c != text)]
     out = T.StructType([df.schema[c] for c in kept] + list(fields))
@@ -107,7 +150,8 @@ def annotate(df: DataFrame, text: str, fields: T.StructType, worker: Callable[[]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *judge(texts.slice(a, b - a))], names=names)
 
-    return plain.mapInArrow(run, out)
+    small_batches(df.sparkSession)
+    return plain.mapInArrow(tidy(run, memory), out)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, max_bytes: int) -> list[tuple[str, int]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import read, steps
+from cadenza.llm.common import read, small_batches, steps, tidy
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -194,6 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     schema = T.StructType([docs.schema[c] for c in kept])
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"), F.array().cast("array<bigint>").alias("__hit"), F.array().cast("array<string>").alias("__items"))
     blocks = list(blocks_of(benchmark, item, item_text))
+    small_batches(spark)
     for k, block in enumerate(blocks):
         last = k + 1 == len(blocks)
         texts = [T.StructField("__text", T.StringType())] if keep_text or not last else []
@@ -221,7 +222,7 @@ def scan(block, width: int, with_text: bool, last: bool, names: list[str]) -> Ca
                     columns += [pa.array([x.tolist() for x in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return run
+    return tidy(run)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

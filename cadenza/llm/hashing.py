@@ -6,7 +6,7 @@ import numpy as np
 
 SHINGLE = 5
 #: Bytes hashed at once; longer texts are hashed piece by piece, cut at a space.
-PIECE = 4 << 20
+PIECE = 1 << 20
 _r = np.random.default_rng(20240229)
 LETTER = _r.integers(1, 2**64, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1

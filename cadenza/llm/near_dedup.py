@@ -39,7 +39,7 @@ COORDINATES = BANDS * ROWS
 #: Darts of a signature: enough that all coordinates are hit but once in 150 documents, which throw on.
 DARTS = COORDINATES * (np.log(COORDINATES) + 5)
 #: Bytes of text sketched at once; its darts take some hundred times as much.
-STEP = 1 << 20
+STEP = 384 << 10
 #: Darts of an element drawn at once.
 DRAW = 8
 #: Documents and shingles that one checking task holds of a piece.

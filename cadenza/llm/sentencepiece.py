@@ -25,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cadenza.llm.common import annotate, read
+from cadenza.llm.common import annotate, read, remembered, tidy
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose pieces a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
+#: Words indexed at once, which bounds the memory of the suffix array and the edges.
+INDEXED = 10_000
+CODE_BITS = 21
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 FIELDS = T.StructType(
     [T.StructField("n_bytes", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
@@ -116,6 +119,8 @@ class PieceModel:
         self.long = np.arange(len(letters) + 1, n)
         self.chars = np.frombuffer("".join(longer).encode("utf-32-le"), np.uint32).astype(np.int64)
         self.at = np.cumsum(self.sizes[self.long]) - self.sizes[self.long]
+        heads = [[ord(c) for c in p[:3]] for p in longer]
+        self.head_low, self.head_high = (np.array([sum(c << CODE_BITS * (2 - i) for i, c in enumerate(h + [fill] * (3 - len(h)))) for h in heads], np.int64) for fill in (0, (1 << CODE_BITS) - 1))
         self.letter_codes = np.array([ord(p) for p in letters], np.int64)
 
     def merge(self, text: str, without: str | None = None) -> list[str]:
@@ -170,8 +175,10 @@ class PieceModel:
         order = order_of_suffixes(codes, deep)
         padded = np.append(codes, np.zeros(deep + 1, np.int64))
         size = self.sizes[self.long]
-        lo, hi = np.zeros(len(size), np.int64), np.full(len(size), len(codes), np.int64)
-        for d in range(deep):
+        # the first three characters in one search
+        heads = padded[order] << 2 * CODE_BITS | padded[order + 1] << CODE_BITS | padded[order + 2]
+        lo, hi = np.searchsorted(heads, self.head_low, "left"), np.searchsorted(heads, self.head_high, "right")
+        for d in range(3, deep):
             live = np.flatnonzero((size > d) & (lo < hi))
             if not len(live):
                 break
@@ -260,15 +267,13 @@ def order_of_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
-_encoders: dict[str, Callable[[list[str]], list[np.ndarray]]] = {}
+MEMORY = "sentencepiece"
 
 
 def encoder(model: PieceModel) -> Callable[[list[str]], list[np.ndarray]]:
     """The model's encoder in this process; its memory of words outlives the task."""
-    if model.name not in _encoders:
-        _encoders.clear()
-        _encoders[model.name] = new_encoder(model)
-    return _encoders[model.name]
+    name, encode = remembered(MEMORY, lambda: (model.name, new_encoder(model)))
+    return encode if name == model.name else new_encoder(model)
 
 
 def new_encoder(model: PieceModel) -> Callable[[list[str]], list[np.ndarray]]:
@@ -284,8 +289,9 @@ def new_encoder(model: PieceModel) -> Callable[[list[str]], list[np.ndarray]]:
         new = set().union(*words).difference(known)
         odd = {w for w in new if w.startswith(MARK * 2) or "\0" in w}
         known.update((w, np.array(model.merged_ids(w), np.int32).tobytes()) for w in odd)
-        plain = list(new - odd)
-        if plain:
+        every = list(new - odd)
+        for i in range(0, len(every), INDEXED):
+            plain = every[i : i + INDEXED]
             flat, at = model.encode_words(plain)
             data, bounds = model.ids[flat].astype(np.int32).tobytes(), (4 * at).tolist()
             known.update(zip(plain, (data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
@@ -320,7 +326,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep_text: bo
         run = encoder(shared.value)
         return lambda texts: [pa.array([x.tolist() for x in run(texts.to_pylist())], pa.list_(pa.int32()))]
 
-    return annotate(docs, text, IDS, worker, keep_text)
+    return annotate(docs, text, IDS, worker, keep_text, memory=MEMORY)
 
 
 def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -334,7 +340,7 @@ def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", text: str = "te
             texts = pa.array([shared.value.decode(x or []) for x in b.column(len(kept)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=to.names)
 
-    return docs.select(*[f"`{c}`" for c in kept], ids).mapInArrow(run, to)
+    return docs.select(*[f"`{c}`" for c in kept], ids).mapInArrow(tidy(run, MEMORY), to)
 
 
 def round_trips(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
@@ -342,7 +348,7 @@ def round_trips(docs: DataFrame, model: PieceModel, text: str = "text") -> DataF
     32-bit ids) and ``round_trip``: whether decoding gives the text back (a space mark in
     it as a space)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return annotate(docs, text, FIELDS, lambda: judge_round_trips(shared.value))
+    return annotate(docs, text, FIELDS, lambda: judge_round_trips(shared.value), memory=MEMORY)
 
 
 def production_model() -> PieceModel:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import annotate, read
+from cadenza.llm.common import annotate, read, remembered
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -91,9 +90,16 @@ class MergeTable:
         return out
 
 
-@lru_cache(1)
+MEMORY = "token counts"
+
+
 def counter(path: str) -> Callable[[pa.Array], list]:
     """The counter of a file in this process; its memory of pre-tokens outlives the task."""
+    name, count = remembered(MEMORY, lambda: (path, new_counter(path)))
+    return count if name == path else new_counter(path)
+
+
+def new_counter(path: str) -> Callable[[pa.Array], list]:
     table = MergeTable(path)
     special = regex.compile("|".join(map(regex.escape, table.special)))
     pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -127,7 +133,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
     Null counts as empty: no bytes, no tokens.  Special strings inside a text are one
     token each, as the library has it by default.  Rows are independent.
     """
-    out = annotate(docs, text, FIELDS, lambda: counter(tokenizer_path))
+    out = annotate(docs, text, FIELDS, lambda: counter(tokenizer_path), memory=MEMORY)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
