@@ -30,9 +30,9 @@ from cadenza.llm.common import annotate, read, remembered, tidy
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose pieces a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: Words indexed at once, which bounds the memory of the suffix array and the edges.
-INDEXED = 10_000
+INDEXED = 12_000
 CODE_BITS = 21
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 FIELDS = T.StructType(
