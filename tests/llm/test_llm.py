@@ -251,6 +251,21 @@ def test_passages(spark):
     assert left[1] == made[1] and left[2] == made[2][:7] + made[2][67:] and left[3] == made[3][60:] and left[4] == made[4]
 
 
+def test_passage_behind_a_shorter_line(spark):
+    """The smallest document has most of a passage, too little to share it, as do many others; two share the whole."""
+    r = random.Random(7)
+    own = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
+    made = {}
+    for k in range(10):
+        shared = own(50)
+        line = shared[3:47]
+        made |= {10 * k: own(30) + line + own(30), 10 * k + 1: own(9) + line + own(40), 10 * k + 2: own(20) + shared + own(5), 10 * k + 3: own(4) + line + own(60) + shared}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in substring_dedup.substring_dedup(df).collect()}
+    assert {i: x["class_id"] for i, x in got.items()} == {i: i - 1 if i % 10 == 3 else i for i in made}
+    assert all(x["spans"] == ("108-158" if i % 10 == 3 else "") and x["n_links"] == (i % 10 > 1) for i, x in got.items())
+
+
 @pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.9), (quality_classifier, "quality", 0.85)])
 def test_held_out_accuracy(spark, module, label, least):
     sf = "/root/testdata/sf0.01"
