@@ -286,3 +286,59 @@ def test_pipeline(spark, docs, texts):
         if k < 4:
             assert df.columns == docs.columns
     assert df.where("not round_trip").count() == 0
+
+
+def edited(r: random.Random, n: int, at: int, cut: int, put: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` words, and the same with ``cut`` words from ``at`` replaced by ``put`` others."""
+    w = np.array([r.getrandbits(63) for _ in range(n + put)], np.uint64)
+    return w[:n], np.concatenate((w[:at], w[n:], w[at + cut : n]))
+
+
+def test_passages_over_long_edits():
+    r = random.Random(11)
+    both = [(0, 100)]
+    cases = {(4, 4): both, (5, 5): both, (6, 6): both, (7, 7): [], (0, 15): both, (0, 16): [(47, 100)], (10, 0): both, (13, 0): [], (3, 10): both}
+    for (cut, put), spans in cases.items():
+        one, two = edited(r, 100, 47, cut, put)
+        assert substring_dedup.passages(one, two) == spans, (cut, put)
+    one, two = edited(r, 1000, 500, 80, 80)
+    assert substring_dedup.passages(one, two) == [(0, 1000)]
+
+
+def brute_spans(one, two, passage):
+    """All chains of equal runs, without any bound."""
+    one, two, runs = one.tolist(), two.tolist(), []
+    for i in range(len(one)):
+        for j in range(len(two)):
+            n = 0
+            while i + n < len(one) and j + n < len(two) and one[i + n] == two[j + n]:
+                n += 1
+            if n >= 5 and not (i and j and one[i - 1] == two[j - 1]):
+                runs.append((i, j, n))
+    out = set()
+    for k, (a, b, n) in enumerate(runs):
+        sums = {k: n - 4}
+        for t in range(k, len(runs)):
+            x, y, m = runs[t]
+            for f, total in list(sums.items()):
+                u, v, w = runs[f]
+                over = max(0, u + w - x, v + w - y)
+                if t != f and x > u and y > v and m - over >= 5:
+                    sums[t] = max(sums.get(t, -(10**9)), total + m - over - 4 - 4 * (x + y + 2 * over - u - w - v - w + 8))
+            if sums.get(t, -1) >= 0 and min(x + m - a, y + m - b) >= passage:
+                out.add((a, x + m))
+    return substring_dedup.merged(list(out))
+
+
+def test_passages_against_all_chains(monkeypatch):
+    r = random.Random(12)
+    for k in range(150):
+        words = [r.getrandbits(63) for _ in range(r.choice((6, 40, 300)))]
+        base = [r.choice(words) for _ in range(20)] + words[:120] + [r.choice(words) for _ in range(20)] + words[5:30] * r.choice((0, 1, 2))
+        two = list(base)
+        for _ in range(r.choice((1, 2, 3, 4))):
+            at = r.randrange(len(two))
+            two[at : at + r.choice((0, 1, 2, 7))] = [r.getrandbits(63) for _ in range(r.choice((0, 1, 3, 8)))]
+        one, two = np.array(base, np.uint64), np.array(two, np.uint64)
+        monkeypatch.setattr(substring_dedup, "MATCHES", 1 << 20 if k % 2 else 0)
+        assert substring_dedup.passages(one, two, 50) == brute_spans(one, two, 50)
