@@ -342,3 +342,15 @@ def test_passages_against_all_chains(monkeypatch):
         one, two = np.array(base, np.uint64), np.array(two, np.uint64)
         monkeypatch.setattr(substring_dedup, "MATCHES", 1 << 20 if k % 2 else 0)
         assert substring_dedup.passages(one, two, 50) == brute_spans(one, two, 50)
+
+
+def test_passage_after_repeated_lines():
+    """A line that repeats at a regular distance in both texts opens many chains before the passage that has it too."""
+    r = random.Random(13)
+    own = lambda n: [r.getrandbits(63) for _ in range(n)]
+    line, passage = own(7), own(62)
+    passage[20:27] = line
+    near = passage[:31] + own(1) + passage[32:]
+    for repeats in (8, 9, 12, 20, 200):
+        texts = [np.array(sum((line + own(5) for _ in range(repeats)), []) + p + own(9), np.uint64) for p in (passage, near)]
+        assert substring_dedup.passages(*texts) == [(12 * repeats, 12 * repeats + 62)]
