@@ -354,3 +354,20 @@ def test_passage_after_repeated_lines():
     for repeats in (8, 9, 12, 20, 200):
         texts = [np.array(sum((line + own(5) for _ in range(repeats)), []) + p + own(9), np.uint64) for p in (passage, near)]
         assert substring_dedup.passages(*texts) == [(12 * repeats, 12 * repeats + 62)]
+
+
+def test_near_passage_behind_a_piece_of_it(spark):
+    """The smallest document has 49 words of a passage, others have the whole, one with an edit in the middle; several families share a line."""
+    r = random.Random(14)
+    own = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
+    made = {}
+    for k in range(40):
+        shared = own(54)
+        near = shared[:27] + own(1) + shared[28:]
+        piece = shared[:49] if k % 2 else shared[5:]
+        made |= {10 * k: own(30) + piece + own(30), 10 * k + 1: own(9) + shared + own(40), 10 * k + 2: own(20) + near + own(5)}
+        made |= {10 * k + 3: own(10) + piece[:30] + own(10)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in substring_dedup.substring_dedup(df).collect()}
+    assert {i: x["class_id"] for i, x in got.items()} == {i: i - 1 if i % 10 == 2 else i for i in made}
+    assert all(x["spans"] == ("20-74" if i % 10 == 2 else "") for i, x in got.items())
