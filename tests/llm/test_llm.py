@@ -371,3 +371,17 @@ def test_near_passage_behind_a_piece_of_it(spark):
     got = {x["doc_id"]: x for x in substring_dedup.substring_dedup(df).collect()}
     assert {i: x["class_id"] for i, x in got.items()} == {i: i - 1 if i % 10 == 2 else i for i in made}
     assert all(x["spans"] == ("20-74" if i % 10 == 2 else "") for i, x in got.items())
+
+
+def test_passage_longer_than_the_smallest_document_has(spark):
+    """The smallest document has 60 words of a passage, two others some more words before and after them."""
+    r = random.Random(15)
+    own = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
+    made, want = {}, {}
+    for k in range(36):
+        before, shared, after = own((0, 5)[k % 2]), own(60), own((5, 10, 20)[k % 3])
+        more = before + shared + after
+        made |= {10 * k: own(30) + shared + own(30), 10 * k + 1: own(9) + more + own(40), 10 * k + 2: own(20) + more + own(5)}
+        want |= {10 * k: "", 10 * k + 1: f"{9 + len(before)}-{69 + len(before)}", 10 * k + 2: f"20-{20 + len(more)}"}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "doc_id long, text string")
+    assert {x["doc_id"]: x["spans"] for x in substring_dedup.substring_dedup(df).collect()} == want
