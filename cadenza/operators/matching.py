@@ -42,17 +42,19 @@ def playlist_difference(one: DataFrame, two: DataFrame, name: str, cutoff: float
     return best.unionByName(rest.select("name", F.lit(None).cast("string").alias("match"), F.lit(None).cast("double").alias("score"), F.lit("first").alias("side")))
 
 
-def tiered(wanted: DataFrame, have: DataFrame, cutoff: float = 0.85) -> DataFrame:
+def tiered(wanted: DataFrame, have: DataFrame, cutoff: float = 0.85, others: bool = False) -> DataFrame:
     """``qid, hid, tier, score``: each wanted (title, album, artist) by all three, else by title and
     artist, else by 0.7 title and 0.3 album similarity above ``cutoff``; the smallest ``hid`` of equals.
+    With ``others`` both are of one table and no row is its own match.
 
     Exact tiers are equi-joins; only what they leave is compared fuzzily."""
     h = have.select("hid", *[F.col(c).alias(f"h_{c}") for c in ("title", "album", "artist")])
     same = (F.col("title") == F.col("h_title")) & (F.col("artist") == F.col("h_artist"))
-    exact = wanted.join(h, same).withColumn("tier", F.when(F.col("album").eqNullSafe(F.col("h_album")), 1).otherwise(2)).withColumn("score", F.lit(1.0))
+    other = F.col("qid") != F.col("hid") if others else F.lit(True)
+    exact = wanted.join(h, same & other).withColumn("tier", F.when(F.col("album").eqNullSafe(F.col("h_album")), 1).otherwise(2)).withColumn("score", F.lit(1.0))
     rest = wanted.join(exact.select("qid").distinct(), "qid", "left_anti")
     bound = 0.7 * length_bound(F.col("title"), F.col("h_title")) + 0.3 > cutoff
-    near = blocked_pairs(rest, h, bound).withColumn("tier", F.lit(3)).withColumn("score", 0.7 * ratio(F.col("title"), F.col("h_title")) + 0.3 * ratio(F.col("album"), F.col("h_album")))
+    near = blocked_pairs(rest, h, bound & other).withColumn("tier", F.lit(3)).withColumn("score", 0.7 * ratio(F.col("title"), F.col("h_title")) + 0.3 * ratio(F.col("album"), F.col("h_album")))
     found = exact.unionByName(near.where(F.col("score") > cutoff).select(*exact.columns))
     w = Window.partitionBy("qid").orderBy("tier", F.desc("score"), "hid")
     return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "hid", "tier", F.round("score", 6).alias("score"))

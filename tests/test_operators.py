@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import genres, text
 from cadenza.operators import catalogue, clusters, matching, neighbors, timeseries
+from cadenza.plans import queries
 from cadenza.sources import files
 
 VECTORS = [(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)]
@@ -134,3 +135,15 @@ def test_sqlite_source(spark, tmp_path):
     spark.dataSource.register(files.SqliteSource)
     got = spark.read.format("sqlite").option("path", str(tmp_path / "c.db")).option("dbtable", "tracks").load()
     assert rows(got) == [("A", "{}")]
+
+
+def test_tiered_query_searches_all_rows(spark):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name", "p_type", "p_brand").collect()
+    want = {}
+    for q in part:
+        same = [(1 if h.p_type == q.p_type else 2, h.p_partkey) for h in part if h.p_partkey != q.p_partkey and (h.p_name, h.p_brand) == (q.p_name, q.p_brand)]
+        if same:
+            want[q.p_partkey] = min(same)
+    rows = queries.QUERIES["q_tiered_match"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.qid: (r.tier, r.hid) for r in rows if r.tier < 3} == want
+    assert all(r.qid != r.hid and (r.tier < 3 or r.score > 0.85) for r in rows)
