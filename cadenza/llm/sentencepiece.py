@@ -16,24 +16,26 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cadenza.llm.common import annotate, read, remembered, tidy
+from cadenza.llm.common import annotate, raw, read, remembered, small_batches, steps, tidy
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose pieces a worker remembers.
-REMEMBERED = 250_000
+#: Words whose pieces a worker remembers of each of two generations.
+REMEMBERED = 120_000
 #: Words indexed at once, which bounds the memory of the suffix array and the edges.
-INDEXED = 12_000
+INDEXED = 30_000
 CODE_BITS = 21
+#: Beyond all ranks.
+NEVER = np.iinfo(np.int64).max
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 FIELDS = T.StructType(
     [T.StructField("n_bytes", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
@@ -68,6 +70,44 @@ def proto(data: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, struct.unpack("<f", value)[0] if kind == 5 else value
 
 
+class PairTable:
+    """Numbers below 65536 by keys below 2**46, in one open hash table that whole arrays are looked up in."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(8 * len(keys)).bit_length())
+        self.slots = np.full((1 << self.bits) + 64, -1, np.int64)
+        todo, at = keys << 16 | values, self.slot(keys)
+        while len(todo):
+            _, first = np.unique(at, return_index=True)
+            put = first[self.slots[at[first]] == -1]
+            self.slots[at[put]] = todo[put]
+            rest = self.slots[at] != todo
+            todo, at = todo[rest], at[rest] + 1
+            if len(at) and at.max() >= len(self.slots):
+                self.slots = np.append(self.slots, np.full(64, -1, np.int64))
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, missing: int) -> np.ndarray:
+        """The number of each key, or ``missing``."""
+        out = np.full(len(keys), missing, np.int64)
+        at = self.slot(keys)
+        held = self.slots[at]
+        hit = held >> 16 == keys
+        out[hit] = held[hit] & 0xFFFF
+        live = np.flatnonzero(~hit & (held >= 0))
+        while len(live):  # a slot that another key took
+            at = at[live] if len(at) == len(keys) else at
+            at = at + 1
+            held = self.slots[at]
+            hit = held >> 16 == keys[live]
+            out[live[hit]] = held[hit] & 0xFFFF
+            stay = ~hit & (held >= 0)
+            live, at = live[stay], at[stay]
+        return out
+
+
 class PieceModel:
     """Pieces numbered so that single characters come first, then the others by falling score."""
 
@@ -94,7 +134,10 @@ class PieceModel:
             raise ValueError("a piece goes on after a space mark")
         self.score = {p: s for p, (s, _) in normal.items()}
         self.id = {p: i for p, (_, i) in normal.items()}
-        self.decoded = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k != NORMAL else p.replace(MARK, " ").encode() for p, _, k in pieces]
+        decoded = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k != NORMAL else p.replace(MARK, " ").encode() for p, _, k in pieces]
+        self.bytes = np.frombuffer(b"".join(decoded), np.uint8)
+        self.byte_sizes = np.fromiter(map(len, decoded), np.int64, len(decoded))
+        self.byte_at = np.cumsum(self.byte_sizes) - self.byte_sizes
 
         letters = sorted(p for p in normal if len(p) == 1)
         longer = sorted((p for p in normal if len(p) > 1 and not p.startswith(MARK * 2)), key=lambda p: -normal[p][0])
@@ -113,8 +156,7 @@ class PieceModel:
                 if p[:k] in self.number and p[k:] in self.number:
                     keys.append(self.number[p[:k]] * n + self.number[p[k:]])
                     made.append(self.number[p])
-        order = np.argsort(keys)
-        self.keys, self.made = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max), np.append(np.array(made, np.int64)[order], n)
+        self.pairs = PairTable(np.array(keys, np.int64), np.array(made, np.int64))
         # every piece as characters, for the search
         self.long = np.arange(len(letters) + 1, n)
         self.chars = np.frombuffer("".join(longer).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -154,17 +196,16 @@ class PieceModel:
         later ones first, and look for a pair across it that would have been merged before."""
         n = len(self.names)
         out, live = np.ones(len(left), bool), np.arange(len(left))
-        a, b, limit = left.copy(), right.copy(), np.full(len(left), np.iinfo(np.int64).max)
+        a, b, limit = left.copy(), right.copy(), np.full(len(left), NEVER)
         while len(live):
-            key = a * n + b
-            at = np.searchsorted(self.keys, key)
-            bad = (self.keys[at] == key) & (self.made[at] < limit)
+            bad = self.pairs.find(a * n + b, NEVER) < limit
             out[live[bad]] = False
-            split_a, split_b = self.right[a] != a, self.left[b] != b
+            below_a, below_b = self.right[a], self.left[b]
+            split_a, split_b = below_a != a, below_b != b
             first = split_a & ((a > b) | ~split_b)
             second = split_b & ~first
             limit = np.where(first, a, np.where(second, b + 1, limit))
-            a, b = np.where(first, self.right[a], a), np.where(second, self.left[b], b)
+            a, b = np.where(first, below_a, a), np.where(second, below_b, b)
             stay = (first | second) & ~bad
             live, a, b, limit = live[stay], a[stay], b[stay], limit[stay]
         return out
@@ -247,9 +288,14 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, marks as spaces, without the space that encoding put in front."""
-        table = self.decoded
-        out = b"".join([table[i] for i in ids])
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        back, _ = self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))
+        return back.tobytes().removeprefix(b" ").decode("utf-8", "replace")
+
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids' pieces, and the offsets of the texts, which have theirs in ``at``, among them; nothing is taken away in front."""
+        size = self.byte_sizes[ids]
+        ends = np.append(0, np.cumsum(size))
+        return self.bytes[np.repeat(self.byte_at[ids] - ends[:-1], size) + np.arange(ends[-1])], ends[at]
 
 
 def order_of_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -270,34 +316,78 @@ def order_of_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
 MEMORY = "sentencepiece"
 
 
-def encoder(model: PieceModel) -> Callable[[list[str]], list[np.ndarray]]:
-    """The model's encoder in this process; its memory of words outlives the task."""
-    name, encode = remembered(MEMORY, lambda: (model.name, new_encoder(model)))
-    return encode if name == model.name else new_encoder(model)
+Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def new_encoder(model: PieceModel) -> Callable[[list[str]], list[np.ndarray]]:
-    """From texts to their ids, with a memory of words."""
-    split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-    known: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        nonlocal known
-        words = [split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(known) > REMEMBERED:
-            known = {}
-        new = set().union(*words).difference(known)
-        odd = {w for w in new if w.startswith(MARK * 2) or "\0" in w}
-        known.update((w, np.array(model.merged_ids(w), np.int32).tobytes()) for w in odd)
-        every = list(new - odd)
+def encoder(model: PieceModel) -> Encoder:
+    """The model's encoder in this process; its memory of words outlives the task."""
+    name, encode = remembered(MEMORY, lambda: (model.name, batch_encoder(model)))
+    return encode if name == model.name else batch_encoder(model)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, each with the space that ends it, and the offsets of the texts among them.
+
+    A space that begins a text, or follows another, belongs to the word after it.
+    """
+    space = data == 0x20
+    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    ends = ends[~np.isin(ends, offsets)]
+    full = np.diff(offsets) > 0
+    starts = np.sort(np.concatenate((offsets[:-1][full], ends + 1)), kind="stable")
+    counts = full + np.bincount(np.searchsorted(offsets, ends, "right") - 1, minlength=len(full))
+    bounds = np.append(starts, len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    return words, np.append(0, np.cumsum(counts))
+
+
+def batch_encoder(model: PieceModel) -> Encoder:
+    """From texts to all their ids and the offsets of the texts among these, with a memory of words in two generations."""
+    known: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}
+
+    def learn(new: list[bytes]) -> None:
+        """Adds words to the memory."""
+        names = [MARK + w.removesuffix(b" ").decode().replace(" ", MARK) if w.strip(b" ") else MARK * (len(w) + 1) for w in new]
+        odd = [i for i, w in enumerate(names) if w.startswith(MARK * 2) or "\0" in w]
+        known.update((new[i], np.array(model.merged_ids(names[i]), np.int32).tobytes()) for i in odd)
+        every = np.setdiff1d(np.arange(len(new)), odd, assume_unique=True).tolist()
         for i in range(0, len(every), INDEXED):
-            plain = every[i : i + INDEXED]
+            part = every[i : i + INDEXED]
+            plain = [names[k] for k in part]
             flat, at = model.encode_words(plain)
             data, bounds = model.ids[flat].astype(np.int32).tobytes(), (4 * at).tolist()
-            known.update(zip(plain, (data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
+            known.update(zip((new[k] for k in part), (data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
             for k in np.unique(np.searchsorted(at, np.flatnonzero(flat == 0), side="right") - 1).tolist():
-                known[plain[k]] = np.array(model.pieces_of(plain[k], flat[at[k] : at[k + 1]].tolist()), np.int32).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in words]
+                known[new[part[k]]] = np.array(model.pieces_of(plain[k], flat[at[k] : at[k + 1]].tolist()), np.int32).tobytes()
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal known, older
+        if len(known) > REMEMBERED:
+            known, older = {}, known
+        words, at = words_of(*raw(pc.replace_substring(texts, MARK, " ")))
+        coded = words.dictionary_encode()
+        distinct, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        missing = [w for w in distinct if w not in known]
+        known.update((w, older[w]) for w in missing if w in older)
+        learn([w for w in missing if w not in older])
+        pieces = [known[w] for w in distinct]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
+        count = size[of]
+        ends = np.append(0, np.cumsum(count))
+        first = (np.cumsum(size) - size)[of] - ends[:-1]
+        return np.frombuffer(b"".join(pieces), np.int32)[np.repeat(first, count) + np.arange(ends[-1])], ends[at]
+
+    return encode
+
+
+def new_encoder(model: PieceModel) -> Callable[[list[str]], list[np.ndarray]]:
+    """From texts to the ids of each."""
+    run = batch_encoder(model)
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        ids, at = run(pa.array(texts, pa.string()))
+        return np.split(ids, at[1:-1])
 
     return encode
 
@@ -306,13 +396,16 @@ def judge_round_trips(model: PieceModel) -> Callable[[pa.Array], list]:
     encode = encoder(model)
 
     def judge(texts: pa.Array) -> list:
-        rows = texts.to_pylist()
-        ids = encode(rows)
+        ids, at = encode(texts)
+        data, offsets = raw(pc.replace_substring(texts, MARK, " "))
+        back, ends = model.decode_all(ids, at)
+        rows = list(zip(at, at[1:], strict=False))
+        same = [np.array_equal(back[a + (b > a) : b], data[c:d]) for a, b, c, d in zip(ends, ends[1:], offsets, offsets[1:], strict=False)]
         return [
-            pa.array([len(t.encode()) for t in rows], pa.int64()),
-            pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-            pa.array([model.decode(x.tolist()) == t.replace(MARK, " ") for t, x in zip(rows, ids, strict=True)], pa.bool_()),
+            pc.binary_length(texts).cast(pa.int64()),
+            pa.array(np.diff(at), pa.int64()),
+            pa.array([hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in rows], pa.string()),
+            pa.array(same, pa.bool_()),
         ]
 
     return judge
@@ -324,7 +417,12 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep_text: bo
 
     def worker() -> Callable[[pa.Array], list]:
         run = encoder(shared.value)
-        return lambda texts: [pa.array([x.tolist() for x in run(texts.to_pylist())], pa.list_(pa.int32()))]
+
+        def ids_of(texts: pa.Array) -> list:
+            ids, at = run(texts)
+            return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))]
+
+        return ids_of
 
     return annotate(docs, text, IDS, worker, keep_text, memory=MEMORY)
 
@@ -336,11 +434,18 @@ def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", text: str = "te
     to = T.StructType([docs.schema[c] for c in kept] + [T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.array([shared.value.decode(x or []) for x in b.column(len(kept)).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=to.names)
-
-    return docs.select(*[f"`{c}`" for c in kept], ids).mapInArrow(tidy(run, MEMORY), to)
+        for whole in batches:
+            sizes = pc.fill_null(pc.list_value_length(whole.column(len(kept))), 0).to_numpy(zero_copy_only=False)
+            for a, b in steps(4 * sizes):
+                part = whole.slice(a, b - a)
+                flat = part.column(len(kept)).flatten().to_numpy(zero_copy_only=False)
+                back, ends = shared.value.decode_all(flat, np.append(0, np.cumsum(sizes[a:b])))
+                rows = [back[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)]
+                texts = pa.array([x.removeprefix(b" ").decode("utf-8", "replace") for x in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts], names=to.names)
+
+    small_batches(docs.sparkSession)
+    return docs.select(*[f"`{c}`" for c in kept], f"`{ids}`").mapInArrow(tidy(run, MEMORY), to)
 
 
 def round_trips(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
