@@ -70,19 +70,33 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def completeness(df: DataFrame, album: str, number: str) -> DataFrame:
-    """``album, expected, present, missing, status``: track numbers up to the largest that an album lacks."""
-    per = df.groupBy(album).agg(F.max(number).cast("int").alias("expected"), F.collect_set(F.col(number).cast("int")).alias("have"))
-    missing = F.array_except(F.sequence(F.lit(1), F.col("expected")), F.col("have"))
-    return per.where("expected >= 1").select(
-        album, "expected", F.size("have").alias("present"), F.array_join(F.array_sort(missing), ",").alias("missing"), F.when(F.size(missing) == 0, "complete").otherwise("incomplete").alias("status")
-    )
+def completeness(df: DataFrame, album: str, number: str, disc: str | None = None, total: str | None = None) -> DataFrame:
+    """``album, expected, present, missing, extra, status``.
+
+    Each disc (null or no column: 1) is expected to have the numbers 1 to its declared
+    ``total``, or, where nothing is declared, to its largest number.  ``missing`` and ``extra``
+    list numbers, those of later discs as ``disc-number``; extra ones (bonus tracks) do not
+    make an album incomplete.  Albums that expect nothing are left out.
+    """
+    d = F.coalesce(F.col(disc).cast("int"), F.lit(1)) if disc else F.lit(1)
+    n = F.col(number).cast("int")
+    declared = F.when(F.col(total).cast("int") > 0, F.col(total).cast("int")) if total else F.lit(None).cast("int")
+    per = df.select(album, d.alias("d"), n.alias("n"), declared.alias("t")).where("n is not null").groupBy(album, "d").agg(F.max("t").alias("t"), F.max("n").alias("m"), F.collect_set("n").alias("have"))
+    want = F.when(F.coalesce("t", "m") >= 1, F.sequence(F.lit(1), F.coalesce("t", "m"))).otherwise(F.array().cast("array<int>"))
+    name = lambda a: F.transform(F.array_sort(a), lambda x: F.struct(F.col("d"), x.alias("n")))
+    discs = per.select(album, "have", want.alias("want"), name(F.array_except(want, F.col("have"))).alias("miss"), name(F.filter(F.array_except(F.col("have"), want), lambda x: x > 0)).alias("extra"))
+    sums = discs.groupBy(album).agg(
+        F.sum(F.size("want")).cast("int").alias("expected"), F.sum(F.size("have")).cast("int").alias("present"),
+        F.array_sort(F.flatten(F.collect_list("miss"))).alias("miss"), F.array_sort(F.flatten(F.collect_list("extra"))).alias("more"),
+    )
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.when(x["d"] == 1, x["n"].cast("string")).otherwise(F.concat_ws("-", x["d"], x["n"]))), ",")
+    return sums.where("expected >= 1").select(album, "expected", "present", text("miss").alias("missing"), text("more").alias("extra"), F.when(F.size("miss") == 0, "complete").otherwise("incomplete").alias("status"))
 
 
 def modal(df: DataFrame, key: str, value: str) -> DataFrame:
     """``key, value, distinct_values``: the commonest value, the least of equals."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(key).agg(F.max_by(F.col(value), F.struct("n", -F.col(value))).alias(value), F.count(F.lit(1)).alias("distinct_values"))
+    return counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), value)).getField(value).alias(value), F.count(F.lit(1)).alias("distinct_values"))
 
 
 def argmax_genre(votes: DataFrame, key: str, genre: str) -> DataFrame:
@@ -113,8 +127,12 @@ def favourites(df: DataFrame, artist: Column, album: Column, track: Column, opti
 
 
 def merge_logs(old: DataFrame, new: DataFrame, keys: list[str], dedupe_new: bool = False) -> DataFrame:
-    """``old`` and the rows of ``new`` whose key it lacks; copies among the new ones stay unless ``dedupe_new``."""
-    fresh = new.join(old.select(*keys).distinct(), keys, "left_anti")
+    """``old`` and the rows of ``new`` whose key it lacks (nulls are equal); copies among the new ones stay unless ``dedupe_new``."""
+    seen = old.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    fresh = new.join(seen, same, "left_anti")
     return old.unionByName(fresh.dropDuplicates(keys) if dedupe_new else fresh)
 
 
@@ -141,3 +159,222 @@ def top_tokens(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
     counts = words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("uses"))
     w = Window.partitionBy(key).orderBy(F.desc("uses"), "token")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def delete(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``df`` without the keys of ``gone``."""
+    return df.join(gone.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_anti")
+
+
+def set_fields(df: DataFrame, changes: DataFrame, key: str, tags: str) -> DataFrame:
+    """``df`` with the fields of ``changes`` (key, tags) put into its tag maps; keys without changes stay."""
+    new = changes.select(F.col(key).alias("__k"), F.col(tags).alias("__t"))
+    joined = df.join(new, F.col(key) == F.col("__k"), "left")
+    merged = F.when(F.col("__t").isNull(), F.col(tags)).otherwise(overlay(F.coalesce(tags, F.from_json(F.lit("{}"), TAGS)), F.col("__t"), []))
+    return joined.select(*[merged.alias(c) if c == tags else F.col(c) for c in df.columns])
+
+
+def aliased(tags: Column, aliases: dict[str, str]) -> Column:
+    """A map of arrays with each key in its canonical spelling (``aliases``: lower-case spelling to key); arrays that meet in one key are joined."""
+    table = F.create_map(*[F.lit(x) for p in aliases.items() for x in p])
+    named = F.transform(F.map_entries(tags), lambda e: F.struct(F.coalesce(F.try_element_at(table, F.lower(e["key"])), e["key"]).alias("key"), e["value"].alias("value")))
+    keys = F.array_distinct(F.transform(named, lambda e: e["key"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.flatten(F.transform(F.filter(named, lambda e: e["key"] == k), lambda e: e["value"])).alias("value"))))
+
+
+def listed(tags: Column) -> Column:
+    """A map of JSON texts as a map of arrays: a value that is no list becomes a list of one."""
+    return F.transform_values(tags, lambda _, v: F.coalesce(F.from_json(v, "array<string>"), F.array(v)))
+
+
+def decoded(tags: Column) -> Column:
+    """A map of texts without cover art and without byte wrappers."""
+    kept = F.map_filter(tags, lambda k, _: F.lower(k) != "covr")
+    return F.transform_values(kept, lambda _, v: F.regexp_replace(v, r"^b(['\"])(.*)\1$", "$2"))
+
+
+def origin(cat: Column, lib: Column) -> Column:
+    """Where a row is from, by which of two ids it has: both, cat, lib or unknown."""
+    return F.when(cat.isNotNull() & lib.isNotNull(), "both").when(cat.isNotNull(), "cat").when(lib.isNotNull(), "lib").otherwise("unknown")
+
+
+def owned(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """The rows of an ownership: ``cat`` or ``lib`` (in one, wherever else), ``mat`` (in both), ``nom`` (in the library only), ``noo`` (in the catalogue, not owned)."""
+    kinds = {"cat": ("cat", "both"), "lib": ("lib", "both"), "mat": ("both",), "nom": ("lib",), "noo": ("cat",)}
+    return df.where(F.col(column).isin(*kinds[kind]))
+
+
+def existing(df: DataFrame, path: Column, other: Column, files: DataFrame) -> DataFrame:
+    """The rows whose path, in either spelling, is among ``files`` (path)."""
+    have = files.select(F.col("path").alias("__f")).distinct()
+    spelled = df.withColumn("__i", F.monotonically_increasing_id())
+    hit = spelled.select("__i", F.explode(F.array_distinct(F.array_compact(F.array(path, other)))).alias("__p")).join(have, F.col("__p") == F.col("__f"), "left_semi").select(F.col("__i").alias("__h")).distinct()
+    return spelled.join(hit, F.col("__i") == F.col("__h"), "left_semi").drop("__i")
+
+
+def either(df: DataFrame, tests: list[tuple[list[str], DataFrame]], out: str) -> DataFrame:
+    """``df`` plus whether a row's keys are in any of several tables: one semi-join a test, not a join with OR.  Null keys are in none."""
+    hit = F.lit(False)
+    for i, (keys, table) in enumerate(tests):
+        side = table.select(*[F.col(k).alias(f"__{i}_{k}") for k in keys]).distinct().withColumn(f"__h{i}", F.lit(True))
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"__{i}_{k}"))
+        df = df.join(side, same, "left").drop(*[f"__{i}_{k}" for k in keys])
+        hit = hit | F.coalesce(F.col(f"__h{i}"), F.lit(False))
+    return df.withColumn(out, hit).drop(*[f"__h{i}" for i in range(len(tests))])
+
+
+def first_of(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
+    """The first row, by ``order``, of each key; partial aggregation."""
+    named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
+    top = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")
+    return df.groupBy(*named).agg(top).select("r.*")
+
+
+def album_order(disc: str, track: str) -> list[Column]:
+    """The order of an album's tracks: disc (1 if there is none), then track (0)."""
+    return [F.coalesce(F.col(disc), F.lit(1)), F.coalesce(F.col(track), F.lit(0))]
+
+
+def oldest_year(years: Column) -> Column:
+    """The least of an array's four-digit years."""
+    return F.array_min(F.filter(years, lambda y: y.rlike(r"^\d{4}$")))
+
+
+def shared(df: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """``df`` with each of ``values`` (as of an album) replaced by the largest of its key, so that all members have it."""
+    tops = df.groupBy(F.col(key).alias("__k")).agg(*[F.max(v).alias(f"__{v}") for v in values])
+    return df.join(tops, F.col(key).eqNullSafe(F.col("__k"))).select(*[F.col(f"__{c}").alias(c) if c in values else F.col(c) for c in df.columns])
+
+
+def folders(df: DataFrame, path: str) -> DataFrame:
+    """``folder, files, first``: how many files each folder holds, and the first by name."""
+    folder = F.regexp_replace(path, "/[^/]*$", "")
+    return df.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.min(path).alias("first"))
+
+
+def best_score(df: DataFrame, key: str, score: str, order: str) -> DataFrame:
+    """The row of each key with the highest score above 0, the first by ``order`` of equals; keys without one are left out."""
+    rest = [c for c in df.columns if c != key]
+    top = F.min_by(F.struct(*rest), F.struct((-F.col(score)).alias("s"), order)).alias("r")
+    return df.where(F.col(score) > 0).groupBy(key).agg(top).select(key, "r.*")
+
+
+def release_groups(df: DataFrame, artist: Column) -> DataFrame:
+    """The candidates (primary, secondary, credit) that can be an artist's own album, EP or single: none of the secondary types
+    live, remix, compilation, video, and the artist in the credit."""
+    second = F.transform(F.coalesce("secondary", F.array().cast("array<string>")), lambda s: F.lower(F.trim(s)))
+    own = F.coalesce(F.lower("credit"), F.lit("")).contains(F.lower(artist))
+    return df.where(~F.arrays_overlap(second, F.array(*map(F.lit, ("live", "remix", "compilation", "video")))) & F.lower(F.trim("primary")).isin("album", "ep", "single") & own)
+
+
+def earliest_release(df: DataFrame, key: str, formats: str, year: str, ident: str) -> DataFrame:
+    """Each key's release: those with a medium ``digital media`` or ``cd`` first, then the earliest year, then the smallest id."""
+    wanted = F.arrays_overlap(F.transform(F.coalesce(formats, F.array().cast("array<string>")), lambda f: F.lower(F.trim(f))), F.array(F.lit("digital media"), F.lit("cd")))
+    rest = [c for c in df.columns if c != key]
+    rank = F.struct((~wanted).alias("w"), F.coalesce(F.col(year), F.lit(9999)).alias("y"), F.col(ident).alias("i"))
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), rank).alias("r")).select(key, "r.*")
+
+
+def chosen_groups(df: DataFrame, key: str) -> DataFrame:
+    """Of :func:`release_groups` (score, primary, first_date, ident) the best of each key: score, then album before EP before single, then date."""
+    kind = F.array_position(F.array(*map(F.lit, ("album", "ep", "single"))), F.lower(F.trim("primary")))
+    rank = F.struct((-F.col("score")).alias("s"), kind.alias("k"), F.coalesce("first_date", F.lit("9999-99-99")).alias("d"), F.col("ident").alias("i"))
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), rank).alias("r")).select(key, "r.*")
+
+
+# ---------------------------------------------------------------- imports
+CONFLICTS = ("new_id", "update", "keep")
+
+
+def make_ids(df: DataFrame, keys: list[str], taken: DataFrame, ident: str = "track_id", digits: int = 8) -> DataFrame:
+    """``df`` plus ``ident``: the first ``digits`` hex digits, in capitals, of a hash of the keys and of a row's number among equal keys.
+
+    Ids that are taken, or that two rows get, are made anew with the next salt until none is left.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[c for c in df.columns if c not in keys])
+    text = F.concat_ws("\0", *[F.coalesce(F.col(k).cast("string"), F.lit("\1")) for k in keys], F.row_number().over(w).cast("string"))
+    rows = df.withColumn("__t", text)
+    used, done, salt = taken.select(F.col(ident).alias("__u")), None, 0
+    while True:
+        made = rows.withColumn(ident, F.upper(F.left(F.sha2(F.concat_ws("\0", "__t", F.lit(str(salt))), 256), F.lit(digits))))
+        first = made.groupBy(ident).agg(F.min("__t").alias("__f"))
+        free = first.join(used, F.col(ident) == F.col("__u"), "left_anti").withColumnRenamed(ident, "__i")
+        good = made.join(free, (F.col(ident) == F.col("__i")) & (F.col("__t") == F.col("__f"))).drop("__i", "__f")
+        done = good if done is None else done.unionByName(good)
+        rows = rows.join(good.select(F.col("__t").alias("__g")), F.col("__t") == F.col("__g"), "left_anti")
+        if rows.isEmpty():
+            return done.drop("__t")
+        used, salt = used.unionByName(good.select(F.col(ident).alias("__u"))), salt + 1
+
+
+def import_batch(catalogue: DataFrame, incoming: DataFrame, keys: list[str], on_conflict: str = "new_id", ident: str = "track_id") -> tuple[DataFrame, DataFrame]:
+    """(catalogue after the import, incoming rows that were there already, with ``existing``).
+
+    A row is there if its keys, lower case and trimmed, are; the smallest id counts.  ``on_conflict``:
+    ``new_id`` adds it as another track, ``update`` puts its values under the id there, ``keep``
+    leaves the catalogue as it is.  Without keys (all null or empty) a row is always new.  Both
+    tables have the same columns; ids of incoming rows are made here.
+    """
+    if on_conflict not in CONFLICTS:
+        raise ValueError(f"on_conflict is one of {CONFLICTS}")
+    norm = [F.lower(F.trim(F.coalesce(F.col(k).cast("string"), F.lit("")))) for k in keys]
+    name = F.when(F.concat(*norm) != "", F.concat_ws("\0", *norm))
+    have = catalogue.select(name.alias("__n"), ident).where("__n is not null").groupBy("__n").agg(F.min(ident).alias("existing"))
+    plain = incoming.drop(ident)
+    matched = plain.withColumn("__m", name).join(have, F.col("__m") == F.col("__n"), "left").drop("__m", "__n")
+    duplicates = matched.where("existing is not null")
+    new = (matched if on_conflict == "new_id" else matched.where("existing is null")).drop("existing")
+    out = catalogue.unionByName(make_ids(new, [c for c in plain.columns if c in keys], catalogue, ident).select(*catalogue.columns))
+    if on_conflict == "update":
+        rest = [c for c in plain.columns]
+        last = duplicates.groupBy(F.col("existing").alias(ident)).agg(F.max(F.struct(*rest)).alias("r")).select(ident, "r.*").select(*catalogue.columns)
+        out = upsert(out, last, ident)
+    return out, duplicates
+
+
+def import_favourites(saved: DataFrame, incoming: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``artist, album, track, track_id`` of saved favourites and of those that a playlist adds.
+
+    Of incoming rows (artist, album, track, pos) the first of each key (:func:`text.match_key`) counts.  Each gets the smallest
+    catalogue id (artists, albums, tracks, track_id) whose given fields agree; null if none does.  Rows whose key or
+    id is saved already are left out.
+    """
+    from cadenza.functions.text import match_key
+    from cadenza.operators.matching import optional_keys
+
+    fields = ["artist", "album", "track"]
+    first = first_of(incoming.select(*fields, "pos"), [match_key(F.coalesce(F.col(c), F.lit(""))) for c in fields], ["pos", *fields])
+    have = catalogue.select("track_id", F.col("artists").alias("h_artist"), F.col("albums").alias("h_album"), F.col("tracks").alias("h_track"))
+    found = optional_keys(first, have, fields).groupBy("pos").agg(F.min("track_id").alias("track_id")).withColumnRenamed("pos", "__p")
+    named = first.join(found, F.col("pos") == F.col("__p"), "left").drop("__p")
+    key = lambda d: F.concat_ws("\0", *[match_key(F.coalesce(d[c], F.lit(""))) for c in fields])
+    new = named.withColumn("__k", key(named)).join(saved.select(key(saved).alias("__s")).distinct(), F.col("__k") == F.col("__s"), "left_anti")
+    new = new.join(saved.select(F.col("track_id").alias("__i")).where("__i is not null").distinct(), F.col("track_id") == F.col("__i"), "left_anti")
+    return saved.select(*fields, "track_id").unionByName(new.select(*fields, "track_id"))
+
+
+def save_favourites(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Favourites after an update, the new ones in place of the old of the same keys, in lower-case order of the keys."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.lower(F.col(k)).eqNullSafe(F.col(f"__{k}"))
+    kept = old.join(new.select(*[F.lower(k).alias(f"__{k}") for k in keys]).distinct(), same, "left_anti")
+    return kept.unionByName(new).orderBy(*[F.lower(k) for k in keys], *keys)
+
+
+def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
+    """The links (link, target) whose target is no file (path)."""
+    return links.join(files.select(F.col("path").alias("__f")).distinct(), F.col("target") == F.col("__f"), "left_anti")
+
+
+def unmatched_files(files: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``path, state``: files (path, track_id) without an id (``untagged``) or with one that no track has (``unmatched``)."""
+    lone = files.where("track_id is not null").join(tracks.select(F.col("track_id").alias("__t")).distinct(), F.col("track_id") == F.col("__t"), "left_anti")
+    return files.where("track_id is null").select("path", F.lit("untagged").alias("state")).unionByName(lone.select("path", F.lit("unmatched").alias("state")))
+
+
+def columns_of(df: DataFrame) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in df.schema]

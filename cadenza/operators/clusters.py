@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions import vectors as V
+from cadenza.operators import neighbors
 
 #: Clusters whose centroids may be broadcast; beyond that the join is left to Spark.
 FEW = 10_000
@@ -41,18 +44,14 @@ def breadth(df: DataFrame, key: str, vec: str) -> DataFrame:
 def refine(df: DataFrame, ident: str, key: str, vec: str, limit: float = 0.4, decimals: int = 9) -> DataFrame:
     """``id, cluster, distance``: the nearest centroid by cosine distance if within ``limit``, else ``outliers``.
 
-    The centroids are one small array, checked against :data:`FEW`; ties go to the smallest key.
+    Rows meet the centroids in block products, however many there are; ties go to the
+    smallest key.  A vector without direction is an outlier without a distance.
     """
-    centers = centroids(df, key, vec).where(V.usable(F.col("centroid")))
-    n = centers.limit(FEW + 1).count()
-    if n > FEW:
-        raise ValueError(f"more than {FEW} clusters")
-    every = centers.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("centers"))
-    rows = df.crossJoin(F.broadcast(every))  # one row of at most FEW centroids
-    dist = F.transform("centers", lambda c: F.struct(F.round(1 - V.cosine(F.col(vec), c["c"]), decimals).alias("d"), c["k"].alias("k")))
-    best = F.when(V.usable(F.col(vec)), F.array_min(dist))
-    near = rows.select(F.col(ident).alias("id"), best.alias("b"))
-    return near.select("id", F.when(F.col("b.d") <= limit, F.col("b.k").cast("string")).otherwise("outliers").alias("cluster"), F.col("b.d").alias("distance"))
+    centers = centroids(df, key, vec).withColumnRenamed("centroid", "__centroid")
+    near = neighbors.nearest(df, centers, ident, vec, decimals, key, "__centroid", own=True).withColumnRenamed("id", "__id")
+    rows = df.select(F.col(ident).alias("id")).join(near, F.col("id") == F.col("__id"), "left")
+    d = F.round(1 - F.col("similarity"), decimals)
+    return rows.select("id", F.when(d <= limit, F.col("neighbor").cast("string")).otherwise("outliers").alias("cluster"), d.alias("distance"))
 
 
 def merge_plan(stats: list[tuple], threshold: float = 0.97, tolerance: float = 0.5) -> dict:
@@ -86,9 +85,9 @@ def merge(df: DataFrame, key: str, vec: str, tokens: str, threshold: float = 0.9
 
 
 def chain(df: DataFrame, ident: str, key: str, vec: str, decimals: int = 9) -> DataFrame:
-    """``key, id, pos``: from the smallest id on, always the most similar one not yet taken.
+    """``key, id, pos``: from the smallest id on, always the most similar one not yet taken; the smallest of equals.
 
-    Inherently one task a cluster; memory is the cluster's vectors, time its size squared.
+    Ids and keys may be of any type that sorts.  Inherently one task a cluster; memory is the cluster's vectors, time its size squared.
     """
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,36 +103,129 @@ def chain(df: DataFrame, ident: str, key: str, vec: str, decimals: int = 9) -> D
             at = int(s.argmax())
         return pd.DataFrame({"k": [pdf["k"].iloc[0]] * len(out), "id": out, "pos": np.arange(1, len(out) + 1)})
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.where(F.size(vec) > 0).select(F.col(key).alias("k"), F.col(ident).cast("long").alias("id"), V.doubles(F.col(vec)).alias("v"))
-    return rows.groupBy("k").applyInPandas(order, f"k {kind}, id long, pos int").withColumnRenamed("k", key)
+    to = T.StructType([T.StructField("k", df.schema[key].dataType), T.StructField("id", df.schema[ident].dataType), T.StructField("pos", T.IntegerType())])
+    rows = df.where(F.size(vec) > 0).select(F.col(key).alias("k"), F.col(ident).alias("id"), V.doubles(F.col(vec)).alias("v"))
+    return rows.groupBy("k").applyInPandas(order, to).withColumnRenamed("k", key)
+
+
+def chain_plan(first: np.ndarray, last: np.ndarray, start: np.ndarray | None, decimals: int = 9) -> list[int]:
+    """The order of items (entered by their ``first`` vector, left by their ``last``): from ``start``, or else the first
+    item, always the most similar one left; the first of equals.  Items without direction are left out."""
+    sizes = [np.sqrt((x * x).sum(1)) for x in (first, last)]
+    good = (sizes[0] > 0) & (sizes[1] > 0)
+    one, two = (x / np.where(n > 0, n, 1)[:, None] for x, n in zip((first, last), sizes, strict=True))
+    left, out, at = good.copy(), [], start
+    while left.any():
+        if at is None:
+            k = int(np.flatnonzero(left)[0])
+        else:
+            k = int(np.where(left, np.round(one @ (at / np.linalg.norm(at)), decimals), -np.inf).argmax())
+        out.append(k)
+        left[k] = False
+        at = two[k]
+    return out
+
+
+def curate(df: DataFrame, ident: str, key: str, vec: str, album: str, order: DataFrame, decimals: int = 9) -> DataFrame:
+    """``cluster_ord, key, pos, id, album``: the chains of all clusters in the order of ``order`` (key, cluster_ord), each
+    begun with what is nearest to the end of the one before.
+
+    Rows with an ``album`` enter and leave their chain together, as a block: by its first
+    row and by its last, in order of the ids.  The whole list is one sequence, so one
+    task after another has to make it: clusters come to the driver one at a time, and
+    only their blocks' first and last vectors; members are joined back as a table.
+    """
+    unit = F.coalesce(F.col(album).cast("string"), F.concat(F.lit("\0"), F.col(ident).cast("string"))).alias("unit")
+    rows = df.where(V.usable(F.col(vec))).select(F.col(key).alias("k"), F.col(ident).alias("id"), F.col(album).alias("album"), V.doubles(F.col(vec)).alias("v"), unit)
+    ends = rows.groupBy("k", "unit").agg(F.min(F.struct("id", "v")).alias("a"), F.max(F.struct("id", "v")).alias("z"))
+    spark, placed, at, kind = df.sparkSession, [], None, df.schema[key].dataType
+    for name, number in sorted(((r[0], r[1]) for r in order.select(key, "cluster_ord").collect()), key=lambda x: x[1]):
+        units = ends.where(F.col("k") == name).orderBy("a.id").collect()
+        if not units:
+            continue
+        first, last = (np.array([r[e]["v"] for r in units], np.float64) for e in ("a", "z"))
+        for pos, i in enumerate(chain_plan(first, last, at, decimals)):
+            placed.append((number, name, units[i]["unit"], pos))
+            at = last[i]
+    to = T.StructType([T.StructField("cluster_ord", T.IntegerType()), T.StructField("c", kind), T.StructField("u", T.StringType()), T.StructField("at", T.IntegerType())])
+    joined = rows.join(spark.createDataFrame(placed, to), (F.col("k") == F.col("c")) & (F.col("unit") == F.col("u")))
+    w = Window.partitionBy("k").orderBy("at", "id")
+    return joined.select("cluster_ord", F.col("k").alias(key), F.row_number().over(w).alias("pos"), "id", "album")
 
 
-def like(df: DataFrame, rated: DataFrame, ident: str, vec: str, sigma: float = 0.15, least: float = 1e-3, decimals: int = 6) -> DataFrame:
-    """``id, rated, score``: rated ids keep 1; the others 1 - weighted mean distance to the rated
-    vectors, weights Gaussian in the distance, 0 for opposite ones or where they sum to less than ``least``.
+def cluster_order(sizes: DataFrame, key: str, related: DataFrame | None = None) -> DataFrame:
+    """``key, cluster_ord`` of ``key, n``: the largest first, then always the first unused of ``related`` (key, other, rank)
+    to the one before, else the next largest; names sort equals.
 
-    Rated vectors are dealt over blocks and each block's two sums are added up, so
-    neither side is broadcast whole.
+    Genres are few: the loop runs over one row each on the driver, after their number was checked.
     """
-    base = rated.where(V.usable(F.col(vec))).select(F.col(vec).alias("r"))
-    parts = max(1, -(-base.count() // 256))
-    packs = base.withColumn("part", F.pmod(F.xxhash64("r"), F.lit(parts)).cast("int")).groupBy("part").agg(F.collect_list(F.transform(V.doubles(F.col("r")), lambda x: x / V.norm(F.col("r")))).alias("rs"))
-    rows = df.select(F.col(ident).alias("id"), V.doubles(F.col(vec)).alias("v"))
-    unit = F.when(V.usable(F.col("v")), F.transform("v", lambda x: x / V.norm(F.col("v")))).otherwise(F.col("v"))
-    met = rows.select("id", unit.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).join(packs, "part")
-
-    def weigh(acc, r):
-        s = V.dot(F.col("v"), r)
-        w = F.when(s < 0, 0.0).otherwise(V.gaussian(1 - s, sigma))
-        return F.struct((acc["w"] + w).alias("w"), (acc["wd"] + w * (1 - s)).alias("wd"))
-
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wd"))
-    sums = met.select("id", F.aggregate("rs", zero, weigh).alias("a")).groupBy("id").agg(F.sum("a.w").alias("w"), F.sum("a.wd").alias("wd"))
-    chosen = rated.select(F.col(ident).alias("id")).distinct().withColumn("rated", F.lit(True))
-    out = rows.select("id").join(sums, "id", "left").join(chosen, "id", "left")
-    score = F.when(F.col("rated"), 1.0).when(F.coalesce("w", F.lit(0.0)) < least, 0.0).otherwise(1 - F.col("wd") / F.col("w"))
-    return out.select("id", F.coalesce("rated", F.lit(False)).alias("rated"), F.round(score, decimals).alias("score"))
+    rows = sizes.orderBy(F.desc("n"), key).limit(FEW + 1).collect()
+    if len(rows) > FEW:
+        raise ValueError(f"more than {FEW} clusters")
+    names, links = [r[key] for r in rows], {}
+    for r in related.where(F.col(key).isin(names) & F.col("other").isin(names)).orderBy(key, "rank").collect() if related is not None else ():
+        links.setdefault(r[key], []).append(r["other"])
+    left, out = dict.fromkeys(names), []
+    while left:
+        at = next((x for x in links.get(out[-1], ()) if x in left), None) if out else None
+        at = next(iter(left)) if at is None else at
+        out.append(at)
+        del left[at]
+    to = T.StructType([T.StructField(key, sizes.schema[key].dataType), T.StructField("cluster_ord", T.IntegerType())])
+    return sizes.sparkSession.createDataFrame(list(zip(out, range(1, len(out) + 1), strict=True)), to)
+
+
+def custom_order(base: DataFrame, saved: DataFrame, key: str) -> DataFrame:
+    """``key, cluster_ord``: those of ``saved`` (key, ord) in its order, then the others in the order of ``base``."""
+    both = base.join(saved.select(F.col(key).alias("__k"), F.col("ord")), F.col(key) == F.col("__k"), "left")
+    # one row a cluster
+    w = Window.orderBy(F.asc_nulls_last("ord"), "cluster_ord")
+    return both.select(key, F.row_number().over(w).alias("cluster_ord"))
+
+
+def alphabetical_order(sizes: DataFrame, key: str, last: str = "outliers") -> DataFrame:
+    """``key, cluster_ord`` by name, ``last`` at the end; one row a cluster."""
+    return sizes.select(key, F.row_number().over(Window.orderBy(F.col(key) == last, key)).alias("cluster_ord"))
+
+
+def cluster_keys(df: DataFrame, code: str, genre: str) -> Column:
+    """The cluster of a row: its genre code, else its genre, else ``unknown``."""
+    some = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.coalesce(some(F.col(code)), some(F.col(genre)), F.lit("unknown"))
+
+
+def token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, tokens``: the distinct lower-case comma-separated parts of all texts of a key, sorted."""
+    parts = df.select(key, F.explode(F.split(F.lower(text), ",")).alias("t")).select(key, F.trim("t").alias("t")).where("t <> ''").distinct()
+    return parts.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("tokens"))
+
+
+def like(df: DataFrame, rated: DataFrame, ident: str, vec: str, sigma: float = 0.15, least: float = 1e-3, decimals: int = 6, rating: str | None = None) -> DataFrame:
+    """``id, rated, score``: rated ids keep their ``rating`` (1 or -1; without that column 1); the others
+    1 - weighted mean distance to the rated vectors, weights Gaussian in the distance, 0 for opposite ones
+    or where they sum to less than ``least``.  The value of a rating does not weigh.
+
+    Blocks of rows and of rated vectors meet as matrices, and each pair's two sums a row
+    are added up by id, so neither side is broadcast whole.
+    """
+    to = T.StructType([T.StructField("id", df.schema[ident].dataType), T.StructField("w", T.DoubleType()), T.StructField("wd", T.DoubleType())])
+
+    def weigh(q: pa.StructArray, b: pa.StructArray) -> pa.RecordBatch | None:
+        (qi, qm, _), (_, bm, _) = neighbors.units(q), neighbors.units(b)
+        if not len(qi) or not len(bm):
+            return None
+        s = qm @ bm.T
+        d = 1 - s
+        w = np.where(s < 0, 0.0, np.exp(-(d * d) / (2 * sigma * sigma)))
+        return pa.RecordBatch.from_arrays([qi, pa.array(w.sum(1)), pa.array((w * d).sum(1))], names=to.names)
+
+    found = neighbors.products(df, rated, (ident, ident), (vec, vec), weigh, to)
+    sums = found.groupBy(F.col("id").alias("s_id")).agg(F.sum("w").alias("w"), F.sum("wd").alias("wd"))
+    value = F.col(rating).cast("double") if rating else F.lit(1.0)
+    chosen = rated.select(F.col(ident).alias("r_id"), value.alias("value")).groupBy("r_id").agg(F.max("value").alias("value"))
+    out = df.select(F.col(ident).alias("id")).join(sums, F.col("id") == F.col("s_id"), "left").join(chosen, F.col("id") == F.col("r_id"), "left")
+    score = F.when(F.col("value").isNotNull(), F.col("value")).when(F.coalesce("w", F.lit(0.0)) < least, 0.0).otherwise(1 - F.col("wd") / F.col("w"))
+    return out.select("id", F.col("value").isNotNull().alias("rated"), F.round(score, decimals).alias("score"))
 
 
 def recommend(scores: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -151,14 +243,23 @@ def tfidf(df: DataFrame, track: str, vec: str, present: float = 1e-5) -> DataFra
 
 def assign_albums(df: DataFrame, ident: str, album: str, cluster: str, vec: str, token: str, threshold: float = 0.0, decimals: int = 9) -> DataFrame:
     """``album, cluster, overlap, similarity``: the cluster that shares most tokens with an album, then the
-    most similar; ``outliers`` unless a token is shared and the similarity is at least ``threshold``."""
-    a = centroids(df, album, vec).withColumnRenamed("centroid", "ac").join(df.groupBy(album).agg(F.collect_set(token).alias("at")), album)
-    c = centroids(df, cluster, vec).withColumnRenamed("centroid", "cc").join(df.groupBy(cluster).agg(F.collect_set(token).alias("ct")), cluster)
-    every = c.agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("k"), "cc", "ct"))).alias("every"))
-    rank = F.transform("every", lambda x: F.struct(F.size(F.array_intersect("at", x["ct"])).alias("o"), F.round(V.cosine(F.col("ac"), x["cc"]), decimals).alias("s"), (-x["k"]).alias("k")))
-    best = a.crossJoin(F.broadcast(every)).select(album, F.array_max(rank).alias("b"))  # one row, a centroid a cluster
-    ok = (F.col("b.o") > 0) & (F.col("b.s") >= threshold)
-    return best.select(F.col(album), F.when(ok, (-F.col("b.k")).cast("string")).otherwise("outliers").alias("cluster"), F.col("b.o").alias("overlap"), F.col("b.s").alias("similarity"))
+    most similar, then the smallest; ``outliers`` unless a token is shared and the similarity is at least
+    ``threshold``.  An album that shares no token has overlap 0 and no similarity.
+
+    Albums meet only clusters that share a token, by an equi-join on tokens.
+    """
+    tokens = lambda k, name: df.select(F.col(k).alias(name), F.col(token).alias("t")).where("t is not null").distinct()
+    shared = tokens(album, "a").join(tokens(cluster, "c"), "t").groupBy("a", "c").agg(F.count(F.lit(1)).cast("int").alias("o"))
+    most = shared.groupBy(F.col("a").alias("m_a")).agg(F.max("o").alias("m"))
+    best = shared.join(most, (F.col("a") == F.col("m_a")) & (F.col("o") == F.col("m"))).select("a", "c", "o")
+    one = centroids(df, album, vec).select(F.col(album).alias("o_a"), F.col("centroid").alias("ac"))
+    two = centroids(df, cluster, vec).select(F.col(cluster).alias("o_c"), F.col("centroid").alias("cc"))
+    met = best.join(one, F.col("a") == F.col("o_a")).join(few(two), F.col("c") == F.col("o_c"))
+    alike = met.select("a", "o", F.col("c"), F.round(V.cosine(F.col("ac"), F.col("cc")), decimals).alias("s"))
+    top = alike.groupBy("a").agg(F.min(F.struct((-F.col("s")).alias("s"), "c", "o")).alias("b"))
+    s, o = -F.col("b.s"), F.coalesce("b.o", F.lit(0))
+    joined = df.select(album).distinct().join(top, F.col(album) == F.col("a"), "left")
+    return joined.select(album, F.when(s >= threshold, F.col("b.c").cast("string")).otherwise("outliers").alias("cluster"), o.alias("overlap"), s.alias("similarity"))
 
 
 def pool_max(df: DataFrame, key: str, vec: str) -> DataFrame:

@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import length_bound, ratio
 
-#: Distinct names of the smaller side that one broadcast block holds.
-BLOCK = 20_000
+#: Groups of characters whose counts bound a ratio.
+GROUPS = 24
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """All pairs that meet ``condition``, the right side in broadcast blocks of at most :data:`BLOCK` rows."""
-    parts = max(1, -(-right.count() // BLOCK))
-    dealt = right.withColumn("__part", F.pmod(F.xxhash64(*right.columns), F.lit(parts)))
-    out = None
-    for p in range(parts):
-        met = left.join(F.broadcast(dealt.where(F.col("__part") == p).drop("__part")), condition)
-        out = met if out is None else out.unionByName(met)
-    return out
+def letter_counts(c: Column) -> Column:
+    """How many characters of each of :data:`GROUPS` groups a text has."""
+    code = F.transform(F.split(c, ""), lambda x: F.pmod(F.ascii(x), F.lit(GROUPS)))
+    return F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.size(F.filter(code, lambda x: x == g)))
+
+
+def counts_bound(a: Column, b: Column, length: Column) -> Column:
+    """The most that :func:`ratio` can be, from the letter counts and the sum of the lengths."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    return F.when(length > 0, 2.0 * both / length).otherwise(1.0)
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
+    """All pairs of rows whose texts can be ``cutoff`` (above 0) alike.
+
+    An equi-join on classes of length: lengths l and m allow 2 min / (l + m), so one
+    may be (2 - cutoff) / cutoff times the other at most, which is the next class at
+    most.  Of a class's pairs those go whose letters cannot make the cutoff.  One plan
+    at any size; inside a class of lengths it stays quadratic.
+    """
+    base = max(1.0001, (2 - cutoff) / cutoff)
+    level = lambda c: F.when(F.length(c) > 0, F.floor(F.log(F.length(c).cast("double")) / float(np.log(base)) + 1e-9).cast("int")).otherwise(-9)
+    near = F.explode(F.array(*[level(F.col(a)) + k for k in (-1, 0, 1)])).alias("__class")
+    one = left.withColumn("__ca", letter_counts(F.col(a))).select("*", near)
+    two = right.withColumn("__cb", letter_counts(F.col(b))).withColumn("__own", level(F.col(b)))
+    total = F.length(a) + F.length(b)
+    met = one.join(two, F.col("__class") == F.col("__own")).where((length_bound(F.col(a), F.col(b)) >= cutoff) & (counts_bound(F.col("__ca"), F.col("__cb"), total) >= cutoff))
+    return met.drop("__class", "__own", "__ca", "__cb")
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
     """``a, b, score`` of names at least ``cutoff`` alike; pairs whose lengths rule that out are not compared."""
-    pairs = blocked_pairs(left.select(a).distinct(), right.select(b).distinct(), length_bound(F.col(a), F.col(b)) >= cutoff)
+    pairs = alike_pairs(left.select(a).where(F.col(a).isNotNull()).distinct(), right.select(b).where(F.col(b).isNotNull()).distinct(), a, b, cutoff)
     return pairs.withColumn("score", ratio(F.col(a), F.col(b))).where(F.col("score") >= cutoff)
 
 
@@ -47,24 +69,63 @@ def tiered(wanted: DataFrame, have: DataFrame, cutoff: float = 0.85, others: boo
     artist, else by 0.7 title and 0.3 album similarity above ``cutoff``; the smallest ``hid`` of equals.
     With ``others`` both are of one table and no row is its own match.
 
-    Exact tiers are equi-joins; only what they leave is compared fuzzily."""
+    Exact tiers are equi-joins; only what they leave is compared fuzzily, with titles that can make the cutoff."""
     h = have.select("hid", *[F.col(c).alias(f"h_{c}") for c in ("title", "album", "artist")])
     same = (F.col("title") == F.col("h_title")) & (F.col("artist") == F.col("h_artist"))
     other = F.col("qid") != F.col("hid") if others else F.lit(True)
     exact = wanted.join(h, same & other).withColumn("tier", F.when(F.col("album").eqNullSafe(F.col("h_album")), 1).otherwise(2)).withColumn("score", F.lit(1.0))
     rest = wanted.join(exact.select("qid").distinct(), "qid", "left_anti")
-    bound = 0.7 * length_bound(F.col("title"), F.col("h_title")) + 0.3 > cutoff
-    near = blocked_pairs(rest, h, bound & other).withColumn("tier", F.lit(3)).withColumn("score", 0.7 * ratio(F.col("title"), F.col("h_title")) + 0.3 * ratio(F.col("album"), F.col("h_album")))
+    near = alike_pairs(rest, h, "title", "h_title", (cutoff - 0.3) / 0.7).where(other).withColumn("tier", F.lit(3)).withColumn("score", 0.7 * ratio(F.col("title"), F.col("h_title")) + 0.3 * ratio(F.col("album"), F.col("h_album")))
     found = exact.unionByName(near.where(F.col("score") > cutoff).select(*exact.columns))
     w = Window.partitionBy("qid").orderBy("tier", F.desc("score"), "hid")
     return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "hid", "tier", F.round("score", 6).alias("score"))
 
 
-def search(query: str, fields: list[str], genre_field: str) -> Column:
-    """A search line as a predicate: ``,`` is or, ``+`` is and, ``@gen`` looks at the genre only; a leading "the " and empty terms are dropped."""
-    narrow = query.strip().lower().startswith("@gen")
-    text = query.strip()[4:] if narrow else query
-    haystack = F.lower(F.col(genre_field) if narrow else F.concat_ws(" ", *fields))
+def name_matches(incoming: DataFrame, have: DataFrame, cutoff: float = 0.9) -> DataFrame:
+    """``qid, hid, score``: for each incoming (qid, artist, title) its best of ``have`` (hid, artist, title), if the mean of
+    the artists' and the titles' ratios (lower case) is at least ``cutoff``; the smallest ``hid`` of equals."""
+    low = lambda d, k, p: d.select(k, *[F.lower(F.coalesce(c, F.lit(""))).alias(p + c) for c in ("artist", "title")])
+    pairs = alike_pairs(low(incoming, "qid", "q_"), low(have, "hid", "h_"), "q_title", "h_title", 2 * cutoff - 1)
+    bound = length_bound(F.col("q_artist"), F.col("h_artist")) + length_bound(F.col("q_title"), F.col("h_title")) >= 2 * cutoff
+    scored = pairs.where(bound).withColumn("score", (ratio(F.col("q_artist"), F.col("h_artist")) + ratio(F.col("q_title"), F.col("h_title"))) / 2)
+    best = scored.where(F.col("score") >= cutoff).groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "hid")).alias("b"))
+    return best.select("qid", F.col("b.hid").alias("hid"), (-F.col("b.s")).alias("score"))
+
+
+def valid_match(title: Column, other_title: Column, artist_id: Column, other_artist_id: Column, cutoff: float = 0.8) -> Column:
+    """Whether a found track is the wanted one: ``ok``, or what is wrong with it."""
+    return F.when(~artist_id.eqNullSafe(other_artist_id), "artist").when(ratio(F.lower(title), F.lower(other_title)) < cutoff, "title").otherwise("ok")
+
+
+def optional_keys(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of ``wanted`` and ``have`` (arrays of values a key) whose given keys agree, lower case; a null or empty wanted key fits all.
+
+    Wanted rows are split by which keys they give, and each kind is an equi-join on its keys;
+    a row that gives none matches nothing.
+    """
+    out = None
+    given = {k: F.coalesce(F.col(k) != "", F.lit(False)) for k in keys}
+    for kind in range(1, 1 << len(keys)):
+        used = [k for i, k in enumerate(keys) if kind >> i & 1]
+        rows = wanted.where(F.array_compact(F.array(*[F.when(given[k], F.lit(k)) for k in keys])) == F.array(*map(F.lit, used)))
+        side = have
+        for k in used:
+            side = side.withColumn(f"__{k}", F.explode(F.array_distinct(F.transform(f"h_{k}", F.lower))))
+        same = F.lit(True)
+        for k in used:
+            same = same & (F.lower(k) == F.col(f"__{k}"))
+        met = rows.join(side, same).drop(*[f"__{k}" for k in used])
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def search(query: str, fields: list[str], genre_field: str, artist_field: str = "") -> Column:
+    """A search line as a predicate: ``,`` is or, ``+`` is and, ``@gen`` looks at the genre only and ``@art`` (if that
+    field is named) at the artist; a leading "the " and empty terms are dropped."""
+    mark = query.strip()[:4].lower()
+    field = {"@gen": genre_field, "@art": artist_field or None}.get(mark)
+    text = query.strip()[4:] if field else query
+    haystack = F.lower(F.col(field) if field else F.concat_ws(" ", *fields))
     out = F.lit(False)
     for group in text.split(","):
         terms = [t.removeprefix("the ") for t in (x.strip().lower() for x in group.split("+")) if t]
@@ -74,3 +135,9 @@ def search(query: str, fields: list[str], genre_field: str) -> Column:
                 hit = hit & haystack.contains(t)
             out = out | hit
     return out
+
+
+def playlist_query(query: str) -> tuple[int | None, str] | None:
+    """The (first row, path) of ``@m3u path`` or ``@m3u-N path``; None if it is another query.  See :func:`cadenza.operators.sinks.excerpt`."""
+    m = re.match(r"\s*@m3u(?:-(\d+))?\s+(.+?)\s*$", query, re.IGNORECASE)
+    return (int(m[1]) if m[1] else None, m[2]) if m else None

@@ -2,62 +2,93 @@
 
 Vectors are packed into blocks of bounded size; every query block meets every base
 block in a task of its own, which keeps the best of each query row.  No row pair is
-ever a Spark row, and no side is broadcast.
+ever a Spark row, and no side is broadcast.  The work is rows times rows: 10**8
+vectors of 100 values against themselves are 2 * 10**18 operations, some thousand
+core-hours; each query block is shuffled once a base block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Vectors of a block.
 BLOCK = 2048
 
 
-def blocks(df: DataFrame, ident: str, vec: str, count: int, name: str) -> DataFrame:
-    rows = df.where(F.size(vec) > 0).select(F.col(ident).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+def blocks(df: DataFrame, ident: str, vec: str, count: int, name: str, *more: str) -> DataFrame:
+    """``block`` and ``name``, arrays of structs (id, vec, and the columns ``more``); rows without a vector are left out."""
+    rows = df.where(F.size(vec) > 0).select(F.col(ident).alias("id"), F.col(vec).cast("array<double>").alias("vec"), *more)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("block").agg(F.collect_list(F.struct("id", "vec")).alias(name))
+    return dealt.groupBy("block").agg(F.collect_list(F.struct("id", "vec", *more)).alias(name))
 
 
-def _units(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    ids, m = np.array([r["id"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64)
+def units(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The ids and unit vectors of those that have a direction, and which rows these are."""
+    flat, size = rows.field("vec").flatten(), pc.list_value_length(rows.field("vec")).to_numpy(zero_copy_only=False)
+    if len(size) and (size != size[0]).any():
+        raise ValueError("vectors differ in length")
+    m = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).reshape(len(size), -1)
     n = np.sqrt((m * m).sum(1))
-    return ids[n > 0], m[n > 0] / n[n > 0, None]
+    kept = np.flatnonzero(n > 0)
+    return rows.field("id").take(pa.array(kept)), m[kept] / n[kept, None], kept
 
 
-def nearest(queries: DataFrame, base: DataFrame, ident: str = "id", vec: str = "embedding", decimals: int = 9) -> DataFrame:
-    """``id, neighbor, similarity``: for every query vector the most similar other base vector.
+Product = Callable[[pa.StructArray, pa.StructArray], pa.RecordBatch | None]
 
-    Vectors without length take no part.  Similarities are rounded to ``decimals``
-    before they are compared, and the smallest id wins a tie.
-    """
-    counts = [max(1, -(-d.count() // BLOCK)) for d in (queries, base)]
-    left = blocks(queries, ident, vec, counts[0], "q").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))))
-    right = blocks(base, ident, vec, counts[1], "b").withColumnRenamed("block", "other")
-    met = left.join(right, "other").select("q", "b")
 
-    def best(batches):
+def products(left: DataFrame, right: DataFrame, ident: tuple[str, str], vec: tuple[str, str], of: Product, to: T.StructType, more: tuple[str, ...] = ()) -> DataFrame:
+    """What ``of`` makes of every pair of a left and a right block (arrays of structs); ``more`` are columns of the right side."""
+    counts = [max(1, -(-d.count() // BLOCK)) for d in (left, right)]
+    one = blocks(left, ident[0], vec[0], counts[0], "q").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))))
+    two = blocks(right, ident[1], vec[1], counts[1], "b", *more).withColumnRenamed("block", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (qi, qm), (bi, bm) = _units(q), _units(b)
-                if not len(qi) or not len(bi):
-                    continue
-                order = np.argsort(bi)
-                bi, bm = bi[order], bm[order]
-                s = np.round(qm @ bm.T, decimals)
-                at = np.minimum(np.searchsorted(bi, qi), len(bi) - 1)
-                own = np.flatnonzero(bi[at] == qi)
-                s[own, at[own]] = -np.inf
-                top = s.argmax(1)
-                ok = np.isfinite(s[np.arange(len(qi)), top])
-                yield pa.RecordBatch.from_arrays([pa.array(qi[ok]), pa.array(bi[top][ok]), pa.array(s[np.arange(len(qi)), top][ok])], names=["id", "neighbor", "similarity"])
-
-    found = met.mapInArrow(best, "id long, neighbor long, similarity double")
-    top = F.max(F.struct("similarity", (-F.col("neighbor")).alias("n"))).alias("m")
-    return found.groupBy("id").agg(top).select("id", (-F.col("m.n")).alias("neighbor"), F.col("m.similarity").alias("similarity"))
+            for k in range(batch.num_rows):
+                out = of(batch.column(0)[k].values, batch.column(1)[k].values)
+                if out is not None:
+                    yield out
+
+    return one.join(two, "other").select("q", "b").mapInArrow(run, to)
+
+
+def nearest(queries: DataFrame, base: DataFrame, ident: str = "id", vec: str = "embedding", decimals: int = 9, base_ident: str = "", base_vec: str = "", own: bool = False) -> DataFrame:
+    """``id, neighbor, similarity``: for every query vector the most similar other base vector (with ``own``: of any id).
+
+    Ids may be of any type that sorts.  Vectors without length take no part.
+    Similarities are rounded to ``decimals`` before they are compared, and the smallest
+    id wins a tie.
+    """
+    base_ident, base_vec = base_ident or ident, base_vec or vec
+    kinds = queries.schema[ident].dataType, base.schema[base_ident].dataType
+    to = T.StructType([T.StructField("id", kinds[0]), T.StructField("neighbor", kinds[1]), T.StructField("similarity", T.DoubleType())])
+
+    def best(q: pa.StructArray, b: pa.StructArray) -> pa.RecordBatch | None:
+        (qi, qm, _), (bi, bm, _) = units(q), units(b)
+        if not len(qi) or not len(bi):
+            return None
+        order = pc.sort_indices(bi)
+        bi, bm = bi.take(order), bm[order.to_numpy()]
+        s = np.round(qm @ bm.T, decimals)
+        if not own:
+            at = pc.index_in(qi, value_set=bi)
+            same = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            s[same, at.drop_null().to_numpy()] = -np.inf
+        top = s.argmax(1)
+        most = s[np.arange(len(qi)), top]
+        ok = pa.array(np.isfinite(most))
+        return pa.RecordBatch.from_arrays([qi.filter(ok), bi.take(pa.array(top)).filter(ok), pa.array(most).filter(ok)], names=to.names)
+
+    found = products(queries, base, (ident, base_ident), (vec, base_vec), best, to)
+    top = F.min(F.struct((-F.col("similarity")).alias("s"), "neighbor")).alias("m")
+    return found.groupBy("id").agg(top).select("id", F.col("m.neighbor").alias("neighbor"), (-F.col("m.s")).alias("similarity"))
 
 
 def top_pairs(nn: DataFrame, n: int) -> DataFrame:
@@ -75,10 +106,11 @@ def statistics(nn: DataFrame) -> DataFrame:
 
 
 def histogram(nn: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, n`` from the least similarity to 1 in equal steps."""
-    low = nn.agg(F.min("similarity").alias("low"))
+    """``bucket, n`` from the least similarity to 1 in equal steps; equal similarities are counted before the least is known, so the rows are made once."""
+    counts = nn.groupBy("similarity").agg(F.count(F.lit(1)).alias("c"))
+    low = counts.agg(F.min("similarity").alias("low"))
     at = F.least(F.lit(buckets - 1), F.floor((F.col("similarity") - F.col("low")) / ((1.0 - F.col("low")) / buckets))).cast("int")
-    return nn.crossJoin(F.broadcast(low)).select(F.when(F.col("low") < 1.0, at).otherwise(0).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # low is one row
+    return counts.crossJoin(F.broadcast(low)).select(F.when(F.col("low") < 1.0, at).otherwise(0).alias("bucket"), "c").groupBy("bucket").agg(F.sum("c").alias("n"))  # low is one row
 
 
 def duplicate_class(similarity: Column, certain: float = 0.99992, likely: float = 0.99990) -> Column:

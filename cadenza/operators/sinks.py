@@ -2,15 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def playlist_lines(df: DataFrame, playlist: str, order: list[str], seconds: str, name: str, path: str) -> DataFrame:
-    """``playlist, line_no, line``: a header, then an ``#EXTINF`` line and a path a track."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.concat(F.lit("#EXTINF:"), F.col(seconds).cast("string"), F.lit(","), F.col(name)).alias("i"), F.col(path).alias("p"))))
-    text = F.concat(F.array(F.lit("#EXTM3U")), F.flatten(F.transform("t", lambda x: F.array(x["i"], x["p"]))))
-    return df.groupBy(playlist).agg(items.alias("t")).select(playlist, F.posexplode(text).alias("line_no", "line"))
+    """``playlist, line_no, line``: a header, then an ``#EXTINF`` line and a path a track, in a sort that can spill."""
+    n = F.row_number().over(Window.partitionBy(playlist).orderBy(*order)).cast("long")
+    info = F.concat(F.lit("#EXTINF:"), F.col(seconds).cast("string"), F.lit(","), F.col(name))
+    tracks = df.select(playlist, n.alias("n"), info.alias("i"), F.col(path).alias("p"))
+    both = F.explode(F.array(F.struct((2 * F.col("n") - 1).alias("line_no"), F.col("i").alias("line")), F.struct((2 * F.col("n")).alias("line_no"), F.col("p").alias("line")))).alias("l")
+    head = df.select(playlist).distinct().select(playlist, F.lit(0).cast("long").alias("line_no"), F.lit("#EXTM3U").alias("line"))
+    return head.unionByName(tracks.select(playlist, both).select(playlist, "l.*"))
+
+
+def sections(parts: list[tuple[str, DataFrame]], name: str, path: str) -> DataFrame:
+    """``section, pos, name, path`` of several lists one after another, each in order of the lower-case file name, then of the path."""
+    out = None
+    for i, (title, rows) in enumerate(parts):
+        base = F.lower(F.element_at(F.split(path, "/"), -1))
+        one = rows.select(F.lit(i).alias("__i"), F.lit(title).alias("section"), F.col(name).alias("name"), F.col(path).alias("path"), base.alias("__b"))
+        out = one if out is None else out.unionByName(one)
+    w = Window.partitionBy("__i").orderBy("__b", "path")
+    return out.select("section", F.row_number().over(w).alias("pos"), "name", "path")
+
+
+def excerpt(df: DataFrame, playlist: str, order: list[str], start: int, n: int = 20) -> DataFrame:
+    """The ``n`` rows of each playlist from row ``start`` (1 is the first) on, with ``row``."""
+    w = Window.partitionBy(playlist).orderBy(*order)
+    return df.withColumn("row", F.row_number().over(w)).where(F.col("row").between(start, start + n - 1))
+
+
+def segments(df: DataFrame, playlist: str, order: list[str], value: str) -> DataFrame:
+    """``playlist, value, next``: each row with the one after it."""
+    w = Window.partitionBy(playlist).orderBy(*order)
+    return df.select(playlist, F.col(value), F.lead(value).over(w).alias("next")).where("next is not null")
+
+
+def write_lines(rows: DataFrame, path: str, value: str, order: list[str]) -> None:
+    """One text file in order."""
+    rows.orderBy(*order).select(F.col(value).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_json(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Lines of JSON, in order if asked; used for favourites, play logs and id maps."""
+    (rows.orderBy(*order) if order else rows).write.mode("overwrite").json(path)
+
+
+def save_order(rows: DataFrame, path: str) -> None:
+    """A cluster order (key, ord) as JSON, for :func:`load_order`."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_order(like: DataFrame, path: str) -> DataFrame:
+    """A saved cluster order with the columns of ``like``."""
+    return like.sparkSession.read.schema(like.schema).json(path)
 
 
 def playlist_document(df: DataFrame, playlist: str, order: list[str], fields: list[str], duration: str) -> DataFrame:
@@ -23,3 +69,16 @@ def playlist_document(df: DataFrame, playlist: str, order: list[str], fields: li
 def write_playlists(rows: DataFrame, path: str, playlist: str) -> None:
     """One folder a playlist, its lines in order."""
     rows.repartition(playlist).sortWithinPartitions(playlist, "line_no").select(playlist, F.col("line").alias("value")).write.partitionBy(playlist).mode("overwrite").text(path)
+
+
+def shuffled(df: DataFrame, key: str, ident: str, seed: int) -> DataFrame:
+    """``key, id, pos``: each key's rows in an order that looks random and depends on the seed alone."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")))
+    w = Window.partitionBy(key).orderBy(order, ident)
+    return df.select(key, F.col(ident).alias("id"), F.row_number().over(w).alias("pos"))
+
+
+def latest_first(df: DataFrame, key: str, time: Column, ident: str) -> DataFrame:
+    """``key, id, pos``: by falling time, rows without one at the end."""
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(time), ident)
+    return df.select(key, F.col(ident), F.row_number().over(w).alias("pos"))

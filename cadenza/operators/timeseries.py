@@ -23,6 +23,34 @@ def sliding(df: DataFrame, time: str, value: str, length_s: int, hop_s: int) ->
     return rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.max("v").alias("most")).select((F.col("w") * hop_s).alias("start"), "n", "mean", "most")
 
 
+def windows(df: DataFrame, track: str, at: str, value: str, length: int, hop: int, last: bool = True) -> DataFrame:
+    """``track, start, n, mean, most`` of windows of ``length`` samples every ``hop`` over each track's whole length.
+
+    ``last`` says whether a window that ends just where the track does counts.
+    """
+    size = df.groupBy(F.col(track).alias("__t")).agg((F.max(at) + 1).cast("long").alias("__n"))
+    k = F.col(at).cast("long")
+    first = F.greatest(F.lit(0), F.floor((k - length) / hop).cast("long") + 1)
+    rows = df.select(track, k.alias("__at"), F.col(value).alias("__v"), F.explode(F.sequence(first, F.floor(k / hop).cast("long"))).alias("__w"))
+    end = F.col("__w") * hop + length
+    kept = rows.join(size, F.col(track) == F.col("__t")).where(end <= F.col("__n") if last else end < F.col("__n"))
+    return kept.groupBy(track, (F.col("__w") * hop).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"), F.max("__v").alias("most"))
+
+
+def snippets(df: DataFrame, track: str, at: str, vec: str, length: int) -> DataFrame:
+    """``track, snippet, pos, mean``: mean vectors of each ``length`` samples of a track, a shorter last one kept."""
+    long = df.select(track, F.floor(F.col(at) / length).cast("long").alias("snippet"), F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "__v"))
+    return long.groupBy(track, "snippet", "pos").agg(F.avg("__v").alias("mean"))
+
+
+def tempo_seconds(df: DataFrame, track: str, order: list[str], delta: str, tempo: str, per_beat: int, default: int = 500_000) -> DataFrame:
+    """``df`` plus ``seconds``: the time of each event from tick deltas, at the latest ``tempo`` (microseconds a beat; null: unchanged) before it."""
+    w = Window.partitionBy(track).orderBy(*order)
+    pace = F.coalesce(F.last(tempo, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(default))
+    timed = df.withColumn("__d", F.col(delta) * pace / (per_beat * 1e6))
+    return timed.withColumn("seconds", F.sum("__d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__d")
+
+
 def tumbling_max(df: DataFrame, time: str, value: str, length_s: int) -> DataFrame:
     at = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(length_s * 1_000_000)).cast("long")
     return df.groupBy((at * length_s).alias("start")).agg(F.max(value).alias("most"))
@@ -40,13 +68,20 @@ def deltas(df: DataFrame, key: str, order: list[str], tick: str) -> DataFrame:
     return df.withColumn("delta", F.coalesce(d, F.lit(0)).cast("long")).withColumn("elapsed", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def running_total(df: DataFrame, order: str, value: str, span: int = 100_000, out: str = "total") -> DataFrame:
-    """``df`` plus the sum of ``value`` up to each row and its sequence number, in order of an integer column.
+def running_total(df: DataFrame, order: str, value: str, rows: int = 1_000_000, out: str = "total") -> DataFrame:
+    """``df`` plus the sum of ``value`` up to each row and its sequence number, in order of a numeric or time column without nulls.
 
-    Rows are dealt by ranges of ``span`` order numbers; only one sum a range is ordered as a
-    whole, and every range is then summed on its own.
+    Rows are dealt by quantiles of the order column, one for every ``rows`` rows, whatever its
+    values are; only one sum a range is ordered as a whole, and every range is then summed
+    on its own.
     """
-    ranged = df.withColumn("__r", F.floor(F.col(order) / span))
+    n = df.count()
+    parts = max(1, -(-n // rows))
+    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    at = F.lit(0)
+    for k in range(0, len(cuts), 500):  # few numbers, kept in short arrays
+        at = at + F.size(F.filter(F.array(*map(F.lit, cuts[k : k + 500])), lambda c: c < F.col(order)))
+    ranged = df.withColumn("__r", at)
     sums = ranged.groupBy(F.col("__r").alias("__k")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
     before = Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("__k", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c"))

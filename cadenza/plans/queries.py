@@ -105,7 +105,14 @@ def q_refine(spark, sf_dir):
     return clusters.refine(vectors(spark, sf_dir), "id", "label", "embedding", 0.7).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+MERGE = f"""RECURSIVE {CENT}, b AS (SELECT e.label, avg(list_distance(v, c)) AS b FROM e JOIN c USING (label) GROUP BY 1),
+k AS MATERIALIZED (SELECT label, c, b, row_number() OVER (ORDER BY label) AS i FROM c JOIN b USING (label)),
+pairs AS MATERIALIZED (SELECT x.i, list(y.i ORDER BY y.i) FILTER ({SIM.format(a="x.c", b="y.c")} > 0.2 AND (x.b + y.b = 0 OR abs(x.b - y.b) / ((x.b + y.b) / 2) <= 0.5) AND x.label % 2 = y.label % 2 AND y.i > x.i) AS near FROM k x, k y GROUP BY x.i),
+walk AS (SELECT 1 AS step, list_transform(range(1, (SELECT count(*) FROM k) + 1), lambda j: j) AS root UNION ALL
+  SELECT step + 1, list_transform(range(1, len(root) + 1), lambda j: CASE WHEN root[step] = step AND root[j] = j AND list_contains(near, j) THEN step ELSE root[j] END) FROM walk JOIN pairs ON pairs.i = step)"""
+
+
+@query(f"WITH {MERGE}, last AS (SELECT arg_max(root, step) AS root FROM walk) SELECT k.label, l.label AS merged_into FROM k, last, k l WHERE l.i = last.root[k.i]")
 def q_merge(spark, sf_dir):
     v = vectors(spark, sf_dir).withColumn("token", F.col("label") % 2)
     return clusters.merge(v, "label", "embedding", "token", 0.2, 0.5)
@@ -186,20 +193,21 @@ def q_winner_share(spark, sf_dir):
     return clusters.winners(vectors(spark, sf_dir), "id", "embedding", 3)
 
 
-#: How well each of twelve pitch classes fits a major key. Fixed values.
+#: How well each of twelve pitch classes fits a major and a minor key. Fixed values.
 MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
+MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
 
 
-@query(f"""WITH {LONG}, p AS (SELECT unnest({list(MAJOR)}) AS w, unnest(range(0, 12)) AS i), k AS (SELECT unnest(range(0, 12)) AS key),
-c AS (SELECT id, key, round(corr(x, w), 9) AS r FROM long JOIN k ON true JOIN p ON (pos - key + 12) % 12 = i WHERE pos < 12 GROUP BY ALL)
-SELECT id, key::INT AS key, round(r, 6) AS fit FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r DESC, key) AS n FROM c) WHERE n = 1""")
+@query(f"""WITH {LONG}, p AS (SELECT 0 AS mode, unnest({list(MAJOR)}) AS w, unnest(range(0, 12)) AS i UNION ALL SELECT 1, unnest({list(MINOR)}), unnest(range(0, 12))), k AS (SELECT unnest(range(0, 12)) AS key),
+c AS (SELECT id, key, mode, round(corr(x, w), 9) AS r FROM long JOIN k ON true JOIN p ON (pos - key + 12) % 12 = i WHERE pos < 12 GROUP BY ALL)
+SELECT id, key::INT AS key, CASE mode WHEN 0 THEN 'major' ELSE 'minor' END AS mode, round(r, 6) AS fit FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r DESC, key, mode) AS n FROM c) WHERE n = 1""")
 def q_key_fit(spark, sf_dir):
-    profile = F.array(*map(F.lit, MAJOR))
+    profiles = F.array(*[F.array(*map(F.lit, p)) for p in (MAJOR, MINOR)])
     long = vectors(spark, sf_dir).select("id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 12)).alias("pos", "x"))
-    keyed = long.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("w", F.get(profile, (F.col("pos") - F.col("key") + 12) % 12))
-    fits = keyed.groupBy("id", "key").agg(F.round(F.corr("x", "w"), 9).alias("r"))
-    best = fits.groupBy("id").agg(F.max(F.struct("r", (-F.col("key")).alias("k"))).alias("b"))
-    return best.select("id", (-F.col("b.k")).alias("key"), F.round("b.r", 6).alias("fit"))
+    keyed = long.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("mode", F.explode(F.array(F.lit(0), F.lit(1))))
+    fits = keyed.withColumn("w", F.get(F.get(profiles, F.col("mode")), (F.col("pos") - F.col("key") + 12) % 12)).groupBy("id", "key", "mode").agg(F.round(F.corr("x", "w"), 9).alias("r"))
+    best = fits.groupBy("id").agg(F.min(F.struct((-F.col("r")).alias("r"), "key", "mode")).alias("b"))
+    return best.select("id", F.col("b.key").alias("key"), F.when(F.col("b.mode") == 0, "major").otherwise("minor").alias("mode"), F.round(-F.col("b.r"), 6).alias("fit"))
 
 
 # ---------------------------------------------------------------- genres
@@ -274,7 +282,7 @@ def q_duplicate_ids(spark, sf_dir):
 
 @query("""WITH h AS (SELECT l_orderkey, max(l_linenumber)::INT AS expected, list(DISTINCT l_linenumber::INT) AS have FROM lineitem GROUP BY 1),
 m AS (SELECT l_orderkey, expected, have, list_filter(range(1, expected + 1), lambda n: NOT list_contains(have, n)) AS miss FROM h)
-SELECT l_orderkey, expected, len(have)::INT AS present, array_to_string(miss, ',') AS missing, CASE WHEN len(miss) = 0 THEN 'complete' ELSE 'incomplete' END AS status FROM m WHERE expected >= 1""")
+SELECT l_orderkey, expected, len(have)::INT AS present, array_to_string(miss, ',') AS missing, '' AS extra, CASE WHEN len(miss) = 0 THEN 'complete' ELSE 'incomplete' END AS status FROM m WHERE expected >= 1""")
 def q_completeness(spark, sf_dir):
     return catalogue.completeness(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 

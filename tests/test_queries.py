@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from cadenza.plans import queries
+from cadenza.plans import library, queries  # noqa: F401  library registers more
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
