@@ -49,6 +49,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rested(spark: SparkSession) -> None:
+    """Has the executors collect garbage, after which their JVMs give unused heap back to the system.
+
+    A stage of a pipeline then starts with its own needs, not with the heap that the
+    stages before it had to touch beside what Python workers take.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once however often it is used."""
     return F.transform(F.array(value), body).getItem(0)
@@ -108,6 +118,7 @@ def tidy(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Itera
     """A worker function that drops other operators' memories before and hands freed memory back to the system after it ran."""
 
     def trim() -> None:
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only glibc has it
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -12,10 +12,11 @@ band of coordinates is a key; every document of a key is linked with the key's
 smallest one only, so a key of any size costs its own size.  The components of these
 links hold every pair that shares a band.
 
-Check.  A component's shingle sets meet in one task (or, beyond ``GROUP`` documents,
-in one task for every pair of pieces of it) and are linked where their Jaccard
-similarity is at least 0.8, by a search that drops a document from the index as soon
-as it is linked.  Classes are the components of these exact links.
+Check.  The shingle sets of a component's documents are first compared with that of its
+smallest one, which costs a group of near copies one row a document.  Those that are
+not at least 0.8 alike with it (Jaccard) are open: pieces of them meet all pieces of
+their component, and are linked by a search that drops a document from the index as
+soon as it is linked.  Classes are the components of these exact links.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ STEP = 384 << 10
 #: Darts of an element drawn at once.
 DRAW = 8
 #: Documents and shingles that one checking task holds of a piece.
-GROUP, GROUP_SHINGLES = 2000, 2_000_000
+GROUP, GROUP_SHINGLES = 300, 1_000_000
 SKETCH = T.StructType(
     [T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType(), False))]
 )
@@ -134,23 +135,27 @@ def setter() -> Callable[[pa.Array], list]:
     return judge
 
 
-def link(ids: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Edges (member, first of its class) of the exact similarity graph's components.
+def link(ids: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, closed: np.ndarray | None = None, root: int | None = None) -> list[tuple[int, int]]:
+    """Edges (member, first of its class) of the exact similarity graph's components; ``closed`` ones are known to be of the class of ``root``.
 
     A document leaves the index when it is reached; the index is built anew whenever
     half of it has left.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(ids, kind="stable")
-    waiting, left = np.ones(n, bool), n
-    held = 0
+    waiting = np.ones(n, bool) if closed is None else ~closed
+    left, held = int(waiting.sum()), 0
+    starts = [([k], int(ids[k])) for k in np.argsort(ids, kind="stable").tolist() if waiting[k]]
+    if closed is not None and closed.any():
+        starts.insert(0, (np.flatnonzero(closed).tolist(), root))
     out: list[tuple[int, int]] = []
-    for first in order.tolist():
-        if not waiting[first]:
-            continue
-        waiting[first], left = False, left - 1
-        queue = [first]
+    for queue, first in starts:
+        if not left:
+            break
+        if len(queue) == 1 and waiting[queue[0]]:
+            waiting[queue[0]], left = False, left - 1
+        elif closed is None or not closed[queue[0]]:
+            continue  # reached before
         while queue and left:
             if not held or left <= held // 2:
                 rest = np.flatnonzero(waiting)
@@ -166,20 +171,47 @@ def link(ids: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY
             waiting[near] = False
             left -= len(near)
             queue += near.tolist()
-            out += [(int(ids[i]), int(ids[first])) for i in near]
+            out += [(int(ids[i]), first) for i in near]
     return out
 
 
-def checked_links(members: DataFrame) -> DataFrame:
-    """Exact links ``a, b`` inside the groups of ``root, node, set``."""
+def grouped(run: Callable[[np.ndarray, list[np.ndarray], pa.Table], list[tuple[int, int]]]) -> Callable[[pa.Table], pa.Table]:
+    def edges(table: pa.Table) -> pa.Table:
+        found = run(table.column("node").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")], table)
+        return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("node").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
-        edges = link(ids, sets)
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+    return edges
 
-    return members.groupBy("root", "one", "two").applyInArrow(run, "a long, b long")
+
+def jaccard(one: np.ndarray, two: np.ndarray) -> float:
+    shared = len(np.intersect1d(one, two, assume_unique=True))
+    return shared / (len(one) + len(two) - shared)
+
+
+def root_links(sets: DataFrame) -> DataFrame:
+    """Exact links ``a, b`` with the smallest document, in groups of ``root, part, node, set``; the root's own sets are in each."""
+
+    def run(ids: np.ndarray, each: list[np.ndarray], table: pa.Table) -> list[tuple[int, int]]:
+        root = table.column("root")[0].as_py()
+        own = [x for i, x in zip(ids, each, strict=True) if i == root]
+        return [(int(i), root) for i, x in zip(ids, each, strict=True) if i != root and any(jaccard(x, o) >= SIMILARITY - 1e-9 for o in own)]
+
+    return sets.groupBy("root", "part").applyInArrow(grouped(run), "a long, b long")
+
+
+def open_links(sets: DataFrame) -> DataFrame:
+    """Exact links ``a, b`` inside the groups of ``root, one, two, node, closed, set``."""
+
+    def run(ids: np.ndarray, each: list[np.ndarray], table: pa.Table) -> list[tuple[int, int]]:
+        closed = table.column("closed").to_numpy()
+        return link(ids, each, SIMILARITY, closed, table.column("root")[0].as_py())
+
+    return sets.groupBy("root", "one", "two").applyInArrow(grouped(run), "a long, b long")
+
+
+def either_side(table: DataFrame, *text: str) -> DataFrame:
+    """``table``, broadcast if it was measured as small."""
+    return F.broadcast(table) if small(table, *text) else table
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,8 +220,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     ``class_id`` is the smallest id of the documents connected by chains of pairs with a
     Jaccard similarity of at least 0.8 of their five-word shingles (a text of fewer
     words is one shingle).  ``kept`` marks rows whose id is the class id.  Null texts
-    and texts without words are alone; a row with a null id is kept, its class is null;
-    rows with one id share its class.  An empty table gives an empty result.
+    and texts without words are alone; a row with a null id is kept, its class is null.
+    Rows with one id are one document: all their texts count, and they share its class.
+    An empty table gives an empty result.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     sketch = stored(annotate(slim, "text", SKETCH, sketcher, limit=STEP), "sketch")
@@ -203,23 +236,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     stars = bands.join(leads, F.col("key") == F.col("k")).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     nodes = stored(components(stars.distinct()), "nodes")
 
-    sizes = reps.select("rep", "size").join(nodes, F.col("rep") == F.col("node")).groupBy(F.col("root").alias("r")).agg(
+    counted = reps.select("rep", "size").join(nodes, F.col("rep") == F.col("node")).groupBy(F.col("root").alias("r")).agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(GROUP), F.sum("size") / F.lit(GROUP_SHINGLES))).cast("int").alias("pieces")
     )
-    dealt = nodes.join(sizes, F.col("root") == F.col("r")).select("node", "root", "pieces", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("own"))
+    dealt = nodes.join(counted, F.col("root") == F.col("r")).select("node", "root", "pieces", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("own"))
     dealt = stored(dealt, "dealt")
-    wanted = F.broadcast(dealt) if small(dealt) else dealt
-    texts = slim.join(wanted, F.col("id") == F.col("node")).dropDuplicates(["node"]) if repeated(sketch) else slim.join(wanted, F.col("id") == F.col("node"))
-    sets = annotate(texts.select("node", "root", "pieces", "own", "text"), "text", T.StructType([T.StructField("set", T.BinaryType())]), setter)
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    pairs = pairs.select("root", "node", "set", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    links = stored(checked_links(pairs), "checked")
-    classes = components(links).withColumnRenamed("root", "class")
+    texts = slim.join(either_side(dealt), F.col("id") == F.col("node"))
+    texts = texts.dropDuplicates(["node", "text"]) if repeated(sketch) else texts
+    sets = stored(annotate(texts.select("node", "root", "pieces", "own", "text"), "text", T.StructType([T.StructField("set", T.BinaryType())]), setter), "sets")
+    every = F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array("own"))).alias("part")
+    first = stored(root_links(sets.select("root", "node", "set", every)), "root-links")
+
+    closed = first.select(F.col("a").alias("c")).distinct()
+    marked = dealt.join(either_side(closed), F.col("node") == F.col("c"), "left")
+    marked = marked.select("node", "root", "pieces", "own", (F.col("c").isNotNull() | (F.col("node") == F.col("root"))).alias("closed"))
+    opens = marked.where("not closed").groupBy(F.col("root").alias("o_root")).agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("open_pieces"))
+    todo = stored(marked.join(either_side(stored(opens, "open-roots")), F.col("root") == F.col("o_root")).select(F.col("node").alias("t_node"), "closed", "open_pieces"), "open")
+    held = sets.join(either_side(todo), F.col("node") == F.col("t_node")).select("root", "node", "closed", "set", "pieces", "own", "open_pieces")
+    one, two = F.pmod(F.xxhash64("node", F.lit(1)), F.col("open_pieces")).cast("int"), F.col("own")
+    every_two = held.where("not closed").select("root", "node", "closed", "set", one.alias("one"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("two"))
+    every_one = held.select("root", "node", "closed", "set", F.explode(F.sequence(F.lit(0), F.col("open_pieces") - 1)).alias("one"), two.alias("two"))
+    twice = ~F.col("closed") & (one == F.col("one"))  # an open document that is in both pieces
+    links = first.unionByName(open_links(every_two.unionByName(every_one.where(~twice))))
+    classes = components(stored(links, "checked")).withColumnRenamed("root", "class")
 
     named = reps.select("h1", "h2", "rep").join(classes, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("class", "rep").alias("class"))
-    first = F.coalesce("class", "id")
+    least = F.coalesce("class", "id")
     joined = sketch.join(stored(named, "classes"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    return joined.select(F.col("id").alias(id_col), first.alias("class_id"), F.coalesce(F.col("id") == first, F.lit(True)).alias("kept"))
+    return joined.select(F.col("id").alias(id_col), least.alias("class_id"), F.coalesce(F.col("id") == least, F.lit(True)).alias("kept"))
 
 
 def repeated(sketch: DataFrame) -> bool:
