@@ -1,20 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text: an ordinary one, and a toxic
-one that has strings typical of toxic documents besides.  A document is cut into
-overlapping windows; each is compressed with both, and the bytes that the toxic
-dictionary saves are its distance.  The largest distances of a document, weighed by
-a calibrated logistic curve, are its score.
-
-The library's own trainer fills a dictionary with what is frequent, and toxic
-documents are mostly ordinary words (held-out AUC 0.73), so the contents are chosen
-here: the strings inside words that occur in many different contexts of toxic
-documents and in next to none of ordinary ones.
+Two zstandard dictionaries are trained, one on windows of ordinary and one on windows
+of toxic text.  A document is cut into overlapping windows; each is compressed with the
+ordinary dictionary alone and with the toxic one before it, and the bytes that the
+toxic one saves are its distance.  The largest distances of a document and how many pass
+the threshold that few ordinary windows pass, weighed by a calibrated logistic curve,
+are its score.
+
+Toxic documents are mostly ordinary words, and the library's trainer takes what is
+frequent.  So training goes in rounds: the toxic dictionary is trained anew on those
+windows of toxic documents that the last one saved most on, narrowed to where it
+did, and the ordinary dictionary gets what was saved on windows of ordinary documents.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections import Counter
 from collections.abc import Callable
 
@@ -27,66 +28,43 @@ from pyspark.sql import types as T
 
 from cadenza.llm.common import annotate, labelled_sample, read
 
-#: Bounds of the labelled sample: documents and bytes a class.
-PER_CLASS, SAMPLE_BYTES = 1800, 8 << 20
+#: Bounds of the labelled sample: documents and bytes a class, and distinct windows a class to train dictionaries on.
+PER_CLASS, SAMPLE_BYTES, MOST_WINDOWS = 1800, 8 << 20, 150_000
 HELD = (5, 0)
 WINDOW, STRIDE = 48, 24
-GRAM, LEAST, RATIO = 5, 12, 12
-ORDINARY_BYTES = 16384
+#: Bytes of the dictionaries: the ordinary one, what is added to it for what ordinary windows saved, the first toxic one and the later ones.
+ORDINARY, ADDED, FIRST, TOXIC = 65536, 8192, 16384, 2048
+#: Bytes of a segment that the trainer picks, in the first and in later dictionaries, and of what it counts.
+FIRST_SEGMENT, SEGMENT, COUNTED = 8, 12, 6
+ROUNDS = 6
+#: Bytes that a window is narrowed to, and the steps between candidates.
+NARROW, NARROW_STEP = 20, 4
+#: Percent of ordinary windows whose distance is not above the threshold.
+PERCENT = 99.5
 #: Where a window that shows a distance is cut again to confirm it: shifts of its two ends.
 SHIFTS = ((-9, -5), (-4, 7), (-15, 15), (3, 4))
 TOP = 3
-LETTERS = re.compile(r"[^\W\d_]+")
+FEATURES = TOP + 5
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
 
 
-def contexts(texts: list[str]) -> set[tuple[str, str, str]]:
-    """The distinct (word before, word, word after) of all texts, so that copies count once."""
-    found: set[tuple[str, str, str]] = set()
-    for t in texts:
-        words = ["", *LETTERS.findall(t), ""]
-        found.update(zip(words, words[1:], words[2:], strict=False))
-    return found
-
-
-def grams(word: str) -> set[str]:
-    padded = f" {word} "
-    return {padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1))}
-
-
-def gram_counts(words: Counter[str]) -> Counter[str]:
-    out: Counter[str] = Counter()
-    for w, n in words.items():
-        for g in grams(w):
-            out[g] += n
-    return out
-
-
-def contents(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The toxic strings, most typical last, and ordinary text that holds words like them."""
-    tox, plain = contexts(toxic), contexts(ordinary)
-    tox_words, plain_words = Counter(c[1] for c in tox), Counter(c[1] for c in plain)
-    seen, usual = gram_counts(tox_words), gram_counts(plain_words)
-    marks = {g for g, n in seen.items() if n >= LEAST and n * len(plain) >= RATIO * (usual[g] + 0.5) * len(tox)}
-    strings: Counter[str] = Counter()
-    for w, n in tox_words.items():
-        padded, i = f" {w} ", 0
-        while i <= len(padded) - GRAM:
-            a = i
-            while i <= len(padded) - GRAM and padded[i : i + GRAM] in marks:
-                i += 1
-            if i > a:
-                strings[padded[a : i + GRAM - 1]] += n
-            i += 1
-    typical = sorted((n, s) for s, n in strings.items() if n >= GRAM)
-    inside = {g for _, s in typical for g in (s[i : i + GRAM] for i in range(len(s) - GRAM + 1))}
-    alike, held = [], Counter()
-    for w, _ in sorted(plain_words.items(), key=lambda x: (-x[1], x[0])):
-        if any(held[g] < 3 for g in grams(w) & inside):
-            alike.append(f" {w} ")
-            held.update(grams(w) & inside)
-    text = " ".join(ordinary).encode()[:ORDINARY_BYTES]
-    return "".join(s for _, s in typical).encode(), text + "".join(alike).encode()
+def windows(text: bytes) -> list[bytes]:
+    n = max(1, -(-(len(text) - WINDOW + STRIDE) // STRIDE))
+    return [text[i : i + WINDOW] for i in range(0, n * STRIDE, STRIDE)]
+
+
+def distinct_windows(texts: list[str]) -> list[bytes]:
+    """The distinct windows of all texts, so that copies count once, in an order that says nothing of the texts."""
+    found = {w for t in texts for w in windows(t.encode()) if w}
+    return sorted(found, key=lambda w: (zlib.crc32(w), w))[:MOST_WINDOWS]
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary by the library's trainer; of samples too few or too alike for it, the samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=COUNTED).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -99,29 +77,57 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
 
+def distance(toxic: bytes, ordinary: bytes) -> Callable[[bytes], int]:
+    """How many bytes the toxic dictionary saves on a window."""
+    # the ordinary dictionary has blanks where the toxic one is: all other offsets agree
+    usual, marked = compressor(bytes(len(toxic)) + ordinary), compressor(toxic + ordinary)
+    return lambda window: len(usual.compress(window)) - len(marked.compress(window))
+
+
+def narrowed(window: bytes, saved: Callable[[bytes], int]) -> bytes:
+    """The part of a window that the toxic dictionary saves most on."""
+    return max((window[i : i + NARROW] for i in range(0, max(1, len(window) - NARROW + 1), NARROW_STEP)), key=saved)
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, float]:
+    """The toxic and the ordinary dictionary, and the threshold of a distance."""
+    tox, plain = distinct_windows(toxic), distinct_windows(ordinary)
+    base, rest = trained(plain[::2], ORDINARY, FIRST_SEGMENT), plain[1::2] or plain
+    content, added, usual, threshold = trained(tox, FIRST, FIRST_SEGMENT), b"", [], 1.0
+    for k in range(ROUNDS + 1):
+        saved = distance(content, added + base)
+        own, other = np.array([saved(w) for w in tox]), np.array([saved(w) for w in rest])
+        threshold = max(1.0, float(np.percentile(other, PERCENT))) if len(other) else 1.0
+        chosen = [narrowed(tox[i], saved) for i in np.flatnonzero(own >= threshold).tolist()]
+        if k == ROUNDS or len(chosen) < 8:
+            break
+        usual += [narrowed(rest[i], saved) for i in np.flatnonzero(other >= max(1.0, threshold - 1)).tolist()]
+        added = trained(usual, ADDED, SEGMENT) if len(usual) >= 8 else added
+        content = trained(chosen, TOXIC, SEGMENT)
+    return content, added + base, threshold
+
+
 class ToxicityModel:
-    """Dictionaries and calibration; small enough to travel with the task."""
+    """Dictionaries, threshold and calibration; small enough to travel with the task."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray) -> None:
-        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
+    def __init__(self, toxic: bytes, ordinary: bytes, threshold: float, weights: np.ndarray) -> None:
+        self.toxic, self.ordinary, self.threshold, self.weights = toxic, ordinary, threshold, weights
 
     def measure(self) -> Callable[[str], np.ndarray]:
-        # the ordinary dictionary has blanks where the toxic one has its strings: all other offsets agree
-        usual, marked = compressor(bytes(len(self.toxic)) + self.ordinary), compressor(self.toxic + self.ordinary)
-
-        def saved(window: bytes) -> int:
-            return len(usual.compress(window)) - len(marked.compress(window))
+        saved, threshold = distance(self.toxic, self.ordinary), self.threshold
 
         def features(text: str) -> np.ndarray:
             b, tops = text.lower().encode(), [0.0] * TOP
-            n = max(1, -(-(len(b) - WINDOW + STRIDE) // STRIDE))
-            for i in range(0, n * STRIDE, STRIDE):
-                d = saved(b[i : i + WINDOW])
+            cut = windows(b)
+            for k, w in enumerate(cut):
+                d = saved(w)
                 if d > 0:
+                    i = k * STRIDE
                     again = sorted([d, *(saved(b[max(0, i + x) : i + WINDOW + y]) for x, y in SHIFTS)])
                     tops.append(sum(again[1:4]) / 3)
-            tops = sorted(tops)[-TOP:]
-            return np.array([1.0, *tops, max(0.0, tops[-1] - 3.0), np.log1p(n)])
+            top = sorted(tops)[-TOP:]
+            passed = sum(d >= threshold for d in tops)
+            return np.array([1.0, *top, max(0.0, top[-1] - threshold - 1), np.log1p(len(cut)), np.log1p(passed), 10 * passed / len(cut)])
 
         return features
 
@@ -160,12 +166,11 @@ def fit(sample: list[tuple[str, int]], odds: float = 1.0) -> ToxicityModel:
     parts = [[(t, y) for i, (t, y) in enumerate(s) if (i % 3 == 2) == k] for k in (False, True) for s in [[x for x in sample if x[1] == 1], [x for x in sample if x[1] == 0]]]
     tox, plain, tox_rest, plain_rest = parts
     if not tox or not plain:
-        return ToxicityModel(b"", b"", np.zeros(TOP + 3))
-    toxic, ordinary = contents([t.lower() for t, _ in tox], [t.lower() for t, _ in plain])
-    model = ToxicityModel(toxic, ordinary, np.zeros(TOP + 3))
-    if toxic:
+        return ToxicityModel(b"", b"", 1.0, np.zeros(FEATURES))
+    model = ToxicityModel(*dictionaries([t.lower() for t, _ in tox], [t.lower() for t, _ in plain]), np.zeros(FEATURES))
+    if model.toxic:
         features, rest = model.measure(), tox_rest + plain_rest
-        x, y = np.array([features(t) for t, _ in rest]).reshape(-1, TOP + 3), np.array([float(v) for _, v in rest])
+        x, y = np.array([features(t) for t, _ in rest]).reshape(-1, FEATURES), np.array([float(v) for _, v in rest])
         model.weights = logistic(x, y)
         model.weights[0] -= np.log(odds)
     return model
