@@ -64,6 +64,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes not to be a column of ``df``, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def small(df: DataFrame, *text: str) -> bool:
     """Whether a measured table stays under :data:`BROADCAST_BYTES` (64 bytes a row plus its strings)."""
     size = F.lit(64)
@@ -151,7 +162,7 @@ def annotate(df: DataFrame, text: str, fields: T.StructType, worker: Callable[[]
     kept = [c for c in df.columns if c not in fields.names and (keep_text or c != text)]
     out = T.StructType([df.schema[c] for c in kept] + list(fields))
     names = out.names
-    plain = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    plain = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(fresh(df, "__text")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = worker()
@@ -170,7 +181,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
     At most ``per_class`` documents of either label, the first in the order of the
     CRC of their id, without those whose CRC modulo ``modulus`` is ``held``; of these
-    the ones that fit, in that order, into ``max_bytes`` a class.
+    the ones that fit, in that order, into ``max_bytes`` a class.  A text of more than a
+    quarter of ``max_bytes`` is not fitted on, so that one text does not take all the room.
     """
     crc = F.crc32(F.col("doc_id").cast("string"))
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))

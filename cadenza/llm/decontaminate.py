@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import read, small_batches, steps, tidy
+from cadenza.llm.common import fresh, read, small_batches, steps, stored, tidy
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -177,7 +177,6 @@ RESULT = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")]
     + [T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
 )
-PASSED = T.StructType([T.StructField("__hit", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -191,16 +190,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in RESULT.names and c != text]
-    schema = T.StructType([docs.schema[c] for c in kept])
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"), F.array().cast("array<bigint>").alias("__hit"), F.array().cast("array<string>").alias("__items"))
-    blocks = list(blocks_of(benchmark, item, item_text))
+    held, hit, items = fresh(docs, "__text", "__hit", "__items")
+    passed = [T.StructField(hit, T.ArrayType(T.LongType())), T.StructField(items, T.ArrayType(T.StringType()))]
+    schema = [docs.schema[c] for c in kept]
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(held), F.array().cast("array<bigint>").alias(hit), F.array().cast("array<string>").alias(items))
     small_batches(spark)
-    for k, block in enumerate(blocks):
-        last = k + 1 == len(blocks)
-        texts = [T.StructField("__text", T.StringType())] if keep_text or not last else []
-        to = T.StructType(list(schema) + texts + list(RESULT if last else PASSED))
-        out = out.mapInArrow(scan(spark.sparkContext.broadcast(block), len(kept), bool(texts), last, to.names), to)
-    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in ([c for c in docs.columns if c not in RESULT.names and (keep_text or c != text)] + RESULT.names)])
+    blocks = blocks_of(benchmark, item, item_text)
+    block, after = next(blocks), next(blocks, None)
+    while block is not None:  # two blocks are on the driver at once
+        texts = [T.StructField(held, T.StringType())] if keep_text or after is not None else []
+        to = T.StructType(schema + texts + (passed if after is not None else list(RESULT)))
+        out = out.mapInArrow(scan(spark.sparkContext.broadcast(block), len(kept), bool(texts), after is None, to.names), to)
+        out = out if after is None else stored(out, "contamination")  # one worker and one block in a task at a time
+        block, after = after, next(blocks, None) if after is not None else None
+    order = [c for c in docs.columns if c not in RESULT.names and (keep_text or c != text)] + RESULT.names
+    return out.select(*[F.col(held).alias(text) if c == text else F.col(f"`{c}`") for c in order])
 
 
 def scan(block, width: int, with_text: bool, last: bool, names: list[str]) -> Callable:
@@ -227,10 +231,12 @@ def scan(block, width: int, with_text: bool, last: bool, names: list[str]) -> Ca
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``item_id, n_words, doc_id, doc_word``: each item's longest verbatim match of a
-    window or more in all shards, and one place of it.  Ties go to the smallest id and place."""
-    found = []
+    window or more in all shards, and one place of it.  Ties go to the smallest id, of any
+    type that sorts, and place; rows without an id are left out."""
+    out = None
+    small_batches(docs.sparkSession)
     to = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("doc_word", T.LongType())])
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    slim = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     for block in blocks_of(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -256,12 +262,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                             [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), ids.slice(a, b - a).take(pa.array(shard.row[at])), pa.array(shard.at[at], pa.int64())], names=to.names
                         )
 
-        found.append(slim.mapInArrow(run, to))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    best = F.max_by(F.struct("n_words", "doc_id", "doc_word"), F.struct("n_words", -F.col("doc_id"), -F.col("doc_word")))
-    return out.groupBy("item_id").agg(best.alias("b")).select("item_id", "b.*")
+        found = stored(slim.mapInArrow(tidy(run), to), "longest")  # a row an item and task
+        out = found if out is None else out.unionByName(found)
+    best = F.min(F.struct((-F.col("n_words")).alias("n"), "doc_id", "doc_word")).alias("b")
+    return out.groupBy("item_id").agg(best).select("item_id", (-F.col("b.n")).alias("n_words"), "b.doc_id", "b.doc_word")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +286,7 @@ grams AS (
   FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, sizes WHERE k = 'd' AND len(ws) >= n)),
 found AS (SELECT grams.id, i, grams.n, windows.id AS item FROM grams JOIN windows ON grams.g = windows.g AND grams.n = windows.n),
 hit AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS p FROM found) GROUP BY id),
-named AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM found) GROUP BY id)
+named AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, coalesce(item::VARCHAR, 'null') AS item FROM found) GROUP BY id)
 SELECT w.id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND {SHARE} * n_hit >= len(ws), false) AS contaminated
 FROM w LEFT JOIN hit ON w.id = hit.id LEFT JOIN named ON w.id = named.id WHERE k = 'd'

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import read, small, stored
+from cadenza.llm.common import fresh, read, small, stored
 
 #: (host, path, verdict) of the production list.
 RULES = (
@@ -86,6 +86,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     depth = clean.agg(F.max(F.size(F.split("rhost", r"\."))).alias("d")).first()["d"] or 0
 
     parsed = with_host_path(pages, url)
+    bhost, bpath, found = fresh(parsed, "bhost", "bpath", "best")
     places = parsed.select(F.col("host").alias("uhost"), F.col("path").alias("upath")).distinct()
     labels = F.reverse(F.split("uhost", r"\."))
     keys = F.transform(F.sequence(F.lit(1), F.least(F.lit(max(depth, 1)), F.size(labels))), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
@@ -115,12 +116,12 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .where(F.col("top").isNotNull())
     )
     rank = F.struct(F.length("top.rule").alias("n"), F.length("key").alias("h"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))
-    best = swept.groupBy(F.col("uhost").alias("bhost"), F.col("at").alias("bpath")).agg(F.max(rank).alias("best"))
+    best = swept.groupBy(F.col("uhost").alias(bhost), F.col("at").alias(bpath)).agg(F.max(rank).alias(found))
     return (
-        parsed.join(best, (F.col("host") == F.col("bhost")) & (F.col("path") == F.col("bpath")), "left")
-        .withColumn("rule", F.col("best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("best.verdict"), F.lit(default)))
-        .drop("bhost", "bpath", "best")
+        parsed.join(best, (F.col("host") == F.col(bhost)) & (F.col("path") == F.col(bpath)), "left")
+        .withColumn("rule", F.col(f"{found}.rule"))
+        .withColumn("verdict", F.coalesce(F.col(f"{found}.verdict"), F.lit(default)))
+        .drop(bhost, bpath, found)
     )
 
 

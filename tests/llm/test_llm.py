@@ -59,20 +59,108 @@ def test_against_sql(spark, name):
     assert sorted((tuple(r[c] for c in key) for r in df.collect()), key=repr) == sorted((tuple(r[names.index(c)] for c in key) for r in cur.fetchall()), key=repr)
 
 
+def by_id(df, *names):
+    return sorted((tuple(r[n] for n in ("doc_id", *names)) for r in df.collect()), key=repr)
+
+
 def test_edge_cases(spark, odd, labels):
     model, net = toxicity.fit([]), quality_classifier.ByteNet()
     bench = spark.createDataFrame([(1, "one two three"), (2, None), (None, "")], "item_id long, text string")
     pieces = sentencepiece.production_model()
-    for df in (odd, odd.where("false")):
-        n = df.count()
-        assert quality_rules.quality_rules(df).count() == n
-        assert quality_classifier.quality_scores(df, net).count() == n
-        assert substring_dedup.substring_dedup(df).count() == n
-        assert token_counts.token_counts(df, public_tokenizers.path(token_counts.TOKENIZER)).count() == n
-        assert toxicity.toxicity(df, model).count() == n
-        assert decontaminate.contamination(df, bench).where("n_hit > 0").count() == (2 if n else 0)
-        assert near_dedup.near_duplicates(df).where("kept").count() == n
-        assert sentencepiece.round_trips(df, pieces).where("not round_trip").count() == 0
+    empty = odd.where("false")
+    for run in (
+        quality_rules.quality_rules, lambda d: quality_classifier.quality_scores(d, net), substring_dedup.substring_dedup, lambda d: token_counts.token_counts(d, public_tokenizers.path(token_counts.TOKENIZER)),
+        lambda d: toxicity.toxicity(d, model), lambda d: decontaminate.contamination(d, bench), near_dedup.near_duplicates, lambda d: sentencepiece.round_trips(d, pieces),
+    ):
+        assert run(empty).count() == 0
+    ids = [*range(len(ODD)), None, 7]
+    words = [len(WORD.findall(t or "")) for t in ODD]
+    got = by_id(quality_rules.quality_rules(odd), "n_words", "base_failed")
+    assert got == sorted([(i, n, True if i != 5 else True) for i, n in enumerate(words)] + [(None, 2, True), (7, words[7], True)], key=repr)
+    assert {r[1] for r in by_id(toxicity.toxicity(odd, model), "score")} == {0.0}
+    assert all(0 <= r[1] <= 1 for r in by_id(quality_classifier.quality_scores(odd, net), "score"))
+    assert by_id(substring_dedup.substring_dedup(odd), "class_id", "n_links", "dup_words", "spans") == sorted([(i, i, 0, 0, "") for i in ids], key=repr)
+    assert by_id(near_dedup.near_duplicates(odd), "class_id", "kept") == sorted([(i, i, True) for i in ids], key=repr)
+    hits = by_id(decontaminate.contamination(odd, bench), "n_hit", "contaminated")
+    assert hits == sorted([(i, 3 if i == 7 else 0, i == 7) for i in ids], key=repr)
+    counts = by_id(token_counts.token_counts(odd, public_tokenizers.path(token_counts.TOKENIZER)), "n_bytes", "over_limit")
+    texts = [(i, t or "") for i, t in [*enumerate(ODD), (None, "null id"), (7, ODD[7])]]
+    assert [c[:2] for c in counts] == [c[:2] for c in sorted([(i, len(t.encode()), None) for i, t in texts], key=repr)] and any(c[2] for c in counts)
+    trips = by_id(sentencepiece.round_trips(odd, pieces), "n_bytes", "round_trip")
+    assert trips == sorted([(i, len(t.encode()), True) for i, t in texts], key=repr)
+
+
+def test_columns_named_like_inner_ones(spark):
+    """Columns that the operators use inside are kept."""
+    df = spark.createDataFrame([(1, "one two three", "http://org/x")], "doc_id long, text string, url string")
+    own = ["best", "bhost", "bpath", "__text", "__hit", "__items", "key", "id", "set"]
+    for c in own:
+        df = df.withColumn(c, F.lit("own"))
+    bench = spark.createDataFrame([("1", "one two three")], "item_id string, text string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    outs = (
+        url_filter.url_filter(df, rules), decontaminate.contamination(df, bench), token_counts.token_counts(df, public_tokenizers.path(token_counts.TOKENIZER)),
+        sentencepiece.encode(df, sentencepiece.production_model()), toxicity.toxicity(df, toxicity.fit([])), decontaminate.contamination(df, bench, keep_text=True),
+    )
+    for out in outs:
+        row = out.collect()[0]
+        assert all(row[c] == "own" for c in own)
+    assert near_dedup.near_duplicates(df).collect() and substring_dedup.substring_dedup(df).collect() and quality_rules.quality_rules(df.withColumn("source", F.lit("s"))).collect()
+
+
+def test_url_filter_odd_tables(spark):
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    urls = ["http://org/" + "x/" * 100_000, "http://org/a", "http://org/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], len(r["path"])) for r in url_filter.url_filter(pages, rules).collect()}
+    assert got == {0: ("org/", 200_001), 1: ("org/", 2), 2: ("org/", 2)}
+    assert url_filter.url_filter(pages.where("false"), rules).count() == 0
+    assert url_filter.url_filter(pages.unionByName(pages), rules).count() == 6
+
+
+def test_chat_ties_repeats_and_empty(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, None, "system", "s")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit("own"))
+    got = chat_format.digests(chat_format.format_turns(turns)).collect()
+    seg = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    context = [len(seg("system", "s") + seg("user", "a") + seg("user", "b")), len(seg("assistant", "x"))]
+    assert len(got) == 1 and (got[0]["n_turns"], got[0]["loss_chars"], got[0]["n_examples"], got[0]["context_chars"]) == (5, 2, 2, 2 * context[0] + context[1])
+    assert chat_format.digests(chat_format.format_turns(turns.where("false"))).count() == 0
+
+
+def test_sentencepiece_tables(spark):
+    """The encoding and decoding of a whole column, there and back."""
+    import sentencepiece as library
+
+    other, model = library.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece.MODEL)), sentencepiece.production_model()
+    some = [t or "" for t in ODD] + [" a  b ", "über 日本 語"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(some)] + [(99, None)], "id long, text string")
+    coded = sentencepiece.encode(df, model)
+    got = {r["id"]: list(r["ids"]) for r in coded.collect()}
+    assert got == {**{i: other.encode(t) for i, t in enumerate(some)}, 99: []}
+    back = {r["id"]: r["text"] for r in sentencepiece.decode(coded, model).collect()}
+    assert back == {**{i: t.replace("▁", " ") for i, t in enumerate(some)}, 99: ""}
+    assert sentencepiece.decode(coded.withColumn("ids", F.lit(None).cast("array<int>")), model).where("text = ''").count() == len(some) + 1
+
+
+def test_ids_with_several_texts(spark):
+    """All texts of an id count, none is lost or cut by another's passages."""
+    r = random.Random(31)
+    own = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    a, b, c = own(80), own(80), own(70)
+    rows = [(1, a), (1, b), (2, b + " " + own(5)), (3, c), (3, c), (4, a + " " + c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    got = sorted((x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates_out(spark, docs, SF).collect())
+    assert got == sorted([(1, a), (1, b), (3, c), (4, a + " " + c)])
+    left = {(x["doc_id"], x["text"].strip()) for x in corpus_pipeline.passages_out(spark, docs, SF).collect()}
+    assert {(1, a), (1, b), (3, c)} <= left and not any(i == 4 for i, _ in left)
+
+
+def test_longest_match_with_text_ids(spark):
+    bench = spark.createDataFrame([(5, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    same = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([("0a3f", same), ("0a3e", "x " + same), (None, same)], "doc_id string, text string")
+    assert [tuple(r) for r in decontaminate.longest_matches(df, bench).collect()] == [("5", 20, "0a3e", 1)]
 
 
 def test_repeated_words(spark):
@@ -266,15 +354,63 @@ def test_passage_behind_a_shorter_line(spark):
     assert all(x["spans"] == ("108-158" if i % 10 == 3 else "") and x["n_links"] == (i % 10 > 1) for i, x in got.items())
 
 
-@pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.9), (quality_classifier, "quality", 0.85)])
-def test_held_out_accuracy(spark, module, label, least):
-    sf = "/root/testdata/sf0.01"
-    name = "op8_toxicity" if label == "toxic" else "op2_quality_classifier"
+def auc(scores, truth):
+    """How often a positive scores above a negative; ties count half."""
+    order = np.sort(scores)
+    rank = (np.searchsorted(order, scores, "left") + np.searchsorted(order, scores, "right") + 1) / 2
+    n1, n0 = truth.sum(), (~truth).sum()
+    return (rank[truth].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+
+
+def judged(spark, sf, name, label):
+    """Scores, decisions and labels of the held-out documents."""
     truth = dict(duckdb.connect().execute(f"SELECT doc_id, {label} FROM '{sf}/labels.parquet'").fetchall())
     rows = [r for r in queries.QUERIES[name](spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
-    mod, held = module.HELD
+    mod, held = (toxicity if label == "toxic" else quality_classifier).HELD
     assert rows and all(zlib.crc32(str(r["doc_id"]).encode()) % mod == held for r in rows)
-    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows]) >= least
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    return np.array([r["score"] for r in rows]), np.array([r["predicted"] == 1 for r in rows]), np.array([truth[r["doc_id"]] == 1 for r in rows])
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """A constant answer has an AUC of 0.5 and no recall.  A quarter of this table's toxic labels are noise."""
+    score, said, truth = judged(spark, "/root/testdata/sf0.1", "op8_toxicity", "toxic")
+    assert auc(score, truth) >= 0.7 and said[truth].mean() >= 0.4 and said[~truth].mean() <= 0.02
+
+
+def test_quality_on_held_out_rows(spark):
+    score, said, truth = judged(spark, "/root/testdata/sf0.01", "op2_quality_classifier", "quality")
+    assert auc(score, truth) >= 0.9 and said[truth].mean() >= 0.9 and said[~truth].mean() <= 0.5
+
+
+def test_toxicity_finds_planted_words():
+    """Words of toxic training texts in new surroundings."""
+    r = random.Random(21)
+    syllables = ["lo", "ra", "men", "ti", "ver", "sch", "un", "pa", "ke", "den", "or", "ist"]
+    prose = lambda n: " ".join("".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(n))
+    bad = ["grubnik", "zworfel", "quixpard", "hythmox"]
+
+    def rude():
+        words = prose(120).split()
+        for _ in range(4):
+            words[r.randrange(len(words))] = r.choice(bad)
+        return " ".join(words)
+
+    model = toxicity.fit([(rude(), 1) for _ in range(250)] + [(prose(120), 0) for _ in range(250)])
+    truth = np.array([True] * 60 + [False] * 60)
+    score = np.array(model.scorer()(pa.array([rude() for _ in range(60)] + [prose(120) for _ in range(60)]))[0])
+    assert auc(score, truth) >= 0.97 and (score[truth] >= 0.5).mean() >= 0.85 and (score[~truth] >= 0.5).mean() <= 0.1
+    assert any(w.encode()[1:5] in model.toxic for w in bad)
+
+
+def test_pipeline_odd_rows(spark, odd, labels):
+    """Null texts and ids, empty texts and repeated rows pass all stages without a crash; exact repeats go."""
+    df = odd.select(*corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        df = stage(spark, df, SF)
+    left = sorted((r["doc_id"] for r in df.collect()), key=repr)
+    assert left == sorted([*range(len(ODD)), None], key=repr)
+    assert corpus_pipeline.STAGES[4][1](spark, df, SF).where("round_trip").count() == len(ODD) + 1
 
 
 def test_pipeline(spark, docs, texts):
@@ -385,3 +521,156 @@ def test_passage_longer_than_the_smallest_document_has(spark):
         want |= {10 * k: "", 10 * k + 1: f"{9 + len(before)}-{69 + len(before)}", 10 * k + 2: f"20-{20 + len(more)}"}
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "doc_id long, text string")
     assert {x["doc_id"]: x["spans"] for x in substring_dedup.substring_dedup(df).collect()} == want
+
+
+PROBES = {
+    "two documents, one edit in 50 words": lambda own: (lambda p: {1: own(30) + p + own(30), 2: own(7) + p[:25] + own(1) + p[26:] + own(40)})(own(50)),
+    "the smallest has 47 of 60 words": lambda own: (lambda p: {0: own(30) + p[:47] + own(30), 1: own(9) + p + own(40), 2: own(7) + p[:30] + own(1) + p[31:] + own(40)})(own(60)),
+    "the smallest has both halves apart": lambda own: (lambda p: {0: own(30) + p[:30] + own(30) + p[30:] + own(9), 1: own(9) + p + own(40), 2: own(7) + p[:18] + own(1) + p[19:] + own(40)})(own(60)),
+    "five words put into 80": lambda own: (lambda p: {1: own(30) + p + own(30), 2: own(7) + p[:40] + own(5) + p[40:] + own(20)})(own(80)),
+}
+
+
+def test_recall_of_near_alike_passages(spark):
+    """Each case 40 times in one table, together with a line of 30 words that stands in every twelfth document."""
+    r = random.Random(41)
+    own = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    line, made, wanted = own(30), {}, []
+    for k, case in enumerate(PROBES.values()):
+        for j in range(40):
+            base = 10_000 * k + 10 * j
+            made |= {base + i: (line if (j + i) % 12 == 0 else []) + w for i, w in case(own).items()}
+            wanted.append((k, base + 1, base + 2))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in substring_dedup.substring_dedup(df).collect()}
+    for k in range(len(PROBES)):
+        assert np.mean([got[a] == got[b] for q, a, b in wanted if q == k]) >= 0.95, list(PROBES)[k]
+
+
+def test_passages_in_many_documents(spark):
+    """More documents share a line than meet in full; of some of them more than the line is shared, exactly or nearly."""
+    r = random.Random(42)
+    own = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    line, made, pairs = own(40), {}, []
+    for k in range(60):
+        made[k] = own(30) + line + own(30)
+    for k in range(100, 140, 2):
+        more = own(25)
+        near = more if k % 4 else [*more[:12], *own(1), *more[13:]]
+        made |= {k: own(20) + line + more + own(20), k + 1: own(5) + line + near + own(20)}
+        pairs.append((k, k + 1))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in substring_dedup.substring_dedup(df).collect()}
+    assert np.mean([got[a] == got[b] for a, b in pairs]) >= 0.9
+    assert all(got[k] == k for k in range(60))
+
+
+def test_passages_against_brute_force(spark):
+    """All pairs of the documents of a small table, compared one by one."""
+    texts = dict(duckdb.connect().execute(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
+    words = {i: hashing.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for i, t in texts.items()}
+    ordered = {i: substring_dedup.in_order(w) for i, w in words.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    brute = collections.defaultdict(list)
+    for i in sorted(texts):
+        for j in (j for j in sorted(texts) if j < i):
+            if found := substring_dedup.passages(words[i], words[j], ordered=ordered[j]):
+                brute[i] += found
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {x["doc_id"]: x for x in substring_dedup.substring_dedup(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert {i: x["class_id"] for i, x in got.items()} == {i: find(i) for i in texts}
+    want = sum(b - a for i in brute for a, b in substring_dedup.merged(brute[i]))
+    assert 0.98 * want <= sum(x["dup_words"] for x in got.values()) <= want
+
+
+def test_chains_at_any_number_of_runs(monkeypatch):
+    """Chains by prefix maxima find what following them one by one finds, but for runs that overlap."""
+    r, same = random.Random(43), 0
+    for _ in range(60):
+        base = [r.getrandbits(63) for _ in range(160)] + [r.getrandbits(63) for _ in range(30)] * r.choice((1, 2))
+        two = list(base)
+        for _ in range(r.choice((1, 2, 3, 4))):
+            at = r.randrange(len(two))
+            two[at : at + r.choice((0, 1, 2, 7))] = [r.getrandbits(63) for _ in range(r.choice((1, 3, 8)))]
+        one, two = np.array(base, np.uint64), np.array(two, np.uint64)
+        monkeypatch.setattr(substring_dedup, "CHAINED", 600)
+        exact = substring_dedup.passages(one, two)
+        monkeypatch.setattr(substring_dedup, "CHAINED", 0)
+        same += substring_dedup.passages(one, two) == exact
+    assert same >= 57
+
+
+def test_near_copies_of_a_hot_document(spark, monkeypatch):
+    """Most documents are near the smallest, some only near others, in several pieces."""
+    r = random.Random(44)
+    base = [f"w{r.randint(0, 9999)}" for _ in range(120)]
+    made = {0: " ".join(base)}
+    for i in range(1, 50):
+        w = list(base)
+        w[r.randrange(120)] = f"new{i}"
+        made[i] = " ".join(w)
+    far = list(base)
+    for k in (10, 40, 70):
+        far[k] = f"far{k}"
+    for i in range(50, 60):  # near one another and near what lies between, not near the smallest
+        w = list(far)
+        w[i] = f"own{i}"
+        made[i] = " ".join(w)
+    monkeypatch.setattr(near_dedup, "GROUP", 7)
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(df).collect()} == brute_classes(made)
+
+
+def test_quality_network_against_loops():
+    """The vectorised convolution against single steps, and the gradients against finite differences."""
+    q = quality_classifier
+    net = q.ByteNet()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    p, r = net.p, random.Random(51)
+    p["b"] += 0.05
+    p["c"] += 0.1  # off the kinks that an empty text would meet
+    texts = ["".join(r.choices("abc dé.", k=n)) for n in (900, 30, 0)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+
+    def logit(chunk):
+        bytes_ = list(chunk) + [0] * (q.CHUNK - len(chunk))
+        out = []
+        for f in range(q.FILTERS):
+            best = -1e9
+            for k in range(q.CHUNK // q.HOP - 1):
+                if k * q.HOP < len(chunk):
+                    z = sum(p["e"][bytes_[k * q.HOP + j], c] * p["w"][(j % q.HOP) * q.EMBED + c, f + q.FILTERS * (j // q.HOP)] for j in range(2 * q.HOP) for c in range(q.EMBED))
+                    best = max(best, z)
+            out.append(max(0.0, best + p["b"][f]))
+        hidden = np.maximum(np.array([*out, len(chunk) / q.CHUNK]) @ p["u"] + p["c"], 0)
+        return hidden @ p["v"] + p["d"][0]
+
+    want = []
+    for t in texts:
+        b = t.encode()
+        want.append(max(logit(b[i : i + q.CHUNK]) for i in range(0, max(1, len(b) - (q.CHUNK - q.STEP)), q.STEP)))
+    assert np.allclose(net.logits(data, offsets), want, atol=1e-4)
+
+    start, size, row = q.chunks(data, offsets)
+    x, y = q.cut(data, start, size), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        z = net.logits(data, offsets)
+        return np.mean(np.log1p(np.exp(z)) - y * z)
+
+    found = net.gradients(x, size, row, y)
+    for name in p:
+        at = tuple(r.randrange(n) for n in p[name].shape) if name != "e" else (ord("a"), 3)
+        old, step = p[name][at], 1e-5
+        p[name][at] = old + step
+        up = loss()
+        p[name][at] = old - step
+        down = loss()
+        p[name][at] = old
+        assert abs((up - down) / (2 * step) - found[name][at]) < 1e-4, name
