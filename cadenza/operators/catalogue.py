@@ -76,7 +76,8 @@ def completeness(df: DataFrame, album: str, number: str, disc: str | None = None
     Each disc (null or no column: 1) is expected to have the numbers 1 to its declared
     ``total``, or, where nothing is declared, to its largest number.  ``missing`` and ``extra``
     list numbers, those of later discs as ``disc-number``; extra ones (bonus tracks) do not
-    make an album incomplete.  Albums that expect nothing are left out.
+    make an album incomplete, and there is no such column if no ``total`` is named.  Albums
+    that expect nothing are left out.
     """
     d = F.coalesce(F.col(disc).cast("int"), F.lit(1)) if disc else F.lit(1)
     n = F.col(number).cast("int")
@@ -90,7 +91,8 @@ def completeness(df: DataFrame, album: str, number: str, disc: str | None = None
         F.array_sort(F.flatten(F.collect_list("miss"))).alias("miss"), F.array_sort(F.flatten(F.collect_list("extra"))).alias("more"),
     )
     text = lambda c: F.array_join(F.transform(c, lambda x: F.when(x["d"] == 1, x["n"].cast("string")).otherwise(F.concat_ws("-", x["d"], x["n"]))), ",")
-    return sums.where("expected >= 1").select(album, "expected", "present", text("miss").alias("missing"), text("more").alias("extra"), F.when(F.size("miss") == 0, "complete").otherwise("incomplete").alias("status"))
+    more = [text("more").alias("extra")] if total else []
+    return sums.where("expected >= 1").select(album, "expected", "present", text("miss").alias("missing"), *more, F.when(F.size("miss") == 0, "complete").otherwise("incomplete").alias("status"))
 
 
 def modal(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -294,7 +296,7 @@ def make_ids(df: DataFrame, keys: list[str], taken: DataFrame, ident: str = "tra
 
     Ids that are taken, or that two rows get, are made anew with the next salt until none is left.
     """
-    w = Window.partitionBy(*keys).orderBy(*[c for c in df.columns if c not in keys])
+    w = Window.partitionBy(*keys).orderBy(*([c for c in df.columns if c not in keys] or [F.lit(1)]))
     text = F.concat_ws("\0", *[F.coalesce(F.col(k).cast("string"), F.lit("\1")) for k in keys], F.row_number().over(w).cast("string"))
     rows = df.withColumn("__t", text)
     used, done, salt = taken.select(F.col(ident).alias("__u")), None, 0

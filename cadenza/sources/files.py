@@ -29,10 +29,70 @@ def playlist_entries(text: DataFrame) -> DataFrame:
     return kept.select("file", "line_no", F.regexp_extract("line", head, 1).try_cast("int").alias("seconds"), F.trim(F.regexp_extract("line", head, 2)).alias("name"), F.trim("path").alias("path"))
 
 
-def media_files(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    """``path, length, modificationTime`` of files below a folder, hidden ones left out; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(path)
-    return found.select("path", "length", "modificationTime").where(~F.element_at(F.split("path", "/"), -1).startswith("."))
+def media_files(spark: SparkSession, path: str, *extensions: str) -> DataFrame:
+    """``path, length, modificationTime`` of files below a folder with one of the extensions, in any case; hidden files and
+    whatever is below a hidden folder are left out.  Contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    ends = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*[e.lower() for e in extensions])
+    base = F.regexp_replace(F.lit(path.rstrip("/")), "^file:/*", "/")
+    below = F.substr(F.col("path"), F.instr("path", path.rstrip("/").removeprefix("file:").lstrip("/")) + F.length(base) - 1)
+    return found.where(ends & ~below.contains("/."))
+
+
+def id_list(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """``id``: a list of ids, from JSON records with that ``column``, or one a line of text (a first comma-separated field);
+    trimmed, empty ones left out, each once."""
+    if column:
+        rows = spark.read.schema(f"`{column}` string").option("multiLine", True).json(path).select(F.col(f"`{column}`").alias("id"))
+    else:
+        rows = spark.read.text(path).select(F.split("value", ",")[0].alias("id"))
+    return rows.select(F.trim("id").alias("id")).where("id <> ''").distinct()
+
+
+def xml_tracks(spark: SparkSession, path: str, row: str = "Track", fields: tuple[str, ...] = ("ratingKey", "title", "parentTitle", "grandparentTitle", "duration", "file")) -> DataFrame:
+    """The attributes of every ``row`` element of XML files as strings; missing ones are null."""
+    schema = ", ".join(f"`_{f}` string" for f in fields)
+    rows = spark.read.format("xml").option("rowTag", row).schema(schema).load(path)
+    return rows.select(*[F.col(f"_{f}").alias(f) for f in fields])
+
+
+def id_map(spark: SparkSession, path: str) -> DataFrame:
+    """``file, guid`` of a JSON map of files to ids, or of lines of such records."""
+    return spark.read.schema("file string, guid string").option("multiLine", True).json(path).where("file is not null").groupBy("file").agg(F.min("guid").alias("guid"))
+
+
+def with_ids(entries: DataFrame, ids: DataFrame, path: str = "path") -> DataFrame:
+    """Playlist entries with the ``guid`` that a map (file, guid) has for their path, in any case; null if it has none."""
+    table = ids.select(F.lower("file").alias("__f"), "guid").groupBy("__f").agg(F.min("guid").alias("guid"))
+    return entries.join(table, F.lower(path) == F.col("__f"), "left").drop("__f")
+
+
+def ids_of(tracks: DataFrame, ident: str = "track_id") -> DataFrame:
+    """The ids alone: no other column is read."""
+    return tracks.where(F.col(ident).isNotNull()).select(ident)
+
+
+def flat_vectors(df: DataFrame, ident: str, vec: str) -> DataFrame:
+    """``id, embedding`` with vectors of one row (an array of one array) flattened; other shapes and empty ones are left out."""
+    nested = df.schema[vec].dataType.simpleString().startswith("array<array")
+    flat = F.when(F.size(vec) == 1, F.flatten(vec)) if nested else F.col(vec)
+    return df.select(F.col(ident).alias("id"), flat.cast("array<float>").alias("embedding")).where(F.size("embedding") > 0)
+
+
+def gains(text: DataFrame) -> DataFrame:
+    """``file, section, name, value``: ``name: value`` lines of analysis texts (file, line_no, line), under the last ``[section]`` above; numbers without their unit."""
+    w = Window.partitionBy("file").orderBy("line_no")
+    head = F.regexp_extract("line", r"^\s*\[(.+?)\]\s*$", 1)
+    marked = text.withColumn("section", F.last(F.when(head != "", head), ignorenulls=True).over(w))
+    pair = r"^\s*([^:\[]+?)\s*:\s*(-?\d+(?:\.\d+)?)"
+    kept = marked.where(F.col("line").rlike(pair))
+    return kept.select("file", "section", F.regexp_extract("line", pair, 1).alias("name"), F.regexp_extract("line", pair, 2).try_cast("double").alias("value"))
+
+
+def tables(spark: SparkSession, database: str = "default") -> list[tuple[str, list[str]]]:
+    """The tables of a database with their columns."""
+    found = sorted(t.name for t in spark.catalog.listTables(database))
+    return [(t, [c.name for c in spark.catalog.listColumns(t)]) for t in found]
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
