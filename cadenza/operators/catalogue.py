@@ -163,6 +163,14 @@ def top_tokens(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def lookup(df: DataFrame, column: str, value: str, how: str = "exact") -> DataFrame:
+    """The rows whose column equals, begins with (``prefix``) or holds (``part``) a value, in any case for the latter two."""
+    if how == "exact":
+        return df.where(F.col(column) == value)
+    low = F.lower(F.col(column))
+    return df.where(low.startswith(value.lower()) if how == "prefix" else low.contains(value.lower()))
+
+
 def delete(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """``df`` without the keys of ``gone``."""
     return df.join(gone.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_anti")

@@ -266,6 +266,49 @@ def pool_max(df: DataFrame, key: str, vec: str) -> DataFrame:
     return df.select(key, F.posexplode(V.doubles(F.col(vec))).alias("pos", "v")).groupBy(key, "pos").agg(F.max("v").alias("most"))
 
 
+def pool(df: DataFrame, key: str, vec: str, how: str = "average") -> DataFrame:
+    """``key, pos, value``: the vectors of a key (as of a track's slices) pooled by ``average`` or ``max``."""
+    if how not in ("average", "max"):
+        raise ValueError("vectors are pooled by average or max")
+    out = means(df, key, vec) if how == "average" else pool_max(df, key, vec)
+    return out.select(key, "pos", F.col("mean" if how == "average" else "most").alias("value"))
+
+
+def project_2d(df: DataFrame, ident: str, vec: str) -> DataFrame:
+    """``id, x, y``: the first two principal components, each with the sign that makes its largest loading positive.
+
+    One pass sums what the covariance needs, a matrix of the vectors' dimension squared a
+    task; only that matrix is on the driver.  Vectors that are null are left out.
+    """
+    rows = df.where(F.size(vec) > 0).select(F.col(ident).alias("id"), V.doubles(F.col(vec)).alias("v"))
+
+    def sums(batches):
+        total = None
+        for b in batches:
+            m = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            m = np.column_stack((np.ones(len(m)), m))
+            total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(total.size)), pa.array(total.ravel())], names=["at", "s"])
+
+    found = rows.select("v").mapInArrow(sums, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).orderBy("at").collect()
+    to = T.StructType([T.StructField("id", df.schema[ident].dataType), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    if not found:
+        return df.sparkSession.createDataFrame([], to)
+    m = np.array([r["s"] for r in found])
+    m = m.reshape(int(len(m) ** 0.5), -1)
+    mean = m[0, 1:] / m[0, 0]
+    axes = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))[1][:, ::-1][:, :2]
+    axes = np.column_stack((axes, np.zeros((len(axes), 2 - axes.shape[1])))) * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+
+    def place(batches):
+        for b in batches:
+            p = (b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - mean) @ axes
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, 0]), pa.array(p[:, 1])], names=to.names)
+
+    return rows.mapInArrow(place, to)
+
+
 def chain_blocks(df: DataFrame, ident: str, album: str, key: str, vec: str) -> DataFrame:
     """``album, key, first, last, tracks``: albums as units of a chain; those whose first and last track have vectors."""
     item = F.struct(F.col(ident).alias("id"), V.usable(F.col(vec)).alias("ok"))

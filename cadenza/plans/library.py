@@ -63,6 +63,18 @@ def q_token_sets(spark, sf_dir):
     return clusters.token_sets(read(spark, sf_dir, "part").withColumn("g", F.concat_ws(", ", "p_type", "p_name")), "p_brand", "g")
 
 
+@query("WITH l AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding)))::INT AS pos FROM embeddings) SELECT label, pos, round(avg(x), 6) AS average, round(max(x), 6) AS most FROM l GROUP BY ALL")
+def q_pool(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    one, two = (clusters.pool(v, "label", "embedding", how) for how in ("average", "max"))
+    return one.withColumnRenamed("value", "average").join(two.withColumnRenamed("value", "most"), ["label", "pos"]).select("label", "pos", F.round("average", 6).alias("average"), F.round("most", 6).alias("most"))
+
+
+@query()
+def q_project_2d(spark, sf_dir):
+    return clusters.project_2d(vectors(spark, sf_dir), "id", "embedding")
+
+
 # ---------------------------------------------------------------- genres
 NAMES = ("economy", "small", "promo", "large", "ring", "widget")
 SYNONYMS = (("medium", "large"), ("gear", "widget"))
@@ -91,6 +103,15 @@ def q_combined_genres(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- catalogue
+@query("SELECT p_partkey, 'exact' AS how FROM part WHERE p_name = 'red ring' UNION ALL SELECT p_partkey, 'prefix' FROM part WHERE p_name LIKE 'red%' UNION ALL SELECT p_partkey, 'part' FROM part WHERE p_name LIKE '%ring%'")
+def q_lookup_name(spark, sf_dir):
+    p, out = read(spark, sf_dir, "part"), None
+    for how, value in (("exact", "red ring"), ("prefix", "RED"), ("part", "Ring")):
+        one = catalogue.lookup(p, "p_name", value, how).select("p_partkey", F.lit(how).alias("how"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
 def q_delete(spark, sf_dir):
     gone = read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))

@@ -369,3 +369,12 @@ def test_empty_tables(spark):
     ):
         assert out.count() == 0
 
+
+def test_projection(spark):
+    r = np.random.default_rng(9)
+    m = r.normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1] + 7
+    df = spark.createDataFrame([(f"{i:02x}", v) for i, v in enumerate(m.tolist())] + [("zz", None)], "id string, v array<double>")
+    got = np.array([x[1:] for x in rows(clusters.project_2d(df, "id", "v"), "id")])
+    u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-8)
+    assert clusters.project_2d(df.where("false"), "id", "v").count() == 0
