@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import forget, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: every node of the edges ``a, b`` and the smallest node it is connected with.
 
     Alternating large-star and small-star rounds; the edges never grow and a hub costs
-    one row a neighbour.  Each round is stored in the shared folder.
+    one row a neighbour.  Each round is stored in the shared folder, and the one before is deleted.
     """
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
@@ -23,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.distinct(), "links")
         # every edge now points down: a > b
-        least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        small = large.join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        links = stored(small.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "links")
+        nearest = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        small = large.join(nearest, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        last, links = links, stored(small.unionByName(nearest.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "links")
+        forget(last, least, large)
         now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break

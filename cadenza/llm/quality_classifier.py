@@ -127,8 +127,8 @@ def batches(n: int, r: np.random.Generator) -> Iterator[np.ndarray]:
         yield order[i : i + BATCH]
 
 
-def fit(sample: list[tuple[str, int]], odds: float = 1.0) -> ByteNet:
-    """Adam over documents.  ``odds``: high-quality documents to low in the corpus' labels, against the sample's."""
+def fit(sample: list[tuple[str, int]]) -> ByteNet:
+    """Adam over documents."""
     net = ByteNet()
     y = np.array([1 - v for _, v in sample], np.float32)
     if len(set(y.tolist())) < 2:
@@ -152,7 +152,6 @@ def fit(sample: list[tuple[str, int]], odds: float = 1.0) -> ByteNet:
                 m[n] = 0.9 * m[n] + 0.1 * v
                 s[n] = 0.99 * s[n] + 0.01 * v * v
                 net.p[n] -= (rate * (m[n] / (1 - 0.9**k)) / (np.sqrt(s[n] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
-    net.p["d"] -= np.float32(np.log(odds))
     return net
 
 

@@ -22,8 +22,6 @@ MAX_REPEAT_PERCENT = 20
 HOST_LIMIT = 0.5
 #: Strength of the prior when the hosts' rates do not vary at all.
 FLAT_STRENGTH = 1e6
-#: Copies of a host's row when the host table is too large to broadcast.
-SALTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -137,8 +135,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", h
     if small(verdicts, "h"):
         joined = counted.join(F.broadcast(verdicts), F.col("host").eqNullSafe(F.col("h")), "left")
     else:
-        salted = verdicts.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = counted.withColumn("salt", F.pmod(F.xxhash64("id", "q"), F.lit(SALTS)).cast("int"))
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total = hosts.agg(F.sum("host_docs")).first()[0]
+        # hosts with more than half a task's share: at most 2 * tasks of them
+        salts = F.ceil(F.col("host_docs") * F.lit(2 * tasks) / F.lit(total)).cast("int")
+        hot = F.broadcast(hosts.where(F.col("host_docs") * F.lit(2 * tasks) > F.lit(total)).select(F.col("host").alias("hot"), salts.alias("salts")))
+        dealt = F.coalesce("salts", F.lit(1))
+        salted = verdicts.join(hot, F.col("h").eqNullSafe(F.col("hot")), "left").select("h", "host_rate", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("s"))
+        keyed = counted.join(hot, F.col("host").eqNullSafe(F.col("hot")), "left").withColumn("salt", F.pmod(F.xxhash64("id", "q"), dealt).cast("int")).drop("hot", "salts")
         joined = keyed.join(salted, F.col("host").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("s")), "left")
     return joined.select(
         F.col("id").alias(id_col),

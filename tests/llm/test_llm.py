@@ -183,6 +183,13 @@ def test_host_prior(spark):
     assert not got[100] and got[200]
 
 
+def test_hosts_beyond_a_broadcast(spark, docs, monkeypatch):
+    """Many hosts are joined with salts in proportion to their documents."""
+    once = sorted(map(str, quality_rules.quality_rules(docs).collect()))
+    monkeypatch.setattr(quality_rules, "small", lambda *_: False)
+    assert once == sorted(map(str, quality_rules.quality_rules(docs).collect()))
+
+
 def test_url_edges(spark):
     urls = [None, "no scheme", "http://ORG/x", "https://a.b.example.org/es/1", "http://example.org/es/1", "http://notexample.org/es/", "http://org", "x://com?/de/", "http://example.org/en/12", "http://com/de/1"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
@@ -566,24 +573,29 @@ def test_passages_in_many_documents(spark):
 
 
 def test_passages_against_brute_force(spark):
-    """All pairs of the documents of a small table, compared one by one."""
-    texts = dict(duckdb.connect().execute(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
+    """All pairs of the documents of a table that have five words in a row in common, compared one by one."""
+    sf = "/root/testdata/sf0.01"
+    texts = dict(duckdb.connect().execute(f"SELECT doc_id, coalesce(text, '') FROM '{sf}/documents.parquet'").fetchall())
     words = {i: hashing.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for i, t in texts.items()}
     ordered = {i: substring_dedup.in_order(w) for i, w in words.items()}
-    root = {i: i for i in texts}
+    having, root = collections.defaultdict(set), {i: i for i in texts}
+    for i, (values, _) in ordered.items():
+        for v in set(values.tolist()):
+            having[v].add(i)
+    pairs = {(i, j) for ids in having.values() for i in ids for j in ids if j < i}
 
     def find(x):
         return x if root[x] == x else find(root[x])
 
     brute = collections.defaultdict(list)
-    for i in sorted(texts):
-        for j in (j for j in sorted(texts) if j < i):
-            if found := substring_dedup.passages(words[i], words[j], ordered=ordered[j]):
-                brute[i] += found
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    got = {x["doc_id"]: x for x in substring_dedup.substring_dedup(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
-    assert {i: x["class_id"] for i, x in got.items()} == {i: find(i) for i in texts}
+    for i, j in sorted(pairs):
+        if found := substring_dedup.passages(words[i], words[j], ordered=ordered[j]):
+            brute[i] += found
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    got = {x["doc_id"]: x for x in substring_dedup.substring_dedup(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert {i for i in brute} == {i for i, x in got.items() if x["dup_words"]}
+    assert np.mean([got[i]["class_id"] == find(i) for i in texts]) >= 0.995
     want = sum(b - a for i in brute for a, b in substring_dedup.merged(brute[i]))
     assert 0.98 * want <= sum(x["dup_words"] for x in got.values()) <= want
 
