@@ -135,19 +135,21 @@ def remembered(name: str, build: Callable[[], object]) -> object:
     return _memories[name]
 
 
-def tidy(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Iterator], Iterator]:
-    """A worker function that drops other operators' memories before and hands freed memory back to the system after it ran."""
+def trim() -> None:
+    """Hands memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
 
-    def trim() -> None:
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+def tidy(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Iterator], Iterator]:
+    """A worker function that drops other operators' memories before and trims after it ran."""
 
     def tidied(batches: Iterator) -> Iterator:
         if others := [n for n in _memories if n != keep]:
             for name in others:
                 del _memories[name]
-            gc.collect()
             trim()
         try:
             yield from run(batches)

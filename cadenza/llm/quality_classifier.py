@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import annotate, labelled_sample, raw, read
+from cadenza.llm.common import annotate, labelled_sample, raw, read, trim
 
 #: Bounds of the labelled sample: documents and bytes a class.
 PER_CLASS, SAMPLE_BYTES = 1200, 4 << 20
@@ -157,7 +157,10 @@ def fit(sample: list[tuple[str, int]]) -> ByteNet:
 
 def train(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = HELD) -> ByteNet:
     sample = labelled_sample(docs, labels, "quality", *held, PER_CLASS, SAMPLE_BYTES)
-    return fit(sample)
+    net = fit(sample)
+    del sample
+    trim()
+    return net
 
 
 def quality_scores(docs: DataFrame, net: ByteNet, text: str = "text", keep_text: bool = False) -> DataFrame:

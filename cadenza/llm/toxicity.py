@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import annotate, labelled_sample, read
+from cadenza.llm.common import annotate, labelled_sample, read, trim
 
 #: Bounds of the labelled sample: documents and bytes a class, and distinct windows a class to train dictionaries on.
 PER_CLASS, SAMPLE_BYTES, MOST_WINDOWS = 1800, 8 << 20, 150_000
@@ -181,7 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = HELD) -> T
     count = {r["toxic"]: r["count"] for r in labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(held[0])) != held[1]).groupBy("toxic").count().collect()}
     n = Counter(y for _, y in sample)
     odds = (count.get(0, 1) / max(1, count.get(1, 1))) / (max(1, n[0]) / max(1, n[1]))
-    return fit(sample, max(1.0, odds))
+    model = fit(sample, max(1.0, odds))
+    del sample
+    trim()
+    return model
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep_text: bool = False) -> DataFrame:

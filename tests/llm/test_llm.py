@@ -308,6 +308,25 @@ def test_near_duplicates(docs, texts):
     assert got == brute_classes(texts)
 
 
+def test_near_duplicates_of_a_larger_table(spark):
+    """All pairs of different texts that are 0.8 alike in 10,000 documents share a class."""
+    sf = "/root/testdata/sf0.1"
+    found = duckdb.connect().execute(f"SELECT doc_id, coalesce(text, '') FROM '{sf}/documents.parquet' ORDER BY 1").fetchall()
+    values, _, at = near_dedup.shingle_sets(pa.array([t for _, t in found]))
+    sets = {values[a:b].tobytes(): (found[k][0], values[a:b]) for k, (a, b) in reversed(list(enumerate(zip(at, at[1:], strict=False)))) if b > a}
+    ids, each = zip(*sets.values(), strict=True)
+    size = np.array([len(x) for x in each])
+    flat, who = np.concatenate(each), np.repeat(np.arange(len(each)), size)
+    order = np.argsort(flat, kind="stable")
+    index, owner, pairs = flat[order], who[order], []
+    for x, s in enumerate(each):
+        lo, hi = np.searchsorted(index, s, "left"), np.searchsorted(index, s, "right")
+        shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), minlength=len(each))
+        pairs += [(x, int(k)) for k in np.flatnonzero(shared >= 0.8 * (size + len(s) - shared) - 1e-9) if k < x]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert len(pairs) >= 40 and all(got[ids[a]] == got[ids[b]] for a, b in pairs)
+
+
 def test_near_duplicates_in_pieces(spark, monkeypatch):
     """A class larger than a task's group."""
     r = random.Random(2)
