@@ -85,11 +85,16 @@ def name_matches(incoming: DataFrame, have: DataFrame, cutoff: float = 0.9) -> D
     """``qid, hid, score``: for each incoming (qid, artist, title) its best of ``have`` (hid, artist, title), if the mean of
     the artists' and the titles' ratios (lower case) is at least ``cutoff``; the smallest ``hid`` of equals."""
     low = lambda d, k, p: d.select(k, *[F.lower(F.coalesce(c, F.lit(""))).alias(p + c) for c in ("artist", "title")])
-    pairs = alike_pairs(low(incoming, "qid", "q_"), low(have, "hid", "h_"), "q_title", "h_title", 2 * cutoff - 1)
+    new, old = low(incoming, "qid", "q_"), low(have, "hid", "h_")
+    # every spelling is compared once, however many rows have it
+    pairs = alike_pairs(new.select("q_artist", "q_title").distinct(), old.groupBy("h_artist", "h_title").agg(F.min("hid").alias("hid")), "q_title", "h_title", 2 * cutoff - 1)
+    most = lambda c: counts_bound(letter_counts(F.col(f"q_{c}")), letter_counts(F.col(f"h_{c}")), F.length(f"q_{c}") + F.length(f"h_{c}"))
     bound = length_bound(F.col("q_artist"), F.col("h_artist")) + length_bound(F.col("q_title"), F.col("h_title")) >= 2 * cutoff
-    scored = pairs.where(bound).withColumn("score", (ratio(F.col("q_artist"), F.col("h_artist")) + ratio(F.col("q_title"), F.col("h_title"))) / 2)
-    best = scored.where(F.col("score") >= cutoff).groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "hid")).alias("b"))
-    return best.select("qid", F.col("b.hid").alias("hid"), (-F.col("b.s")).alias("score"))
+    likely = pairs.where(bound).where(most("artist") + most("title") >= 2 * cutoff)
+    scored = likely.withColumn("score", (ratio(F.col("q_artist"), F.col("h_artist")) + ratio(F.col("q_title"), F.col("h_title"))) / 2)
+    best = scored.where(F.col("score") >= cutoff).groupBy("q_artist", "q_title").agg(F.min(F.struct((-F.col("score")).alias("s"), "hid")).alias("b"))
+    named = new.join(best.select(F.col("q_artist").alias("a"), F.col("q_title").alias("t"), "b"), (F.col("q_artist") == F.col("a")) & (F.col("q_title") == F.col("t")))
+    return named.select("qid", F.col("b.hid").alias("hid"), (-F.col("b.s")).alias("score"))
 
 
 def valid_match(title: Column, other_title: Column, artist_id: Column, other_artist_id: Column, cutoff: float = 0.8) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import genres, text
 from cadenza.operators import catalogue, clusters, matching, sinks, timeseries
-from cadenza.plans.queries import E_, LIKE, SIM, query, read, vectors
+from cadenza.plans.queries import LIKE, query, read, vectors
+from cadenza.streaming import playlog
 
 # ---------------------------------------------------------------- ratings, clusters
 @query(f"""WITH {LIKE.replace("SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1", "SELECT doc_id AS id, max(CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END) AS rating FROM labels GROUP BY 1")
@@ -388,6 +389,21 @@ def q_tempo(spark, sf_dir):
     return timeseries.tempo_seconds(e, "user_id", ["ts", "event_id"], "d", "tempo", 480).select("event_id", F.round("seconds", 6).alias("seconds"))
 
 
+# ---------------------------------------------------------------- play logs: the functions that run on streams, over a table
+@query("SELECT epoch_us(ts) // 3600000000 * 3600 AS start, event_type, count(*) AS plays, round(sum(value), 6) AS value FROM events GROUP BY ALL")
+def q_play_counts(spark, sf_dir):
+    counts = playlog.play_counts(read(spark, sf_dir, "events"), "ts")
+    return counts.select(F.unix_seconds("window.start").alias("start"), "event_type", "plays", F.round("value", 6).alias("value"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS stop, count(*) AS plays FROM s GROUP BY user_id, k""")
+def q_sessions(spark, sf_dir):
+    out = playlog.sessions(read(spark, sf_dir, "events"), "ts", "user_id")
+    return out.select("user_id", F.unix_micros("session_window.start").alias("start"), F.unix_micros("session_window.end").alias("stop"), "plays")
+
+
 # ---------------------------------------------------------------- text and dates
 @query("""SELECT event_id, strftime(make_timestamp(event_id * 86400000000), '%Y-%m-%d %H:%M:%S') AS text, CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_us(make_timestamp(event_id * 86400000000)) // 1000000 END AS seconds,
 event_id * 777 // 1000 AS whole, CASE WHEN (event_id // 2) % 2 = 0 OR event_id % 2 = 0 THEN event_id // 2 ELSE event_id // 2 + 1 END AS half, trunc(event_id * 0.375 * 960)::BIGINT AS ticks, (event_id % 9) * 1073741824 AS bytes, round(event_id * 1234567.0 / 1e9, 2) AS gb,
