@@ -21,6 +21,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each group of near duplicates; of rows with equal id and text, one.  Different texts of one id stay."""
     rested(spark)
+    docs = docs.select(*COLUMNS)
     judged = near_dedup.near_duplicates(docs.select("doc_id", "text"))
     gone = stored(judged.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     out = docs.join(F.broadcast(gone) if small(gone) else gone, F.col("doc_id") == F.col("gone"), "left_anti")
@@ -36,6 +37,7 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages cut from all but the smallest document that has them; ``n_chars`` follows the text."""
     rested(spark)
+    docs = docs.select(*COLUMNS)
     found = substring_dedup.repeated_passages(docs.select("doc_id", "text"))
     cut = substring_dedup.without_passages(docs, found)
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
