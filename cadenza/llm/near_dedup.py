@@ -44,7 +44,7 @@ STEP = 384 << 10
 #: Darts of an element drawn at once.
 DRAW = 8
 #: Documents and shingles that one checking task holds of a piece.
-GROUP, GROUP_SHINGLES = 300, 1_000_000
+GROUP, GROUP_SHINGLES = 150, 500_000
 SKETCH = T.StructType(
     [T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType(), False))]
 )
