@@ -32,7 +32,7 @@ def decode(df: DataFrame, code: str, key: str, taxonomy: DataFrame, out: str = "
 
 def split_list(c: Column) -> Column:
     """Comma-separated parts, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalized(df: DataFrame, genre: str, taxonomy: DataFrame, synonyms: DataFrame, out: str = "genre") -> DataFrame:

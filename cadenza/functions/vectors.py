@@ -35,7 +35,3 @@ def cosine(a: Column, b: Column) -> Column:
 def usable(v: Column) -> Column:
     """Whether a vector is there and has a direction."""
     return F.coalesce((F.size(v) > 0) & (norm(v) > 0), F.lit(False))
-
-
-def gaussian(distance: Column, sigma: float) -> Column:
-    return F.exp(-(distance * distance) / (2 * sigma * sigma))

@@ -384,7 +384,3 @@ def unmatched_files(files: DataFrame, tracks: DataFrame) -> DataFrame:
     """``path, state``: files (path, track_id) without an id (``untagged``) or with one that no track has (``unmatched``)."""
     lone = files.where("track_id is not null").join(tracks.select(F.col("track_id").alias("__t")).distinct(), F.col("track_id") == F.col("__t"), "left_anti")
     return files.where("track_id is null").select("path", F.lit("untagged").alias("state")).unionByName(lone.select("path", F.lit("unmatched").alias("state")))
-
-
-def columns_of(df: DataFrame) -> list[tuple[str, str]]:
-    return [(f.name, f.dataType.simpleString()) for f in df.schema]

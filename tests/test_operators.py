@@ -378,3 +378,13 @@ def test_projection(spark):
     u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-8)
     assert clusters.project_2d(df.where("false"), "id", "v").count() == 0
+
+
+def test_names_and_paths(spark):
+    df = spark.createDataFrame([(' The  "Best" / of: ', "é" * 3 + "x" * 60 + "- _", "b a c", "c a d", "m/Band/Album/01 - Other - Song.mp3", " rock, ,pop ,")], "a string, b string, c string, d string, p string, g string")
+    got = df.select(
+        text.normalize_tag(F.col("a")), text.directory_name(F.col("b"), 20), text.directory_name(F.col("b"), 20, plain=True), text.token_set_ratio("c", "d"), text.artist_title_of_path(F.col("p")), genres.split_list(F.col("g")),
+    ).collect()[0]
+    assert got[0] == "the best of" and got[1] == "_" + "x" * 19 and got[2] == "eee" + "x" * 17
+    assert got[3] == 80
+    assert tuple(got[4]) == ("Band", "Song") and got[5] == ["rock", "pop"]
