@@ -49,7 +49,7 @@ def texts():
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cur = db.execute(queries.SQL[name])
