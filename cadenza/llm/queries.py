@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cadenza.llm import chat_format, decontaminate, filter_audit, quality_rules, source_audit, url_filter
+from cadenza.llm import chat_format, decontaminate, embedding_dedup, filter_audit, quality_rules, source_audit, url_filter
 from cadenza.llm.chat_format import op6_chat_format
 from cadenza.llm.decontaminate import op7_decontaminate
+from cadenza.llm.embedding_dedup import op12_embedding_dedup
 from cadenza.llm.filter_audit import op13_filter_audit
 from cadenza.llm.near_dedup import op10_minhash_dedup
 from cadenza.llm.quality_classifier import op2_quality_classifier
@@ -30,6 +31,7 @@ QUERIES = {
         op9_sentencepiece,
         op10_minhash_dedup,
         op11_source_audit,
+        op12_embedding_dedup,
         op13_filter_audit,
     )
 }
@@ -39,5 +41,6 @@ SQL = {
     "op6_chat_format": chat_format.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op11_source_audit": source_audit.SQL,
+    "op12_embedding_dedup": embedding_dedup.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }

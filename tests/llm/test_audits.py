@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import filter_audit, source_audit
+from cadenza.llm import embedding_dedup, filter_audit, source_audit
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 LONG = "word " * 30_000
@@ -122,3 +122,74 @@ def test_shares_are_exact():
         count = rng.integers(1, top, 1000)
         total = int(count.max()) + int(rng.integers(0, top))
         assert source_audit.share(count, total).tolist() == [1 + 10**9 * int(c) // total for c in count]
+
+
+def plain_links(rows, threshold=embedding_dedup.THRESHOLD):
+    """Links and components by comparing all rows with all."""
+    unit = []
+    for i, v in rows:
+        ok = i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        unit.append(np.array(v) / np.linalg.norm(v) if ok else None)
+    near = [[b for b in range(len(rows)) if b != a and unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold] for a in range(len(rows))]
+    out = []
+    for a, (i, _) in enumerate(rows):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in near[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        least = min((rows[b][0] for b in seen), default=None) if i is not None else None
+        out.append((i, len(near[a]), least, i == least))
+    return sorted(out, key=repr)
+
+
+def linked(df, **how):
+    return sorted(((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_dedup(df, **how).collect()), key=repr)
+
+
+def groups(rng, size, dims, spread):
+    """Vectors around one direction."""
+    return rng.standard_normal(dims) * 1.0 + rng.standard_normal((size, dims)) * spread
+
+
+def test_embedding_dedup_against_all_pairs(spark):
+    """Pairs, groups larger than a list and a block, scaled and equal vectors, chains, odd values and ties."""
+    rng = np.random.default_rng(4)
+    parts = [rng.standard_normal((1500, 32)), *[groups(rng, n, 32, 0.12) for n in (2, 2, 2, 3, 9, 40, 300)]]
+    axis = rng.standard_normal((2, 32))
+    chain = np.array([axis[0] * np.cos(a) + axis[1] * np.sin(a) for a in np.arange(0, 3, 0.25)])
+    vectors = [list(map(float, v)) for v in np.concatenate([*parts, chain, np.repeat(parts[1], 12, axis=0), parts[1] * 3.5, parts[2][:1] * 1e-30])]
+    vectors += [None, [], [0.0] * 32, [1.0, None] + [0.0] * 30, [float("nan")] * 32, [float("inf")] + [0.0] * 31, [1.0, 0.0], [2.0, 0.0], [1.0, -0.0], [1e300, 1e300]]
+    order = rng.permutation(len(vectors))
+    rows = [(int(i) * 3, vectors[k]) for i, k in enumerate(order)] + [(None, vectors[0]), (3, vectors[0]), (3, vectors[0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("own")).withColumn("node", F.lit("own"))
+    assert linked(df) == plain_links(rows)
+    assert linked(df.where("false")) == [] and linked(df.where("vec_id is null")) == [(None, 0, None, True)]
+    assert linked(df.where("vec_id = 3").limit(1))[0][1:] == (0, 3, True)
+
+
+def test_two_tight_groups_that_hide_each_other(spark):
+    """All lists are full of nearer copies, yet the link between the groups is found."""
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal(48)
+    side = rng.standard_normal(48)
+    b = a + side * 0.25 * np.linalg.norm(a) / np.linalg.norm(side)
+    vectors = np.concatenate([v + rng.standard_normal((200, 48)) * 0.01 for v in (a, b)] + [rng.standard_normal((600, 48))])
+    rows = [(i, list(map(float, v))) for i, v in enumerate(vectors)]
+    assert linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == plain_links(rows)
+
+
+def test_forest_spans_close_nodes():
+    sketch = np.zeros((1, 6, embedding_dedup.WORDS), np.uint64)
+    sketch[0, :, 0] = [0, 1, 3, 2**30 - 1, 2**31 - 1, 2**62 - 1]
+    u, v, d, forest = embedding_dedup.nearest_and_forest(np.arange(6)[None] + 10, sketch, 1)
+    assert sorted(zip(u[forest].tolist(), v[forest].tolist(), strict=True)) == [(11, 10), (12, 11), (14, 13)]
+    assert all(bin(int(sketch[0, a - 10, 0] ^ sketch[0, b - 10, 0])).count("1") == n for a, b, n in zip(u, v, d, strict=True))
+
+
+def test_audit_counts_what_is_missing(spark):
+    rows = [(i, [1.0, 0.001 * i]) for i in range(20)]
+    nodes = embedding_dedup.nodes_of(embedding_dedup.sketched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")).cache()
+    half = nodes.select("node", F.lit(9).cast("long").alias("n")).limit(10)
+    assert embedding_dedup.audited(nodes, half, 0.95, 0) == pytest.approx(90 / 380)
