@@ -353,12 +353,12 @@ def import_favourites(saved: DataFrame, incoming: DataFrame, catalogue: DataFram
     id is saved already are left out.
     """
     from cadenza.functions.text import match_key
-    from cadenza.operators.matching import optional_keys
+    from cadenza.operators.matching import optional_key_counts
 
     fields = ["artist", "album", "track"]
     first = first_of(incoming.select(*fields, "pos"), [match_key(F.coalesce(F.col(c), F.lit(""))) for c in fields], ["pos", *fields])
-    have = catalogue.select("track_id", F.col("artists").alias("h_artist"), F.col("albums").alias("h_album"), F.col("tracks").alias("h_track"))
-    found = optional_keys(first, have, fields).groupBy("pos").agg(F.min("track_id").alias("track_id")).withColumnRenamed("pos", "__p")
+    have = catalogue.select(F.col("track_id").alias("hid"), F.col("artists").alias("h_artist"), F.col("albums").alias("h_album"), F.col("tracks").alias("h_track"))
+    found = optional_key_counts(first.withColumnRenamed("pos", "qid"), have, fields).select(F.col("qid").alias("__p"), F.col("hid").alias("track_id"))
     named = first.join(found, F.col("pos") == F.col("__p"), "left").drop("__p")
     key = lambda d: F.concat_ws("\0", *[match_key(F.coalesce(d[c], F.lit(""))) for c in fields])
     new = named.withColumn("__k", key(named)).join(saved.select(key(saved).alias("__s")).distinct(), F.col("__k") == F.col("__s"), "left_anti")

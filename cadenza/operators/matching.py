@@ -4,45 +4,11 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import length_bound, ratio
-
-#: Groups of characters whose counts bound a ratio.
-GROUPS = 24
-
-
-def letter_counts(c: Column) -> Column:
-    """How many characters of each of :data:`GROUPS` groups a text has."""
-    code = F.transform(F.split(c, ""), lambda x: F.pmod(F.ascii(x), F.lit(GROUPS)))
-    return F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.size(F.filter(code, lambda x: x == g)))
-
-
-def counts_bound(a: Column, b: Column, length: Column) -> Column:
-    """The most that :func:`ratio` can be, from the letter counts and the sum of the lengths."""
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    return F.when(length > 0, 2.0 * both / length).otherwise(1.0)
-
-
-def alike_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
-    """All pairs of rows whose texts can be ``cutoff`` (above 0) alike.
-
-    An equi-join on classes of length: lengths l and m allow 2 min / (l + m), so one
-    may be (2 - cutoff) / cutoff times the other at most, which is the next class at
-    most.  Of a class's pairs those go whose letters cannot make the cutoff.  One plan
-    at any size; inside a class of lengths it stays quadratic.
-    """
-    base = max(1.0001, (2 - cutoff) / cutoff)
-    level = lambda c: F.when(F.length(c) > 0, F.floor(F.log(F.length(c).cast("double")) / float(np.log(base)) + 1e-9).cast("int")).otherwise(-9)
-    near = F.explode(F.array(*[level(F.col(a)) + k for k in (-1, 0, 1)])).alias("__class")
-    one = left.withColumn("__ca", letter_counts(F.col(a))).select("*", near)
-    two = right.withColumn("__cb", letter_counts(F.col(b))).withColumn("__own", level(F.col(b)))
-    total = F.length(a) + F.length(b)
-    met = one.join(two, F.col("__class") == F.col("__own")).where((length_bound(F.col(a), F.col(b)) >= cutoff) & (counts_bound(F.col("__ca"), F.col("__cb"), total) >= cutoff))
-    return met.drop("__class", "__own", "__ca", "__cb")
-
+from cadenza.operators.similarity import alike_pairs
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
     """``a, b, score`` of names at least ``cutoff`` alike; pairs whose lengths rule that out are not compared."""
@@ -69,14 +35,30 @@ def tiered(wanted: DataFrame, have: DataFrame, cutoff: float = 0.85, others: boo
     artist, else by 0.7 title and 0.3 album similarity above ``cutoff``; the smallest ``hid`` of equals.
     With ``others`` both are of one table and no row is its own match.
 
-    Exact tiers are equi-joins; only what they leave is compared fuzzily, with titles that can make the cutoff."""
-    h = have.select("hid", *[F.col(c).alias(f"h_{c}") for c in ("title", "album", "artist")])
-    same = (F.col("title") == F.col("h_title")) & (F.col("artist") == F.col("h_artist"))
+    Of the rows of ``have`` that no tier can tell apart the two smallest ids stay, before anything meets; each exact tier
+    is an equi-join with these, and only what they leave is compared fuzzily, with titles that can make the cutoff."""
+    names = ["title", "album", "artist"]
+
+    def least(rows: DataFrame, keys: list[str], p: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("hid")
+        return rows.withColumn("__n", F.row_number().over(w)).where("__n <= 2").select("hid", *[F.col(c).alias(p + c) for c in keys])
+
     other = F.col("qid") != F.col("hid") if others else F.lit(True)
-    exact = wanted.join(h, same & other).withColumn("tier", F.when(F.col("album").eqNullSafe(F.col("h_album")), 1).otherwise(2)).withColumn("score", F.lit(1.0))
+    rows = have.select("hid", *names)
+    three = least(rows, names, "h_")
+    same = (F.col("title") == F.col("h_title")) & (F.col("artist") == F.col("h_artist"))
+    score = F.lit(1.0).alias("score")
+    first = wanted.join(three, same & F.col("album").eqNullSafe(F.col("h_album")) & other).select("qid", "hid", F.lit(1).alias("tier"), score)
+    second = wanted.join(least(rows, ["title", "artist"], "h_"), same & other).select("qid", "hid", F.lit(2).alias("tier"), score)
+    exact = first.unionByName(second)
     rest = wanted.join(exact.select("qid").distinct(), "qid", "left_anti")
-    near = alike_pairs(rest, h, "title", "h_title", (cutoff - 0.3) / 0.7).where(other).withColumn("tier", F.lit(3)).withColumn("score", 0.7 * ratio(F.col("title"), F.col("h_title")) + 0.3 * ratio(F.col("album"), F.col("h_album")))
-    found = exact.unionByName(near.where(F.col("score") > cutoff).select(*exact.columns))
+    # a pair of (title, album) is compared once, however many rows have either
+    pairs = alike_pairs(rest.select("title", "album").distinct(), rows.select(F.col("title").alias("h_title"), F.col("album").alias("h_album")).distinct(), "title", "h_title", (cutoff - 0.3) / 0.7)
+    scored = pairs.withColumn("score", 0.7 * ratio(F.col("title"), F.col("h_title")) + 0.3 * ratio(F.col("album"), F.col("h_album"))).where(F.col("score") > cutoff)
+    scored = scored.select(F.col("title").alias("t"), F.col("album").alias("l"), "h_title", "h_album", "score")
+    ids = least(rows, ["title", "album"], "o_")
+    near = rest.join(scored, (F.col("title") == F.col("t")) & F.col("album").eqNullSafe(F.col("l"))).join(ids, (F.col("h_title") == F.col("o_title")) & F.col("h_album").eqNullSafe(F.col("o_album")) & other)
+    found = exact.unionByName(near.select("qid", "hid", F.lit(3).alias("tier"), "score"))
     w = Window.partitionBy("qid").orderBy("tier", F.desc("score"), "hid")
     return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "hid", "tier", F.round("score", 6).alias("score"))
 
@@ -88,9 +70,8 @@ def name_matches(incoming: DataFrame, have: DataFrame, cutoff: float = 0.9) -> D
     new, old = low(incoming, "qid", "q_"), low(have, "hid", "h_")
     # every spelling is compared once, however many rows have it
     pairs = alike_pairs(new.select("q_artist", "q_title").distinct(), old.groupBy("h_artist", "h_title").agg(F.min("hid").alias("hid")), "q_title", "h_title", 2 * cutoff - 1)
-    most = lambda c: counts_bound(letter_counts(F.col(f"q_{c}")), letter_counts(F.col(f"h_{c}")), F.length(f"q_{c}") + F.length(f"h_{c}"))
     bound = length_bound(F.col("q_artist"), F.col("h_artist")) + length_bound(F.col("q_title"), F.col("h_title")) >= 2 * cutoff
-    likely = pairs.where(bound).where(most("artist") + most("title") >= 2 * cutoff)
+    likely = pairs.where(bound)
     scored = likely.withColumn("score", (ratio(F.col("q_artist"), F.col("h_artist")) + ratio(F.col("q_title"), F.col("h_title"))) / 2)
     best = scored.where(F.col("score") >= cutoff).groupBy("q_artist", "q_title").agg(F.min(F.struct((-F.col("score")).alias("s"), "hid")).alias("b"))
     named = new.join(best.select(F.col("q_artist").alias("a"), F.col("q_title").alias("t"), "b"), (F.col("q_artist") == F.col("a")) & (F.col("q_title") == F.col("t")))
@@ -102,28 +83,47 @@ def valid_match(title: Column, other_title: Column, artist_id: Column, other_art
     return F.when(~artist_id.eqNullSafe(other_artist_id), "artist").when(ratio(F.lower(title), F.lower(other_title)) < cutoff, "title").otherwise("ok")
 
 
-def optional_keys(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of ``wanted`` and ``have`` (arrays of values a key) whose given keys agree, lower case; a null or empty wanted key fits all.
-
-    Wanted rows are split by which keys they give, and each kind is an equi-join on its keys;
-    a row that gives none matches nothing.
-    """
-    out = None
+def kinds_of(wanted: DataFrame, have: DataFrame, keys: list[str]) -> list[tuple[DataFrame, DataFrame, Column, list[str]]]:
+    """Wanted rows by which keys they give, each with ``have`` exploded by these, the condition that both agree, and the exploded columns."""
+    out = []
     given = {k: F.coalesce(F.col(k) != "", F.lit(False)) for k in keys}
     for kind in range(1, 1 << len(keys)):
         used = [k for i, k in enumerate(keys) if kind >> i & 1]
         rows = wanted.where(F.array_compact(F.array(*[F.when(given[k], F.lit(k)) for k in keys])) == F.array(*map(F.lit, used)))
-        side = have
+        side, same = have, F.lit(True)
         for k in used:
             side = side.withColumn(f"__{k}", F.explode(F.array_distinct(F.transform(f"h_{k}", F.lower))))
-        same = F.lit(True)
-        for k in used:
             same = same & (F.lower(k) == F.col(f"__{k}"))
-        met = rows.join(side, same).drop(*[f"__{k}" for k in used])
+        out.append((rows, side, same, [f"__{k}" for k in used]))
+    return out
+
+
+def optional_keys(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of ``wanted`` and ``have`` (arrays of values a key) whose given keys agree, lower case; a null or empty wanted key fits all.
+
+    Wanted rows are split by which keys they give, and each kind is an equi-join on its keys;
+    a row that gives none matches nothing.
+    """
+    out = None
+    for rows, side, same, inner in kinds_of(wanted, have, keys):
+        met = rows.join(side, same).drop(*inner)
         out = met if out is None else out.unionByName(met)
     return out
 
 
+def optional_key_counts(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
+    """``qid, n, hid``: how many rows of ``have`` each wanted row finds by :func:`optional_keys`, and the smallest.
+
+    ``have`` is counted by the keys of each kind before it meets anything, so a key that many rows share is one row.
+    """
+    out = None
+    for rows, side, same, inner in kinds_of(wanted, have, keys):
+        counts = side.groupBy(*inner).agg(F.count(F.lit(1)).alias("n"), F.min("hid").alias("hid"))
+        met = rows.join(counts, same).select("qid", "n", "hid")
+        out = met if out is None else out.unionByName(met)
+    return out.groupBy("qid").agg(F.sum("n").alias("n"), F.min("hid").alias("hid"))
+
+
 def search(query: str, fields: list[str], genre_field: str, artist_field: str = "") -> Column:
     """A search line as a predicate: ``,`` is or, ``+`` is and, ``@gen`` looks at the genre only and ``@art`` (if that
     field is named) at the artist; a leading "the " and empty terms are dropped."""

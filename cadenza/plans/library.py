@@ -189,8 +189,7 @@ def wanted_parts(spark, sf_dir):
 @query(f"""WITH {WANTED} SELECT qid, count(*) AS n, min(p_partkey) AS hid FROM w JOIN part ON (artist IS NULL OR lower(artist) = lower(p_brand)) AND (coalesce(track, '') = '' OR lower(track) = lower(p_name))
 AND (album IS NULL OR lower(album) = lower(p_type)) WHERE artist IS NOT NULL OR track <> '' OR album IS NOT NULL GROUP BY 1""")
 def q_optional_keys(spark, sf_dir):
-    met = matching.optional_keys(*wanted_parts(spark, sf_dir), ["artist", "track", "album"])
-    return met.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("hid").alias("hid"))
+    return matching.optional_key_counts(*wanted_parts(spark, sf_dir), ["artist", "track", "album"])
 
 
 KEYED = "lower(regexp_replace({0}, '\\W+', '', 'g')) || '|' || lower(regexp_replace({1}, '\\W+', '', 'g')) || '|' || lower(regexp_replace({2}, '\\W+', '', 'g'))"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import genres, text
-from cadenza.operators import catalogue, clusters, matching, neighbors, sinks, timeseries
+from cadenza.operators import catalogue, clusters, matching, metric, neighbors, similarity, sinks, timeseries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,11 +76,17 @@ def q_nn_histogram(spark, sf_dir):
     return neighbors.histogram(neighbors.nearest(v, v), 20)
 
 
-@query(f"""WITH {NN.replace("a.id <> b.id", "a.id % 10 = 0 AND b.id % 10 <> 0")} SELECT id, neighbor, round(similarity, 6) AS similarity,
+@query(f"WITH {NN} SELECT id, neighbor, round(similarity, 6) AS similarity FROM nn")
+def q_nearest_pruned(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return metric.nearest_pruned(v, v, block=256).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {NN.replace("a.id <> b.id", "a.id % 20 = 0 AND a.id <> b.id")} SELECT id, neighbor, round(similarity, 6) AS similarity,
 CASE WHEN similarity >= 0.45 THEN 'duplicate' WHEN similarity >= 0.40 THEN 'ask' ELSE 'new' END AS class FROM nn""")
 def q_near_duplicates(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    nn = neighbors.nearest(v.where("id % 10 = 0"), v.where("id % 10 <> 0"))
+    nn = neighbors.nearest(v.where("id % 20 = 0"), v)
     return nn.select("id", "neighbor", F.round("similarity", 6).alias("similarity"), neighbors.duplicate_class(F.col("similarity"), 0.45, 0.40).alias("class"))
 
 
@@ -485,6 +491,13 @@ def q_fuzzy_pairs(spark, sf_dir):
     return pairs.where("a < b").withColumn("score", F.round("score", 6))
 
 
+@query()
+def q_token_set_pairs(spark, sf_dir):
+    """Part names against their descriptions in another order of words."""
+    p = read(spark, sf_dir, "part")
+    return similarity.token_set_pairs(p.select(F.concat_ws(" ", "p_name", "p_type").alias("a")), p.select(F.concat_ws(" ", "p_type", "p_brand", F.upper("p_name")).alias("b")), "a", "b")
+
+
 def named_parts(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_type").alias("album"), F.col("p_brand").alias("artist"))
 
