@@ -269,3 +269,8 @@ def number_mismatch(track: Column, tracks: Column, disc: Column, discs: Column,
 
 def failure_kind(path: Column, root: str, exists: Column) -> Column:
     return F.when(~path.startswith(root.rstrip("/") + "/"), "outside").when(~exists, "missing").otherwise("ok")
+
+
+def without_prefix(c: Column, prefix: str = "plex://track/") -> Column:
+    """An id without the prefix of the service that gave it; others as they are."""
+    return F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.shared import stored
+
 TAGS = "map<string,string>"
+#: Numbers of a disc that are listed one by one.
+LISTED = 1000
 
 
 def parse_tags(df: DataFrame, column: str = "tag_data", out: str = "tags") -> DataFrame:
@@ -53,6 +57,37 @@ def overlay(base: Column, over: Column, keep: list[str]) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(put), k)), put)
 
 
+#: The keys that belong to a file and not to the track, and the ids that must all be there.
+FILE_KEYS = [
+    "----:com.apple.iTunes:Acoustid Fingerprint", "----:com.apple.iTunes:Acoustid Id", "----:com.apple.iTunes:replaygain_album_gain",
+    "----:com.apple.iTunes:replaygain_album_peak", "----:com.apple.iTunes:replaygain_track_gain", "----:com.apple.iTunes:replaygain_track_peak",
+]
+ID_KEYS = ["----:com.apple.iTunes:MusicBrainz Artist Id", "----:com.apple.iTunes:MusicBrainz Track Id", "----:com.apple.iTunes:MusicBrainz Release Group Id"]
+GENRE, WRITER, REVISION = "\u00a9gen", "\u00a9wrt", "----:com.apple.iTunes:metadata_rev"
+
+
+def file_overlay(file: Column, known: Column, genres: str) -> Column:
+    """A file's tags (map of JSON texts) overlaid by the catalogue's, but for :data:`FILE_KEYS`.
+
+    The genre becomes the first of the catalogue's list ``genres``, the writer goes, and the revision is the catalogue's or ``AAA``.
+    """
+    out = overlay(file, known, FILE_KEYS)
+    listed = F.from_json(F.try_element_at(known, F.lit(genres)), "array<string>")
+    top = F.try_element_at(listed, F.lit(1))
+    out = F.when(top.isNotNull(), overlay(out, F.create_map(F.lit(GENRE), F.to_json(F.array(top))), [])).otherwise(out)
+    out = F.map_filter(out, lambda k, _: k != WRITER)
+    return overlay(out, F.create_map(F.lit(REVISION), F.coalesce(F.try_element_at(known, F.lit(REVISION)), F.lit('"AAA"'))), [])
+
+
+def id_overlay(file: Column, known: Column, more: list[str]) -> Column:
+    """A file's tags with the catalogue's :data:`ID_KEYS`, genre and ``more`` keys, if the catalogue has all three ids; else as they are."""
+    whole = F.lit(True)
+    for k in ID_KEYS:
+        whole = whole & ~F.coalesce(F.try_element_at(known, F.lit(k)), F.lit("")).isin("", '""', "null", "N/A", '"N/A"')
+    put = F.map_filter(known, lambda k, _: k.isin([*ID_KEYS, GENRE, *more]))
+    return F.when(whole, overlay(file, put, [])).otherwise(file)
+
+
 def canonical(tags: Column, ignore: tuple[str, ...] = ()) -> Column:
     """A map as JSON with sorted keys, to compare by."""
     kept = F.map_filter(tags, lambda k, _: ~F.lower(k).isin(*ignore)) if ignore else tags
@@ -77,22 +112,30 @@ def completeness(df: DataFrame, album: str, number: str, disc: str | None = None
     ``total``, or, where nothing is declared, to its largest number.  ``missing`` and ``extra``
     list numbers, those of later discs as ``disc-number``; extra ones (bonus tracks) do not
     make an album incomplete, and there is no such column if no ``total`` is named.  Albums
-    that expect nothing are left out.
+    that expect nothing are left out.  Of a disc only the first :data:`LISTED` numbers are listed as
+    missing, and ``...`` stands for the others, so one wrong number makes no long list; counts are of all.
     """
     d = F.coalesce(F.col(disc).cast("int"), F.lit(1)) if disc else F.lit(1)
     n = F.col(number).cast("int")
     declared = F.when(F.col(total).cast("int") > 0, F.col(total).cast("int")) if total else F.lit(None).cast("int")
     per = df.select(album, d.alias("d"), n.alias("n"), declared.alias("t")).where("n is not null").groupBy(album, "d").agg(F.max("t").alias("t"), F.max("n").alias("m"), F.collect_set("n").alias("have"))
-    want = F.when(F.coalesce("t", "m") >= 1, F.sequence(F.lit(1), F.coalesce("t", "m"))).otherwise(F.array().cast("array<int>"))
+    size = F.coalesce("t", "m")
+    want = F.when(size >= 1, F.sequence(F.lit(1), F.least(size, F.lit(LISTED)))).otherwise(F.array().cast("array<int>"))
     name = lambda a: F.transform(F.array_sort(a), lambda x: F.struct(F.col("d"), x.alias("n")))
-    discs = per.select(album, "have", want.alias("want"), name(F.array_except(want, F.col("have"))).alias("miss"), name(F.filter(F.array_except(F.col("have"), want), lambda x: x > 0)).alias("extra"))
+    fit = F.size(F.filter("have", lambda x: (x >= 1) & (x <= F.col("size"))))
+    discs = per.withColumn("size", F.greatest(size, F.lit(0)).cast("long")).select(
+        album, "have", "size", (F.col("size") - fit).alias("gone"), name(F.array_except(want, F.col("have"))).alias("miss"),
+        name(F.filter("have", lambda x: (x > 0) & (x > F.col("size")))).alias("extra"),
+    )
     sums = discs.groupBy(album).agg(
-        F.sum(F.size("want")).cast("int").alias("expected"), F.sum(F.size("have")).cast("int").alias("present"),
+        F.sum("size").alias("expected"), F.sum(F.size("have")).cast("int").alias("present"), F.sum("gone").alias("gone"),
         F.array_sort(F.flatten(F.collect_list("miss"))).alias("miss"), F.array_sort(F.flatten(F.collect_list("extra"))).alias("more"),
     )
+    sums = sums.withColumn("expected", F.least("expected", F.lit(2**31 - 1)).cast("int"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.when(x["d"] == 1, x["n"].cast("string")).otherwise(F.concat_ws("-", x["d"], x["n"]))), ",")
+    cut = F.when(F.col("gone") > F.size("miss"), F.concat(text("miss"), F.lit(",..."))).otherwise(text("miss"))
     more = [text("more").alias("extra")] if total else []
-    return sums.where("expected >= 1").select(album, "expected", "present", text("miss").alias("missing"), *more, F.when(F.size("miss") == 0, "complete").otherwise("incomplete").alias("status"))
+    return sums.where("expected >= 1").select(album, "expected", "present", cut.alias("missing"), *more, F.when(F.col("gone") == 0, "complete").otherwise("incomplete").alias("status"))
 
 
 def modal(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -155,6 +198,11 @@ def widen(df: DataFrame, tags: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != tags], *[F.col(tags)[n].alias(n) for n in names])
 
 
+def write_csv(df: DataFrame, tags: str, path: str) -> None:
+    """A table with one column a tag key (:func:`widen`) as CSV files with a header; missing tags are empty."""
+    widen(df, tags).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def top_tokens(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
     """``key, token, uses, rank``: the ``n`` commonest lower-case words, the alphabetically first of equals."""
     words = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))).alias("token"))
@@ -216,10 +264,11 @@ def owned(df: DataFrame, column: str, kind: str) -> DataFrame:
 
 def existing(df: DataFrame, path: Column, other: Column, files: DataFrame) -> DataFrame:
     """The rows whose path, in either spelling, is among ``files`` (path)."""
-    have = files.select(F.col("path").alias("__f")).distinct()
-    spelled = df.withColumn("__i", F.monotonically_increasing_id())
-    hit = spelled.select("__i", F.explode(F.array_distinct(F.array_compact(F.array(path, other)))).alias("__p")).join(have, F.col("__p") == F.col("__f"), "left_semi").select(F.col("__i").alias("__h")).distinct()
-    return spelled.join(hit, F.col("__i") == F.col("__h"), "left_semi").drop("__i")
+    have = files.select(F.col("path").alias("__f")).where("__f is not null").distinct()
+    named = df.withColumn("__p", path).withColumn("__o", other)
+    one = named.join(have, F.col("__p") == F.col("__f"), "left_semi")
+    rest = named.join(have, F.col("__p") == F.col("__f"), "left_anti").join(have, F.col("__o") == F.col("__f"), "left_semi")
+    return one.unionByName(rest).drop("__p", "__o")
 
 
 def either(df: DataFrame, tests: list[tuple[list[str], DataFrame]], out: str) -> DataFrame:
@@ -302,31 +351,38 @@ CONFLICTS = ("new_id", "update", "keep")
 def make_ids(df: DataFrame, keys: list[str], taken: DataFrame, ident: str = "track_id", digits: int = 8) -> DataFrame:
     """``df`` plus ``ident``: the first ``digits`` hex digits, in capitals, of a hash of the keys and of a row's number among equal keys.
 
-    Ids that are taken, or that two rows get, are made anew with the next salt until none is left.
+    Ids that are taken, or that two rows get, are made anew with the next salt until none is left.  Every round is stored, so a
+    round costs its own rows only; more rows than half of all ids are refused before the first.
     """
     w = Window.partitionBy(*keys).orderBy(*([c for c in df.columns if c not in keys] or [F.lit(1)]))
     text = F.concat_ws("\0", *[F.coalesce(F.col(k).cast("string"), F.lit("\1")) for k in keys], F.row_number().over(w).cast("string"))
-    rows = df.withColumn("__t", text)
-    used, done, salt = taken.select(F.col(ident).alias("__u")), None, 0
+    rows = stored(df.withColumn("__t", text), "unnamed")
+    used = stored(taken.select(F.col(ident).alias("__u")), "used")
+    if rows.count() + used.count() > 16**digits // 2:
+        raise ValueError(f"too many rows for ids of {digits} digits")
+    done, salt = None, 0
     while True:
         made = rows.withColumn(ident, F.upper(F.left(F.sha2(F.concat_ws("\0", "__t", F.lit(str(salt))), 256), F.lit(digits))))
         first = made.groupBy(ident).agg(F.min("__t").alias("__f"))
         free = first.join(used, F.col(ident) == F.col("__u"), "left_anti").withColumnRenamed(ident, "__i")
-        good = made.join(free, (F.col(ident) == F.col("__i")) & (F.col("__t") == F.col("__f"))).drop("__i", "__f")
+        named = made.join(free, (F.col(ident) == F.col("__i")) & (F.col("__t") == F.col("__f")), "left").drop("__f")
+        named = stored(named, "named")
+        good = named.where("__i is not null").drop("__i")
         done = good if done is None else done.unionByName(good)
-        rows = rows.join(good.select(F.col("__t").alias("__g")), F.col("__t") == F.col("__g"), "left_anti")
+        rows = named.where("__i is null").drop("__i", ident)
         if rows.isEmpty():
             return done.drop("__t")
         used, salt = used.unionByName(good.select(F.col(ident).alias("__u"))), salt + 1
 
 
-def import_batch(catalogue: DataFrame, incoming: DataFrame, keys: list[str], on_conflict: str = "new_id", ident: str = "track_id") -> tuple[DataFrame, DataFrame]:
+def import_batch(catalogue: DataFrame, incoming: DataFrame, keys: list[str], on_conflict: str = "new_id", ident: str = "track_id", order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(catalogue after the import, incoming rows that were there already, with ``existing``).
 
     A row is there if its keys, lower case and trimmed, are; the smallest id counts.  ``on_conflict``:
     ``new_id`` adds it as another track, ``update`` puts its values under the id there, ``keep``
     leaves the catalogue as it is.  Without keys (all null or empty) a row is always new.  Both
-    tables have the same columns; ids of incoming rows are made here.
+    tables have the same columns; ids of incoming rows are made here.  Of several incoming rows for one
+    id the last by ``order`` (a further column of ``incoming``) is put there; without it, or of equals, the greatest by its values.
     """
     if on_conflict not in CONFLICTS:
         raise ValueError(f"on_conflict is one of {CONFLICTS}")
@@ -336,15 +392,24 @@ def import_batch(catalogue: DataFrame, incoming: DataFrame, keys: list[str], on_
     plain = incoming.drop(ident)
     matched = plain.withColumn("__m", name).join(have, F.col("__m") == F.col("__n"), "left").drop("__m", "__n")
     duplicates = matched.where("existing is not null")
+    matched = matched.drop(order) if order else matched
     new = (matched if on_conflict == "new_id" else matched.where("existing is null")).drop("existing")
     out = catalogue.unionByName(make_ids(new, [c for c in plain.columns if c in keys], catalogue, ident).select(*catalogue.columns))
     if on_conflict == "update":
-        rest = [c for c in plain.columns]
-        last = duplicates.groupBy(F.col("existing").alias(ident)).agg(F.max(F.struct(*rest)).alias("r")).select(ident, "r.*").select(*catalogue.columns)
+        rest = [c for c in plain.columns if c != order]
+        by = F.struct(*([order] if order else []), *rest)
+        last = duplicates.groupBy(F.col("existing").alias(ident)).agg(F.max_by(F.struct(*rest), by).alias("r")).select(ident, "r.*").select(*catalogue.columns)
         out = upsert(out, last, ident)
     return out, duplicates
 
 
+def import_run(catalogue: DataFrame, incoming: DataFrame, keys: list[str], previous: tuple[int, str], on_conflict: str = "new_id", ident: str = "track_id", order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`import_batch` and the catalogue's next revision: one row (tracks, revision), from the count and letters before."""
+    after, twice = import_batch(catalogue, incoming, keys, on_conflict, ident, order)
+    revision = after.agg(F.count(F.lit(1)).alias("tracks")).select("tracks", next_revision(F.col("tracks"), F.lit(previous[0]), F.lit(previous[1])).alias("revision"))
+    return after, twice, revision
+
+
 def import_favourites(saved: DataFrame, incoming: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``artist, album, track, track_id`` of saved favourites and of those that a playlist adds.
 

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from cadenza.functions import vectors as V
 from cadenza.operators import neighbors
 
-#: Clusters whose centroids may be broadcast; beyond that the join is left to Spark.
-FEW = 10_000
+#: Clusters whose centroids may be broadcast, and bytes; beyond that the join is left to Spark.
+FEW, FEW_BYTES = 10_000, 32 << 20
 
 
 def means(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -32,7 +32,9 @@ def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    """``df``, to be broadcast if its rows are at most :data:`FEW` and its values, as JSON, at most :data:`FEW_BYTES`."""
+    size = df.limit(FEW + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
+    return F.broadcast(df) if size.n <= FEW and (size.b or 0) <= FEW_BYTES else df
 
 
 def breadth(df: DataFrame, key: str, vec: str) -> DataFrame:

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import length_bound, ratio
+from cadenza.functions.text import length_bound, percent_ratio, ratio
 from cadenza.operators.similarity import alike_pairs
+from cadenza.sources.files import lines, playlist_paths
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
     """``a, b, score`` of names at least ``cutoff`` alike; pairs whose lengths rule that out are not compared."""
@@ -146,3 +147,33 @@ def playlist_query(query: str) -> tuple[int | None, str] | None:
     """The (first row, path) of ``@m3u path`` or ``@m3u-N path``; None if it is another query.  See :func:`cadenza.operators.sinks.excerpt`."""
     m = re.match(r"\s*@m3u(?:-(\d+))?\s+(.+?)\s*$", query, re.IGNORECASE)
     return (int(m[1]) if m[1] else None, m[2]) if m else None
+
+
+def file_ids(files: DataFrame, tracks: DataFrame, path: str = "path", ident: str = "track_id", cutoff: int = 70) -> DataFrame:
+    """``path, track_id, how``: the track that each file name means, null if none.
+
+    An id of eight hex digits in brackets counts as it is; else a track whose id is the name without its ending, in any
+    case; else the one whose id is most like the name, if more than ``cutoff`` (0 to 100); the smallest of equals.
+    """
+    base = F.regexp_extract(path, r"([^/\\\\]*)$", 1)
+    stem = F.lower(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""))
+    names = files.select(F.col(path).alias("path"), F.nullif(F.regexp_extract(base, r"\[([0-9A-Fa-f]{8})\]", 1), F.lit("")).alias("given"), stem.alias("name")).distinct()
+    ids = tracks.select(F.col(ident).alias("id"), F.lower(ident).alias("low")).where("id is not null").groupBy("low").agg(F.min("id").alias("id"))
+    rest = names.where("given is null").join(ids.withColumnRenamed("id", "same"), F.col("name") == F.col("low"), "left").drop("low")
+    left = rest.where("same is null").select("name").distinct()
+    near = alike_pairs(left, ids, "name", "low", (cutoff + 0.5) / 100).withColumn("score", percent_ratio(F.col("name"), F.col("low"))).where(F.col("score") > cutoff)
+    best = near.groupBy(F.col("name").alias("n")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).getField("id").alias("alike"))
+    found = rest.join(best, F.col("name") == F.col("n"), "left").select("path", F.coalesce("same", "alike").alias("track_id"), F.when(F.col("same").isNotNull(), "name").when(F.col("alike").isNotNull(), "alike").alias("how"))
+    return names.where("given is not null").select("path", F.col("given").alias("track_id"), F.lit("given").alias("how")).unionByName(found)
+
+
+def playlist_search(query: str, tracks: DataFrame, ident: str = "track_id") -> DataFrame | None:
+    """The tracks of ``@m3u path`` (``@m3u-N path``: from its Nth file on) in the playlist's order: ``pos, path, track_id``; None if it is another query."""
+    found = playlist_query(query)
+    if found is None:
+        return None
+    first, path = found
+    paths = playlist_paths(lines(tracks.sparkSession, path))
+    rows = paths.select(F.row_number().over(Window.partitionBy("file").orderBy("line_no")).alias("pos"), F.trim("line").alias("path")).where(F.col("pos") >= (first or 1))
+    named = file_ids(rows, tracks, "path", ident).select(F.col("path").alias("p"), "track_id")
+    return rows.join(named, F.col("path") == F.col("p")).where("track_id is not null").select("pos", "path", "track_id")

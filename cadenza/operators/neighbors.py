@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Vectors of a block.
-BLOCK = 2048
+from cadenza.operators.ranks import median
+from cadenza.operators.shared import stored
+
+#: Vectors of a block, and bytes of one that goes to every task.
+BLOCK, SMALL_BYTES = 2048, 8 << 20
 
 
 def blocks(df: DataFrame, ident: str, vec: str, count: int, name: str, *more: str) -> DataFrame:
@@ -43,8 +46,31 @@ def units(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 Product = Callable[[pa.StructArray, pa.StructArray], pa.RecordBatch | None]
 
 
+def beside(rows: DataFrame, side: pa.Table, of: Product, to: T.StructType) -> DataFrame:
+    """What ``of`` makes of all rows (id, vec) and one measured block that goes to every task; the rows are not shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(side.combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value.to_batches()
+        if not block:
+            return
+        other = pa.StructArray.from_arrays(block[0].columns, names=block[0].schema.names)
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                out = of(pa.StructArray.from_arrays(part.columns, names=["id", "vec"]), other)
+                if out is not None:
+                    yield out
+
+    return rows.mapInArrow(run, to)
+
+
 def products(left: DataFrame, right: DataFrame, ident: tuple[str, str], vec: tuple[str, str], of: Product, to: T.StructType, more: tuple[str, ...] = ()) -> DataFrame:
     """What ``of`` makes of every pair of a left and a right block (arrays of structs); ``more`` are columns of the right side."""
+    head = right.where(F.size(vec[1]) > 0).select(F.col(ident[1]).alias("id"), F.col(vec[1]).cast("array<double>").alias("vec"), *more)
+    side = head.limit(BLOCK + 1).toArrow()
+    if side.num_rows <= BLOCK and side.nbytes <= SMALL_BYTES:
+        return beside(left.where(F.size(vec[0]) > 0).select(F.col(ident[0]).alias("id"), F.col(vec[0]).cast("array<double>").alias("vec")), side, of, to)
     counts = [max(1, -(-d.count() // BLOCK)) for d in (left, right)]
     one = blocks(left, ident[0], vec[0], counts[0], "q").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))))
     two = blocks(right, ident[1], vec[1], counts[1], "b", *more).withColumnRenamed("block", "other")
@@ -98,9 +124,11 @@ def top_pairs(nn: DataFrame, n: int) -> DataFrame:
 
 
 def statistics(nn: DataFrame) -> DataFrame:
-    s = F.col("similarity")
+    """One row of figures; the median is exact and found by counts, see :mod:`cadenza.operators.ranks`."""
+    nn, s = stored(nn.select("similarity"), "similarities"), F.col("similarity")
+    middle = median(nn, "similarity")
     return nn.agg(
-        F.count(F.lit(1)).alias("n"), F.min(s).alias("least"), F.max(s).alias("most"), F.avg(s).alias("mean"), F.median(s).alias("median"),
+        F.count(F.lit(1)).alias("n"), F.min(s).alias("least"), F.max(s).alias("most"), F.avg(s).alias("mean"), F.lit(middle).cast("double").alias("median"),
         F.stddev_pop(s).alias("std"), F.count_if(s == 1.0).alias("exact"), F.count_if(s >= 1 - 1e-5).alias("almost"),
     )
 

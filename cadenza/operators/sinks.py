@@ -82,3 +82,8 @@ def latest_first(df: DataFrame, key: str, time: Column, ident: str) -> DataFrame
     """``key, id, pos``: by falling time, rows without one at the end."""
     w = Window.partitionBy(key).orderBy(F.desc_nulls_last(time), ident)
     return df.select(key, F.col(ident), F.row_number().over(w).alias("pos"))
+
+
+def by_title(df: DataFrame, title: str, ident: str) -> DataFrame:
+    """Playlists in the order of their titles, capitals like small letters; equal titles by id."""
+    return df.orderBy(F.lower(title), title, ident)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.ranks import running_total
+
 
 def islands(df: DataFrame, key: str, order: list[str], flag: Column, start: str, end: str) -> DataFrame:
     """``key, first, last, rows``: runs of consecutive rows whose flag holds."""
@@ -68,31 +70,9 @@ def deltas(df: DataFrame, key: str, order: list[str], tick: str) -> DataFrame:
     return df.withColumn("delta", F.coalesce(d, F.lit(0)).cast("long")).withColumn("elapsed", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def running_total(df: DataFrame, order: str, value: str, rows: int = 1_000_000, out: str = "total") -> DataFrame:
-    """``df`` plus the sum of ``value`` up to each row and its sequence number, in order of a numeric or time column without nulls.
-
-    Rows are dealt by quantiles of the order column, one for every ``rows`` rows, whatever its
-    values are; only one sum a range is ordered as a whole, and every range is then summed
-    on its own.
-    """
-    n = df.count()
-    parts = max(1, -(-n // rows))
-    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    at = F.lit(0)
-    for k in range(0, len(cuts), 500):  # few numbers, kept in short arrays
-        at = at + F.size(F.filter(F.array(*map(F.lit, cuts[k : k + 500])), lambda c: c < F.col(order)))
-    ranged = df.withColumn("__r", at)
-    sums = ranged.groupBy(F.col("__r").alias("__k")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
-    before = Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("__k", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c"))
-    w = Window.partitionBy("__r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(base, F.col("__r") == F.col("__k"))
-    return joined.withColumn(out, F.col("__s") + F.sum(value).over(w)).withColumn("seq", F.col("__c") + F.count(F.lit(1)).over(w)).drop("__r", "__k", "__s", "__c")
-
-
 def within_budget(df: DataFrame, order: str, size: str, limit: int) -> DataFrame:
     """The rows from the start whose sizes fit the limit together, with ``label``, a six-digit sequence number; stops at the first that does not."""
-    return running_total(df, order, size).where(F.col("total") <= limit).withColumn("label", F.lpad(F.col("seq").cast("string"), 6, "0"))
+    return running_total(df, [order], size).where(F.col("total") <= limit).withColumn("label", F.lpad(F.col("seq").cast("string"), 6, "0"))
 
 
 def energy_db(df: DataFrame, key: str, value: str) -> DataFrame:
