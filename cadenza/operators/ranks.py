@@ -74,6 +74,17 @@ def median(df: DataFrame, column: str) -> float | None:
     return float(np.mean(order_statistics(df, column, places)))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes not to be columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = "__" + n
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def running_total(df: DataFrame, order: str | list[str], value: str, rows: int = 1_000_000, out: str = "total") -> DataFrame:
     """``df`` plus the sum of ``value`` up to each row and its sequence number, by the ``order`` columns.
 
@@ -82,15 +93,15 @@ def running_total(df: DataFrame, order: str | list[str], value: str, rows: int =
     whole, one row each, and every range is then summed on its own.
     """
     order = [order] if isinstance(order, str) else order
+    tie, part, key, sums_, count = free(df, "tie", "range", "key", "sum", "count")
     plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
     parts = max(1, -(-df.count() // rows))
-    keyed = df.withColumn("__tie", F.xxhash64(*plain))
-    by = [*order, "__tie"]
-    ranged = stored(keyed.repartitionByRange(parts, *by).withColumn("__r", F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy(F.col("__r").alias("__k")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
-    before = Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    base = sums.select("__k", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c"))
-    w = Window.partitionBy("__r").orderBy(*by, value).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(F.broadcast(base), F.col("__r") == F.col("__k"))
-    total = F.col("__s") + F.coalesce(F.sum(value).over(w), F.lit(0))
-    return joined.withColumn(out, total).withColumn("seq", F.col("__c") + F.count(F.lit(1)).over(w)).drop("__r", "__k", "__s", "__c", "__tie")
+    by = [*order, tie]
+    ranged = stored(df.withColumn(tie, F.xxhash64(*plain)).repartitionByRange(parts, *by).withColumn(part, F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(F.col(part).alias(key)).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
+    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = sums.select(key, F.coalesce(F.sum("s").over(before), F.lit(0)).alias(sums_), F.coalesce(F.sum("c").over(before), F.lit(0)).alias(count))
+    w = Window.partitionBy(part).orderBy(*by, value).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(F.broadcast(base), F.col(part) == F.col(key))
+    total = F.col(sums_) + F.coalesce(F.sum(value).over(w), F.lit(0))
+    return joined.withColumn(out, total).withColumn("seq", F.col(count) + F.count(F.lit(1)).over(w)).drop(tie, part, key, sums_, count)

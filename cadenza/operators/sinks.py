@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.ranks import running_total
+
 
 def playlist_lines(df: DataFrame, playlist: str, order: list[str], seconds: str, name: str, path: str) -> DataFrame:
     """``playlist, line_no, line``: a header, then an ``#EXTINF`` line and a path a track, in a sort that can spill."""
@@ -16,6 +18,18 @@ def playlist_lines(df: DataFrame, playlist: str, order: list[str], seconds: str,
     return head.unionByName(tracks.select(playlist, both).select(playlist, "l.*"))
 
 
+def favourites_playlist(favourites: DataFrame, have: DataFrame, name: str, order: list[str], ident: str = "track_id") -> DataFrame:
+    """``line_no, line`` of a playlist of the favourites that have a file (``have``: id, path; ids in any case, the smallest path of several), in order."""
+    paths = have.select(F.lower("id").alias("__i"), "path").groupBy("__i").agg(F.min("path").alias("__path"))
+    known = favourites.join(paths, F.lower(ident) == F.col("__i")).withColumn("__s", F.lit(-1))
+    plain = [c for c in favourites.columns]
+    numbered = running_total(known.select(*plain, "__path", "__s"), order, "__s", out="__t")
+    info = F.concat(F.lit("#EXTINF:-1,"), F.col(name))
+    both = F.explode(F.array(F.struct((2 * F.col("seq") - 1).alias("line_no"), info.alias("line")), F.struct((2 * F.col("seq")).alias("line_no"), F.col("__path").alias("line")))).alias("l")
+    head = favourites.sparkSession.createDataFrame([(0, "#EXTM3U")], "line_no long, line string")
+    return head.unionByName(numbered.select(both).select("l.*"))
+
+
 def sections(parts: list[tuple[str, DataFrame]], name: str, path: str) -> DataFrame:
     """``section, pos, name, path`` of several lists one after another, each in order of the lower-case file name, then of the path."""
     out = None
@@ -23,8 +37,11 @@ def sections(parts: list[tuple[str, DataFrame]], name: str, path: str) -> DataFr
         base = F.lower(F.element_at(F.split(path, "/"), -1))
         one = rows.select(F.lit(i).alias("__i"), F.lit(title).alias("section"), F.col(name).alias("name"), F.col(path).alias("path"), base.alias("__b"))
         out = one if out is None else out.unionByName(one)
-    w = Window.partitionBy("__i").orderBy("__b", "path")
-    return out.select("section", F.row_number().over(w).alias("pos"), "name", "path")
+    numbered = running_total(out.withColumn("__n", F.lit(1)), ["__i", "__b", "path"], "__n", out="__t")  # by ranges, so a long section is no one task's
+    first = out.groupBy(F.col("__i").alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
+    start = first.withColumn("__a", F.coalesce(F.sum("__c").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a section
+    joined = numbered.join(F.broadcast(start), F.col("__i") == F.col("__k"))
+    return joined.select("section", (F.col("seq") - F.col("__a")).cast("int").alias("pos"), "name", "path")
 
 
 def excerpt(df: DataFrame, playlist: str, order: list[str], start: int, n: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import genres, text
 from cadenza.operators import catalogue, clusters, matching, sinks, timeseries
-from cadenza.plans import more  # noqa: F401  registers the rest
+from cadenza.plans import files, more  # noqa: F401  these register the rest
 from cadenza.plans.queries import LIKE, query, read, vectors
 from cadenza.streaming import playlog
 

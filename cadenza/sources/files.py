@@ -6,7 +6,7 @@ import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,11 +39,18 @@ def media_files(spark: SparkSession, path: str, *extensions: str) -> DataFrame:
     return found.where(ends & ~below.contains("/."))
 
 
+def json_rows(spark: SparkSession, path: str, schema: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """The records of files that hold one array, or one record a line; which it is shows in the first line that is not blank."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    whole = first is not None and not (first[0].strip().startswith("{") and first[0].strip().endswith("}"))
+    return spark.read.schema(schema).option("multiLine", whole).option("mode", mode).json(path)
+
+
 def id_list(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
     """``id``: a list of ids, from JSON records with that ``column``, or one a line of text (a first comma-separated field);
     trimmed, empty ones left out, each once."""
     if column:
-        rows = spark.read.schema(f"`{column}` string").option("multiLine", True).json(path).select(F.col(f"`{column}`").alias("id"))
+        rows = json_rows(spark, path, f"`{column}` string").select(F.col(f"`{column}`").alias("id"))
     else:
         rows = spark.read.text(path).select(F.split("value", ",")[0].alias("id"))
     return rows.select(F.trim("id").alias("id")).where("id <> ''").distinct()
@@ -58,7 +65,7 @@ def xml_tracks(spark: SparkSession, path: str, row: str = "Track", fields: tuple
 
 def id_map(spark: SparkSession, path: str) -> DataFrame:
     """``file, guid`` of a JSON map of files to ids, or of lines of such records."""
-    return spark.read.schema("file string, guid string").option("multiLine", True).json(path).where("file is not null").groupBy("file").agg(F.min("guid").alias("guid"))
+    return json_rows(spark, path, "file string, guid string").where("file is not null").groupBy("file").agg(F.min("guid").alias("guid"))
 
 
 def with_ids(entries: DataFrame, ids: DataFrame, path: str = "path") -> DataFrame:
@@ -97,34 +104,77 @@ def tables(spark: SparkSession, database: str = "default") -> list[tuple[str, li
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array or lines of records with a fixed schema; damaged files give no rows."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return json_rows(spark, path, schema, "DROPMALFORMED")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="index int, mid string, display_name string")
+    """A list of labels with a header; quotes inside quoted names are doubled."""
+    return spark.read.csv(path, header=True, escape='"', schema="index int, mid string, display_name string")
 
 
-class SqliteReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.options = options
+class Rows(InputPartition):
+    """Rows of a table by their row numbers, both included."""
+
+    def __init__(self, low: int, high: int) -> None:
+        self.low, self.high = low, high
 
-    def read(self, partition):
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
-            name = self.options["dbtable"].replace('"', '""')
-            yield from db.execute(f'SELECT * FROM "{name}"')  # noqa: S608
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, options: dict[str, str], kinds: list[str]) -> None:
+        self.path, self.name, self.kinds = options["path"], options["dbtable"].replace('"', '""'), kinds
+        self.parts = int(options.get("numpartitions", "8"))
+
+    def open(self) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
+    def partitions(self) -> list[Rows]:
+        with self.open() as db:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.name}"').fetchone()  # noqa: S608
+        if low is None:
+            return [Rows(0, -1)]
+        step = -(-(high - low + 1) // self.parts)
+        return [Rows(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
+
+    def read(self, partition: Rows):
+        with self.open() as db:
+            rows = db.execute(f'SELECT * FROM "{self.name}" WHERE rowid BETWEEN ? AND ?', (partition.low, partition.high))  # noqa: S608
+            for row in rows:
+                yield tuple(typed(v, k) for v, k in zip(row, self.kinds, strict=True))
+
+
+def typed(value: object, kind: str) -> object:
+    """A value as its column's type has it; null where it does not fit."""
+    if value is None:
+        return None
+    try:
+        if kind == "binary":
+            return value if isinstance(value, bytes) else str(value).encode()
+        if kind == "string":
+            return value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
+        return int(value) if kind == "bigint" else float(value)
+    except (TypeError, ValueError):
+        return None
 
 
 class SqliteSource(DataSource):
-    """``spark.read.format("sqlite").option("path", ...).option("dbtable", ...)``: a table of a local database, as strings."""
+    """``spark.read.format("sqlite").option("path", ...).option("dbtable", ...)``: a table of a database file that all executors see.
+
+    Columns have the type they are declared with (whole numbers, numbers, bytes, else strings), and ``numPartitions`` tasks (8)
+    read ranges of row numbers.  Tables without row numbers cannot be read.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "sqlite"
 
-    def schema(self) -> str:
+    def columns(self) -> list[tuple[str, str]]:
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
-            names = [r[1] for r in db.execute("SELECT * FROM pragma_table_info(?)", [self.options["dbtable"]])]
-        return ", ".join(f"`{n}` string" for n in names)
+            declared = [(r[1], r[2].upper()) for r in db.execute("SELECT * FROM pragma_table_info(?)", [self.options["dbtable"]])]
+        kinds = (("INT", "bigint"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("BLOB", "binary"), ("REAL", "double"), ("FLOA", "double"), ("DOUB", "double"))
+        return [(n, next((k for mark, k in kinds if mark in t), "string")) for n, t in declared]
+
+    def schema(self) -> str:
+        return ", ".join(f"`{n}` {k}" for n, k in self.columns())
 
     def reader(self, schema) -> SqliteReader:
-        return SqliteReader(self.options)
+        return SqliteReader(self.options, [k for _, k in self.columns()])

@@ -104,6 +104,16 @@ class Table:
             return manifest["version"]
         return self._replace(manifest, touched, self._rows(manifest, touched).join(new, self.keys, "left_anti").select(*names).unionByName(new))
 
+    def insert(self, rows: DataFrame, order: str) -> int:
+        """The version with the rows whose keys are not there yet, the first by ``order`` of several; without any the version stays as it is."""
+        manifest = self._manifest()
+        names = [f["name"] for f in manifest["schema"]["fields"]]
+        first = Window.partitionBy(*self.keys).orderBy(order, F.to_json(F.struct(*names)))
+        rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names)
+        new = rows.join(self._rows(manifest, self._touched(manifest, rows)).select(*self.keys), self.keys, "left_anti").select(*names)
+        touched = self._touched(manifest, new)
+        return self._replace(manifest, touched, self._rows(manifest, touched).unionByName(new)) if touched else manifest["version"]
+
     def delete(self, keys: DataFrame) -> int:
         """The version without the rows of these keys; if none is there the version stays as it is."""
         manifest = self._manifest()

@@ -6,6 +6,7 @@ import json
 import os
 import random
 import re
+import sqlite3
 import struct
 from difflib import SequenceMatcher
 
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text
 from cadenza.operators import catalogue, clusters, documents, matching, mel, neighbors, ranks, sinks
-from cadenza.sources import events
+from cadenza.sources import events, files
 from cadenza.sources.table import Conflict, Table
-from cadenza.streaming import votes
+from cadenza.streaming import playlog, votes
 
 
 def rows(df, *names):
@@ -182,6 +183,43 @@ def test_a_folder_lists_each_file_once(spark, tmp_path):
         assert sorted(found) == sorted(n for n in os.listdir(src) if n.endswith(".m3u"))
 
 
+def test_a_log_has_one_row_a_key_however_batches_are_cut(spark, tmp_path):
+    schema = "ts string, user_id long, value double"
+    made = [("t1", 1, 1.0), ("t1", 1, 0.5), ("t2", 1, 2.0), ("t1", 2, 3.0), ("t2", 1, 9.0)]
+    want = [("t1", 1, 0.5), ("t1", 2, 3.0), ("t2", 1, 2.0)]
+    for name, cuts in (("one", [made]), ("many", [made[:2], made[2:4], made[4:], []])):
+        log = Table(spark, str(tmp_path / name / "log"), ["ts", "user_id"])
+        for k, rows_ in enumerate(cuts):
+            spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").json(str(tmp_path / name / "in"))
+            stream = spark.readStream.schema(schema).json(str(tmp_path / name / "in"))
+            playlog.merge_into_table(stream, log, "value", str(tmp_path / name / "cp")).awaitTermination(120)
+            playlog.merge_into_table(stream, log, "value", str(tmp_path / name / f"again{k}")).awaitTermination(120)
+        assert rows(log.read()) == want
+        assert len(log.versions()) <= len(cuts) + 1
+
+
+def test_database_tables_are_read_in_ranges_with_their_types(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "c.db") as db:
+        db.execute("CREATE TABLE t (id INTEGER, name VARCHAR(9), size REAL, raw BLOB, odd)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", [(i, f"n{i}", i / 2, bytes([i % 256]), "x") for i in range(1000)] + [(None, None, None, None, None), ("no number", 5, "1.5", "text", b"\xff")])
+        db.execute("DELETE FROM t WHERE id BETWEEN 100 AND 899")
+        db.execute("CREATE TABLE empty (id INTEGER)")
+    db.close()
+    spark.dataSource.register(files.SqliteSource)
+    read = lambda name, n: spark.read.format("sqlite").option("path", str(tmp_path / "c.db")).option("dbtable", name).option("numPartitions", n).load()
+    got = read("t", 7)
+    assert got.dtypes == [("id", "bigint"), ("name", "string"), ("size", "double"), ("raw", "binary"), ("odd", "string")]
+    assert got.rdd.getNumPartitions() == 7 and got.count() == 202 and got.where("id between 100 and 899").count() == 0
+    assert rows(got.where("id is null"), "id", "name", "size", "odd") == [(None, "5", 1.5, "\ufffd"), (None, None, None, None)]
+    assert read("empty", 3).count() == 0
+
+
+def test_json_is_an_array_or_lines(spark, tmp_path):
+    for name, content in (("a", '[{"id": "x"},\n {"id": "y"}]'), ("l", '\n{"id": "x"}\n{"id": "y"}\n'), ("o", '{\n"id": "x"\n}'), ("e", "")):
+        (tmp_path / name).write_text(content)
+        assert sorted(r.id for r in files.json_records(spark, str(tmp_path / name), "id string").collect()) == {"a": ["x", "y"], "l": ["x", "y"], "o": ["x"], "e": []}[name]
+
+
 # ---------------------------------------------------------------- ranks
 @pytest.mark.parametrize("kind", ["spread", "one value", "few values", "far apart", "mostly one"])
 def test_order_statistics_are_exact(spark, kind, monkeypatch):
