@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cadenza.functions import vectors as V
 from cadenza.operators import neighbors
+from cadenza.operators.shared import stored
 
 #: Clusters whose centroids may be broadcast, and bytes; beyond that the join is left to Spark.
 FEW, FEW_BYTES = 10_000, 32 << 20
@@ -133,24 +135,36 @@ def curate(df: DataFrame, ident: str, key: str, vec: str, album: str, order: Dat
     begun with what is nearest to the end of the one before.
 
     Rows with an ``album`` enter and leave their chain together, as a block: by its first
-    row and by its last, in order of the ids.  The whole list is one sequence, so one
-    task after another has to make it: clusters come to the driver one at a time, and
-    only their blocks' first and last vectors; members are joined back as a table.
+    row and by its last, in order of the ids.  The whole list is one sequence, so one cluster is chained after
+    another, each in a task that has its blocks' first and last vectors; what goes from one to the next is the vector it ends with.
     """
     unit = F.coalesce(F.col(album).cast("string"), F.concat(F.lit("\0"), F.col(ident).cast("string"))).alias("unit")
     rows = df.where(V.usable(F.col(vec))).select(F.col(key).alias("k"), F.col(ident).alias("id"), F.col(album).alias("album"), V.doubles(F.col(vec)).alias("v"), unit)
     ends = rows.groupBy("k", "unit").agg(F.min(F.struct("id", "v")).alias("a"), F.max(F.struct("id", "v")).alias("z"))
-    spark, placed, at, kind = df.sparkSession, [], None, df.schema[key].dataType
+    ends = stored(ends.select("k", "unit", F.col("a.id").alias("id"), F.col("a.v").alias("first"), F.col("z.v").alias("last")), "ends")
+    placed, at, kind = None, None, df.schema[key].dataType
+    to = T.StructType([T.StructField("cluster_ord", T.IntegerType()), T.StructField("c", kind), T.StructField("u", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("end", T.ArrayType(T.DoubleType()))])
+
+    def chained(number: int, begin: np.ndarray | None):
+        def run(units: pa.Table) -> pa.Table:
+            units = units.sort_by("id").combine_chunks()
+            first, last = (np.array(units[c].to_pylist(), np.float64) for c in ("first", "last"))
+            plan = chain_plan(first, last, begin, decimals)
+            order = pa.array(plan, pa.int64())
+            n, ends_ = len(plan), [None] * (len(plan) - 1) + [last[plan[-1]].tolist()]
+            return pa.Table.from_arrays([pa.array([number] * n, pa.int32()), units["k"].take(order), units["unit"].take(order), pa.array(np.arange(n), pa.int32()), pa.array(ends_, pa.list_(pa.float64()))], names=to.names)
+
+        return run
+
     for name, number in sorted(((r[0], r[1]) for r in order.select(key, "cluster_ord").collect()), key=lambda x: x[1]):
-        units = ends.where(F.col("k") == name).orderBy("a.id").collect()
-        if not units:
-            continue
-        first, last = (np.array([r[e]["v"] for r in units], np.float64) for e in ("a", "z"))
-        for pos, i in enumerate(chain_plan(first, last, at, decimals)):
-            placed.append((number, name, units[i]["unit"], pos))
-            at = last[i]
-    to = T.StructType([T.StructField("cluster_ord", T.IntegerType()), T.StructField("c", kind), T.StructField("u", T.StringType()), T.StructField("at", T.IntegerType())])
-    joined = rows.join(spark.createDataFrame(placed, to), (F.col("k") == F.col("c")) & (F.col("unit") == F.col("u")))
+        done = stored(ends.where(F.col("k") == name).groupBy("k").applyInArrow(chained(number, at), to), "chained")
+        end = done.where("end is not null").select("end").first()
+        if end is not None:
+            at = np.array(end[0])
+            placed = done if placed is None else placed.unionByName(done)
+    if placed is None:
+        placed = df.sparkSession.createDataFrame([], to)
+    joined = rows.join(placed.drop("end"), (F.col("k") == F.col("c")) & (F.col("unit") == F.col("u")))
     w = Window.partitionBy("k").orderBy("at", "id")
     return joined.select("cluster_ord", F.col("k").alias(key), F.row_number().over(w).alias("pos"), "id", "album")
 
@@ -248,22 +262,57 @@ def assign_albums(df: DataFrame, ident: str, album: str, cluster: str, vec: str,
     most similar, then the smallest; ``outliers`` unless a token is shared and the similarity is at least
     ``threshold``.  An album that shares no token has overlap 0 and no similarity.
 
-    Albums meet only clusters that share a token, by an equi-join on tokens.
+    Albums of one set of tokens are one row until the clusters that share most with the set are known, so a
+    token that half of all albums have meets the clusters once a set.  Among several such clusters the most similar one is found in a
+    matrix product with their centroids, if these are few; else by a join.
     """
-    tokens = lambda k, name: df.select(F.col(k).alias(name), F.col(token).alias("t")).where("t is not null").distinct()
-    shared = tokens(album, "a").join(tokens(cluster, "c"), "t").groupBy("a", "c").agg(F.count(F.lit(1)).cast("int").alias("o"))
-    most = shared.groupBy(F.col("a").alias("m_a")).agg(F.max("o").alias("m"))
-    best = shared.join(most, (F.col("a") == F.col("m_a")) & (F.col("o") == F.col("m"))).select("a", "c", "o")
+    pairs = lambda k, name: df.select(F.col(k).alias(name), F.col(token).alias("t")).where("t is not null").distinct()
+    sets = stored(pairs(album, "a").groupBy("a").agg(F.sort_array(F.collect_set("t")).alias("set")), "token-sets")
+    each = sets.select("set").distinct().select("set", F.explode("set").alias("t"))
+    shared = each.join(pairs(cluster, "c"), "t").groupBy("set", "c").agg(F.count(F.lit(1)).cast("int").alias("o"))
+    most = shared.groupBy("set").agg(F.max("o").alias("o"))
+    best = shared.join(most, ["set", "o"]).groupBy("set", "o").agg(F.sort_array(F.collect_list("c")).alias("cs"))
     one = centroids(df, album, vec).select(F.col(album).alias("o_a"), F.col("centroid").alias("ac"))
-    two = centroids(df, cluster, vec).select(F.col(cluster).alias("o_c"), F.col("centroid").alias("cc"))
-    met = best.join(one, F.col("a") == F.col("o_a")).join(few(two), F.col("c") == F.col("o_c"))
-    alike = met.select("a", "o", F.col("c"), F.round(V.cosine(F.col("ac"), F.col("cc")), decimals).alias("s"))
+    two = stored(centroids(df, cluster, vec).select(F.col(cluster).alias("o_c"), F.col("centroid").alias("cc")).where("cc is not null and o_c is not null"), "centroids")
+    met = sets.join(best, "set").join(one, F.col("a") == F.col("o_a")).select("a", "o", "cs", "ac")
+    size = two.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("cc") * 8).alias("b")).first()
+    if size.n <= FEW and (size.b or 0) <= FEW_BYTES:
+        alike = most_alike(met, two.orderBy("o_c").collect(), decimals, df.schema[cluster].dataType)
+    else:
+        every = met.select("a", "o", "ac", F.explode("cs").alias("c")).join(two, F.col("c") == F.col("o_c"))
+        alike = every.select("a", "o", "c", F.round(V.cosine(F.col("ac"), F.col("cc")), decimals).alias("s"))
     top = alike.groupBy("a").agg(F.min(F.struct((-F.col("s")).alias("s"), "c", "o")).alias("b"))
     s, o = -F.col("b.s"), F.coalesce("b.o", F.lit(0))
     joined = df.select(album).distinct().join(top, F.col(album) == F.col("a"), "left")
     return joined.select(album, F.when(s >= threshold, F.col("b.c").cast("string")).otherwise("outliers").alias("cluster"), o.alias("overlap"), s.alias("similarity"))
 
 
+def most_alike(met: DataFrame, clusters: list, decimals: int, kind: T.DataType) -> DataFrame:
+    """``a, o, c, s`` of ``a, o, cs, ac``: the cluster of ``cs`` whose centroid is most like ``ac``, the first of equals."""
+    centers = np.array([r.cc for r in clusters], np.float64)
+    centers = centers / np.maximum(np.sqrt((centers * centers).sum(1, keepdims=True)), 1e-300) if len(centers) else centers
+    shared = met.sparkSession.sparkContext.broadcast(([r.o_c for r in clusters], centers))
+    to = T.StructType([met.schema["a"], met.schema["o"], T.StructField("c", kind), T.StructField("s", T.DoubleType())])
+
+    def run(batches):
+        names, m = shared.value
+        place = {c: k for k, c in enumerate(names)}
+        for batch in batches:
+            out = []
+            for a, o, cs, v in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                at = [place[c] for c in cs if c in place]
+                n = np.linalg.norm(v) if v is not None else 0.0
+                if at and n > 0:
+                    s = np.round(m[at] @ (np.array(v) / n), decimals)
+                    k = int(s.argmax())
+                    out.append((a, o, names[at[k]], float(s[k])))
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(to.names, r, strict=True)) for r in out], schema=pa.schema([(f.name, t) for f, t in zip(to, arrow, strict=True)]))
+
+    arrow = [to_arrow_type(f.dataType) for f in to]
+    return met.mapInArrow(run, to)
+
+
 def pool_max(df: DataFrame, key: str, vec: str) -> DataFrame:
     return df.select(key, F.posexplode(V.doubles(F.col(vec))).alias("pos", "v")).groupBy(key, "pos").agg(F.max("v").alias("most"))
 

@@ -140,3 +140,33 @@ def test_no_block_is_larger_than_asked_for(spark, clustered):
     dealt, rings = metric.blocked(metric.placed(clustered, "id", "embedding", pivots), 50)
     assert rings[:, 3].sum() == dealt.count() == 1800
     assert rings[:, 3].max() <= 100  # a ring that is split by a hash is split unevenly
+
+
+def test_playlist_difference_is_the_best_of_all_pairs(names, sides):
+    one, two = sides[0].withColumnRenamed("a", "name"), sides[1].withColumnRenamed("b", "name")
+    got = sorted(((r.name, r.match, r.score, r.side) for r in matching.playlist_difference(one.where("name is not null"), two.where("name is not null"), "name").collect()), key=repr)
+    want, taken = [], set()
+    for b in names[1]:
+        best = min(((-SequenceMatcher(None, b, a).ratio(), a) for a in names[0]), default=(0, None))
+        if -best[0] >= 0.6:
+            want.append((b, best[1], -best[0], "second"))
+            taken.add(best[1])
+        else:
+            want.append((b, None, None, "second"))
+    want += [(a, None, None, "first") for a in names[0] if a not in taken]
+    assert got == sorted(want, key=repr)
+
+
+def test_name_matches_are_the_best_of_all_pairs(spark):
+    rng = random.Random(9)
+    have = [(i, name(rng) if i % 7 else None, rng.choice([name(rng), "the same"])) for i in range(150)]
+    wanted = [(i, a if a is None or i % 3 else edited(rng, a), t.upper() if i % 2 else edited(rng, t)) for i, a, t in rng.sample(have, 80)] + [(900, None, None)]
+    schema = "long, artist string, title string"
+    got = sorted((r.qid, r.hid, round(r.score, 9)) for r in matching.name_matches(spark.createDataFrame(wanted, "qid " + schema), spark.createDataFrame(have, "hid " + schema)).collect())
+    want = []
+    low = lambda s: (s or "").lower()
+    for q, a, t in wanted:
+        best = min((-(SequenceMatcher(None, low(a), low(b)).ratio() + SequenceMatcher(None, low(t), low(u)).ratio()) / 2, h) for h, b, u in have)
+        if -best[0] >= 0.9:
+            want.append((q, best[1], round(-best[0], 9)))
+    assert got == sorted(want)
