@@ -707,3 +707,29 @@ def test_quality_network_against_loops():
         down = loss()
         p[name][at] = old
         assert abs((up - down) / (2 * step) - found[name][at]) < 1e-4, name
+
+
+def test_passages_that_go_on_after_an_edit_behind_a_common_part(spark):
+    """Eleven documents share 40 words of a passage; two more share all of its 58, one of them with a word edited near the end of the common part."""
+    rows, want = [], {}
+    for place in range(36, 48):
+        for family in range(4):
+            rng = random.Random(place * 100 + family)
+            words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]  # noqa: B023, E731
+            passage = words(58)
+            rows += [(len(rows) + k, " ".join(words(60) + passage[:40] + words(60))) for k in range(11)]
+            edited = [*passage[:place], "edit", *passage[place + 1 :]]
+            want.setdefault(place, set()).add((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(words(60) + passage + words(60))), (len(rows) + 1, " ".join(words(60) + edited + words(60)))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    pairs = {(r["lead"], r["id"]) for r in found.select("lead", "id").collect()}
+    assert all(pairs >= some for some in want.values())
+
+
+def test_texts_of_several_megabytes_are_compared(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(80)
+    texts = [f"{words(250_000)} {passage} {words(250_000)}", f"{passage} {words(300_000)}", words(300_000)]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["spans"]) for r in found.collect()) == [(0, 0, 1, ""), (1, 0, 1, "0-80"), (2, 2, 0, "")]
