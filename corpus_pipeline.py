@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, near_dedup, sentencepiece, substring_dedup, toxicity
-from cadenza.llm.common import read, rested, small, stored
+from cadenza.llm.common import forget, read, rested, small, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,8 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written to the shared folder before the next reads it."""
-    docs = read(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage is written to the shared folder before the next reads it, and deleted when that is written."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            forget(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
