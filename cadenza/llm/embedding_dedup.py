@@ -42,8 +42,8 @@ SKETCH = [f"s{k}" for k in range(WORDS)]
 LIST, REVERSE = 8, 8
 #: Random orders, nodes of a window, and neighbours that a node takes from one.
 ORDERS, WINDOW, NEAREST = 6, 64, 4
-#: Rounds of descent at most, and the share of list entries below which changes count as none.
-ROUNDS, SETTLED = 10, 0.001
+#: Rounds of descent at most, and the shares of list entries, and of close ones, below which changes count as none.
+ROUNDS, SETTLED, CLOSE_SETTLED = 10, 0.02, 0.001
 #: Nodes of the audit's sample, the recall it asks for, and how often seeds are sown.
 AUDIT, RECALL, PASSES = 1024, 0.995, 4
 #: Vectors of a block of a component.
@@ -267,12 +267,17 @@ def descended(edges: DataFrame, nodes: DataFrame, spread: int) -> DataFrame:
     return lists(edges.select("u", "v", "bits", F.lit(False).alias("new")).unionByName(met.withColumn("new", F.lit(True))))
 
 
-def descent(edges: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
-    """Rounds until next to nothing changes; each is a stored table, the one before is deleted."""
+def descent(edges: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
+    """Rounds until few lists change and next to none by a close node; each is a stored table, the one before is deleted.
+
+    What is kept in the end are close pairs, so lists of nodes far from all others need not be perfect.
+    """
     for k in range(ROUNDS):
         last, edges = edges, stored(descended(edges, nodes, k), "lists")
         forget(last)
-        if edges.where("new").count() <= SETTLED * LIST * total:
+        close = F.col("bits") <= near
+        n = edges.agg(F.count(F.lit(1)).alias("all"), F.count_if("new").alias("new"), F.count_if(close).alias("close"), F.count_if(close & F.col("new")).alias("new_close")).first()
+        if n.new <= SETTLED * n["all"] and n.new_close <= CLOSE_SETTLED * n.close:
             break
     return edges
 
@@ -355,7 +360,7 @@ def embedding_dedup(vectors: DataFrame, ident: str = "vec_id", vec: str = "embed
     with swept(spark):
         rows = stored(sketched(vectors, ident, vec), "vectors")
         nodes = stored(nodes_of(rows), "nodes")
-        total, edges, forest = nodes.count(), None, None
+        edges, forest = None, None
         for attempt in range(PASSES):
             seeds = stored(sown(nodes, attempt, near), "seeds")
             first = seeds.where("not forest").select("u", "v", "bits", F.lit(True).alias("new"))
@@ -363,7 +368,7 @@ def embedding_dedup(vectors: DataFrame, ident: str = "vec_id", vec: str = "embed
             bridges = stored(seeds.where("forest").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "bridges")
             forest = bridges if forest is None else forest.unionByName(bridges)
             forget(seeds, *([old] if old is not None else []))
-            edges = descent(edges, nodes, total)
+            edges = descent(edges, nodes, near)
             close = edges.where(F.col("bits") <= near)
             pairs = close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).unionByName(forest).distinct()
             links = stored(checked(pairs, nodes, threshold), "links")
