@@ -733,3 +733,76 @@ def test_texts_of_several_megabytes_are_compared(spark):
     texts = [f"{words(250_000)} {passage} {words(250_000)}", f"{passage} {words(300_000)}", words(300_000)]
     found = substring_dedup.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["spans"]) for r in found.collect()) == [(0, 0, 1, ""), (1, 0, 1, "0-80"), (2, 2, 0, "")]
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Every stage's decisions on what its predecessor kept, made again by comparing all with all, by SQL or by the library."""
+    import sentencepiece as library
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    text_of = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+
+    # toxicity: what the query of operator 8 rejects goes, and nothing else
+    plain = stages["toxicity"](spark, rows, sf).cache()
+    judged = {r["doc_id"]: r["predicted"] for r in queries.QUERIES["op8_toxicity"](spark, sf).collect()}
+    before, kept = text_of(rows), text_of(plain)
+    assert kept == {i: t for i, t in before.items() if not judged[i]}
+
+    # near duplicates: all pairs of shingle sets
+    split = lambda t: WORD.findall(t or "")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in kept.items() if (w := split(t))}
+    root = {i: i for i in kept}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a, i in enumerate(ids):
+        for j in ids[a + 1 :]:
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small >= 0.8 * large and len(s := sets[i] & sets[j]) >= 0.8 * (small + large - len(s)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    single = stages["near_dedup"](spark, plain, sf).cache()
+    kept = text_of(single)
+    assert set(kept) == {i for i in root if find(i) == i}
+
+    # passages: all pairs that have a shingle in common
+    words = {i: hashing.words(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for i, t in kept.items()}
+    ordered = {i: substring_dedup.in_order(w) for i, w in words.items()}
+    having = collections.defaultdict(list)
+    for i in sorted(ordered):
+        for v in set(ordered[i][0].tolist()):
+            having[v].append(i)
+    pairs = {(i, j) for them in having.values() for i in them for j in them if j < i}
+    spans = collections.defaultdict(list)
+    for i, j in pairs:
+        spans[i] += substring_dedup.passages(words[i], words[j], ordered=ordered[j])
+    want = {}
+    for i, t in kept.items():
+        flat = [x for s in substring_dedup.merged(spans[i]) for x in s]
+        want[i] = substring_dedup.cut(t, flat) if flat else t
+    once = stages["substring_dedup"](spark, single, sf).cache()
+    got = text_of(once)
+    want = {i: t for i, t in want.items() if i in got or t == kept[i] or t.strip(" \t\n\v\f\r")}
+    assert set(got) == set(want)
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.99
+    assert all(r["n_chars"] == len(r["text"]) for r in once.where("text is not null").collect())
+
+    # decontamination: the operator's SQL over these documents
+    db = duckdb.connect()
+    db.register("documents", once.select("doc_id", "text").toArrow())
+    db.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+    clean = {r[0] for r in db.execute(f"SELECT doc_id FROM ({queries.SQL['op7_decontaminate']}) WHERE NOT contaminated").fetchall()}
+    left = stages["decontamination"](spark, once, sf).cache()
+    assert text_of(left) == {i: t for i, t in got.items() if i in clean}
+
+    # encoding: the library's pieces, there and back
+    model = library.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece.MODEL))
+    texts = text_of(left)
+    coded = stages["sentencepiece"](spark, left, sf).collect()
+    assert {r["doc_id"]: r["n_pieces"] for r in coded} == {i: len(model.encode(t or "")) for i, t in texts.items()} and all(r["round_trip"] for r in coded)
