@@ -46,8 +46,8 @@ ORDERS, WINDOW, NEAREST = 6, 64, 4
 ROUNDS, SETTLED, CLOSE_SETTLED = 10, 0.02, 0.001
 #: Nodes of the audit's sample, the recall it asks for, and how often seeds are sown.
 AUDIT, RECALL, PASSES = 1024, 0.995, 4
-#: Vectors of a block of a component.
-BLOCK = 1024
+#: Vectors of a block of a component: eight times the root of its size, within these bounds.
+BLOCK = 256, 2048
 FAR = 1 << 14
 
 
@@ -305,7 +305,7 @@ def enlarged(groups: DataFrame, full: DataFrame, nodes: DataFrame, threshold: fl
     Both sides of a component are dealt in blocks; a task counts the links between two blocks.
     """
     members = groups.join(full.withColumn("full", F.lit(True)), groups.node == full.u, "left").select("node", "root", F.coalesce("full", F.lit(False)).alias("full"))
-    size = stored(members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("any")).where("any").select(F.col("root").alias("r"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sizes")
+    size = stored(members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("any")).where("any").select(F.col("root").alias("r"), F.ceil(F.col("n") / F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), 8 * F.sqrt("n")))).cast("int").alias("blocks")), "sizes")
     whole = members.join(F.broadcast(size) if small(size) else size, F.col("root") == F.col("r")).join(nodes.select(F.col("node").alias("m"), "weight", "vec"), F.col("node") == F.col("m"))
     whole = whole.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     whole = stored(whole.select("root", "own", "blocks", "node", "weight", "full", "vec"), "dealt")
