@@ -153,8 +153,10 @@ def guess_artist_title(one: Column, two: Column, file: Column, dir1: Column, dir
 
 
 def title_case(c: Column) -> Column:
-    """A key for display: words that begin with capitals."""
-    return F.initcap(F.regexp_replace(c, "_", " "))
+    """A key for display: spaces for ``_``, and every run of cased letters with a capital first, also after an apostrophe or a digit."""
+    cased = r"\p{Lu}\p{Ll}\p{Lt}"
+    parts = F.regexp_extract_all(F.regexp_replace(c, "_", " "), F.lit(f"([{cased}]+|[^{cased}]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, F.initcap), "")
 
 
 def shortened(c: Column, limit: int = 250) -> Column:

@@ -403,8 +403,18 @@ def import_batch(catalogue: DataFrame, incoming: DataFrame, keys: list[str], on_
     return out, duplicates
 
 
-def import_run(catalogue: DataFrame, incoming: DataFrame, keys: list[str], previous: tuple[int, str], on_conflict: str = "new_id", ident: str = "track_id", order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """:func:`import_batch` and the catalogue's next revision: one row (tracks, revision), from the count and letters before."""
+def import_run(catalogue: DataFrame, incoming: DataFrame, keys: list[str], previous: tuple[int, str], on_conflict: str = "new_id", ident: str = "track_id", order: str | None = None, known: DataFrame | None = None, tags: str = "tags", genres: str = "genres") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`import_batch` of rows that are enriched first, and the catalogue's next revision: one row (tracks, revision), from the count and letters before.
+
+    ``known`` has ``tags`` (maps) for the same keys, from wherever: they are put over those of the incoming rows by
+    :func:`file_overlay`; of several rows of a key the first in order of its tags as JSON.
+    """
+    if known is not None:
+        norm = F.concat_ws("\0", *[F.lower(F.trim(F.coalesce(F.col(k).cast("string"), F.lit("")))) for k in keys])
+        found = known.select(norm.alias("__k"), F.col(tags).alias("__t")).groupBy("__k").agg(F.min_by("__t", canonical(F.col("__t"))).alias("__t"))
+        joined = incoming.withColumn("__n", norm).join(found, F.col("__n") == F.col("__k"), "left")
+        richer = F.when(F.col("__t").isNull(), F.col(tags)).otherwise(file_overlay(F.coalesce(F.col(tags), F.from_json(F.lit("{}"), TAGS)), F.col("__t"), genres))
+        incoming = joined.select(*[richer.alias(c) if c == tags else F.col(c) for c in incoming.columns])
     after, twice = import_batch(catalogue, incoming, keys, on_conflict, ident, order)
     revision = after.agg(F.count(F.lit(1)).alias("tracks")).select("tracks", next_revision(F.col("tracks"), F.lit(previous[0]), F.lit(previous[1])).alias("revision"))
     return after, twice, revision

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
 import random
 import re
 import sqlite3
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text
 from cadenza.operators import catalogue, clusters, documents, matching, mel, neighbors, ranks, sinks
-from cadenza.sources import events, files
+from cadenza.sources import events, files, vectors
 from cadenza.sources.table import Conflict, Table
 from cadenza.streaming import playlog, votes
 
@@ -400,3 +401,31 @@ def test_csv_with_a_column_a_tag(spark, tmp_path):
     catalogue.write_csv(df, "tags", str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert back.columns == ["id", "a", "b"] and rows(back) == [("1", "1", 'x,"y"'), ("2", None, None), ("3", "2", None)]
+
+
+def test_imports_are_enriched_first(spark):
+    schema = "track_id string, name string, tags map<string,string>"
+    have = spark.createDataFrame([("K1", "old", {"a": "1"})], schema)
+    new = spark.createDataFrame([(None, "Song", {"a": "file", catalogue.WRITER: "w"}), (None, "other", None), (None, "bare", None)], schema)
+    known = spark.createDataFrame([("song ", {"a": "known", "genres": '["dub"]', catalogue.FILE_KEYS[0]: "x"}), ("other", {"b": "2"})], "name string, tags map<string,string>")
+    after, _, revision = catalogue.import_run(have, new, ["name"], (1, "AA"), known=known)
+    got = {r.name: r.tags for r in after.collect()}
+    assert got == {
+        "old": {"a": "1"}, "Song": {"a": "known", "genres": '["dub"]', catalogue.GENRE: '["dub"]', catalogue.REVISION: '"AAA"'}, "other": {"b": "2", catalogue.REVISION: '"AAA"'}, "bare": None,
+    }
+    assert rows(revision) == [(4, "000000004.AA")]
+
+
+def test_pickled_vectors_and_nothing_else(spark, tmp_path):
+    (tmp_path / "a.p").write_bytes(pickle.dumps({"x": np.arange(3.0), 7: [[1, 2]], "many": [np.ones(2), [0.5, 0.5], "no"], "bad": "text", "deep": np.zeros((2, 2)), "none": None}))
+    (tmp_path / "b.p").write_bytes(pickle.dumps({"x": os.system}))
+    (tmp_path / "c.p").write_bytes(b"\x80")
+    (tmp_path / "d.p").write_bytes(pickle.dumps([1, 2]))
+    got = vectors.pickled_vectors(spark, str(tmp_path))
+    assert rows(got.where("error is null"), "id", "part", "embedding") == [("7", 0, [1.0, 2.0]), ("many", 0, [1.0, 1.0]), ("many", 1, [0.5, 0.5]), ("x", 0, [0.0, 1.0, 2.0])]
+    assert sorted(os.path.basename(r.file) for r in got.where("error is not null").collect()) == ["b.p", "c.p", "d.p"]
+
+
+def test_title_case_begins_words_after_any_sign(spark):
+    df = spark.createDataFrame([("don't_stop 2nd o'NEILL",), (None,), ("",)], "c string")
+    assert [r.x for r in df.select(text.title_case(F.col("c")).alias("x")).collect()] == ["Don'T Stop 2Nd O'Neill", None, ""]
