@@ -354,7 +354,8 @@ def make_ids(df: DataFrame, keys: list[str], taken: DataFrame, ident: str = "tra
     Ids that are taken, or that two rows get, are made anew with the next salt until none is left.  Every round is stored, so a
     round costs its own rows only; more rows than half of all ids are refused before the first.
     """
-    w = Window.partitionBy(*keys).orderBy(*([c for c in df.columns if c not in keys] or [F.lit(1)]))
+    by = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes if c not in keys]  # maps have no order of their own
+    w = Window.partitionBy(*keys).orderBy(*(by or [F.lit(1)]))
     text = F.concat_ws("\0", *[F.coalesce(F.col(k).cast("string"), F.lit("\1")) for k in keys], F.row_number().over(w).cast("string"))
     rows = stored(df.withColumn("__t", text), "unnamed")
     used = stored(taken.select(F.col(ident).alias("__u")), "used")
@@ -397,7 +398,7 @@ def import_batch(catalogue: DataFrame, incoming: DataFrame, keys: list[str], on_
     out = catalogue.unionByName(make_ids(new, [c for c in plain.columns if c in keys], catalogue, ident).select(*catalogue.columns))
     if on_conflict == "update":
         rest = [c for c in plain.columns if c != order]
-        by = F.struct(*([order] if order else []), *rest)
+        by = F.struct(*([order] if order else []), *[F.to_json(c).alias(c) if t.startswith("map") else F.col(c) for c, t in plain.dtypes if c != order])
         last = duplicates.groupBy(F.col("existing").alias(ident)).agg(F.max_by(F.struct(*rest), by).alias("r")).select(ident, "r.*").select(*catalogue.columns)
         out = upsert(out, last, ident)
     return out, duplicates

@@ -3,7 +3,8 @@
 A version is a manifest, one JSON file that names the folder of each bucket.  A change writes new folders
 for the buckets it touches and then, as its only visible step, the next manifest, by a rename that fails if the name is taken.
 A write that is killed before leaves the old version as it was, and readers of a version keep
-its files until :meth:`Table.expire`.
+its files until :meth:`Table.expire`.  Two writers at one moment are kept apart where a rename onto
+an existing file fails, as in HDFS; a plain local folder only checks before it renames.
 """
 
 from __future__ import annotations

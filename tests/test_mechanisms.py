@@ -414,6 +414,8 @@ def test_imports_are_enriched_first(spark):
         "old": {"a": "1"}, "Song": {"a": "known", "genres": '["dub"]', catalogue.GENRE: '["dub"]', catalogue.REVISION: '"AAA"'}, "other": {"b": "2", catalogue.REVISION: '"AAA"'}, "bare": None,
     }
     assert rows(revision) == [(4, "000000004.AA")]
+    changed, twice, _ = catalogue.import_run(have, spark.createDataFrame([(None, "Old", {"a": "2"}), (None, "old", {"a": "3"})], schema), ["name"], (1, "AA"), "update")
+    assert {r.track_id: r.tags for r in changed.collect()} == {"K1": {"a": "3"}} and twice.count() == 2
 
 
 def test_pickled_vectors_and_nothing_else(spark, tmp_path):
