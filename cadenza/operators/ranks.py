@@ -105,3 +105,66 @@ def running_total(df: DataFrame, order: str | list[str], value: str, rows: int =
     joined = ranged.join(F.broadcast(base), F.col(part) == F.col(key))
     total = F.col(sums_) + F.coalesce(F.sum(value).over(w), F.lit(0))
     return joined.withColumn(out, total).withColumn("seq", F.col(count) + F.count(F.lit(1)).over(w)).drop(tie, part, key, sums_, count)
+
+
+#: Rows of a key up to which its window is one task's.
+HOT = 5_000_000
+
+
+def hot(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a key has more rows than one task should sort; counts alone move."""
+    return (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > HOT
+
+
+def by_ranges(df: DataFrame, by: list[str], rows: int, part: str, tie: str) -> DataFrame:
+    """``df`` as a table dealt by ranges of ``by`` and a hash of the row, with the range and the hash."""
+    plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
+    parts = max(1, -(-df.count() // rows))
+    return stored(df.withColumn(tie, F.xxhash64(*plain)).repartitionByRange(parts, *by, tie).withColumn(part, F.spark_partition_id()), "ranges")
+
+
+def carried(ranged: DataFrame, edges: DataFrame, part: str, keys: list[str], few: int = 100_000) -> DataFrame:
+    """``ranged`` with what ``edges`` has for its range and key; null keys are keys too."""
+    other = edges.select(*[F.col(c).alias(f"{c}__e") for c in (part, *keys)], *[c for c in edges.columns if c not in (part, *keys)])
+    same = F.lit(True)
+    for c in (part, *keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__e"))
+    side = F.broadcast(other) if other.limit(few + 1).count() <= few else other
+    return ranged.join(side, same, "left").drop(*[f"{c}__e" for c in (part, *keys)])
+
+
+def neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[str], step: int, rows: int = 1_000_000) -> DataFrame:
+    """``df`` plus ``near_<column>``: the columns' values in the row before (``step`` -1) or after (1) of the same keys, null at the end.
+
+    If a key is :func:`hot` its rows are sorted in ranges, and the rows where ranges meet are told to each other: one a key and range.
+    """
+    name = [f"near_{c}" for c in columns]
+    next_ = F.lag if step < 0 else F.lead
+    if not hot(df, keys):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[next_(c).over(w).alias(n) for c, n in zip(columns, name, strict=True)])
+    part, tie, inside, edge, carry = free(df, "range", "tie", "inside", "edge", "carry")
+    ranged = by_ranges(df, [*keys, *order], rows, part, tie)
+    w = Window.partitionBy(part, *keys).orderBy(*order, tie)
+    values = F.struct(*[F.col(c).alias(n) for c, n in zip(columns, name, strict=True)])
+    found = ranged.withColumn(inside, next_(values).over(w))
+    pick = F.max_by if step < 0 else F.min_by
+    edges = ranged.groupBy(part, *keys).agg(pick(values, F.struct(*order, tie)).alias(edge))
+    edges = edges.select(part, *keys, next_(edge).over(Window.partitionBy(*keys).orderBy(part)).alias(carry))  # a row a range and key
+    near = F.coalesce(F.col(inside), F.col(carry))  # a struct is null only where the range ends
+    return carried(found, edges, part, keys).select(*df.columns, *[near[n].alias(n) for n in name])
+
+
+def keyed_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, rows: int = 1_000_000) -> DataFrame:
+    """``df`` plus the sum of ``value`` up to each row of its keys, in ranges if a key is :func:`hot`."""
+    if not hot(df, keys):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(w))
+    part, tie, own, carry = free(df, "range", "tie", "own", "carry")
+    ranged = by_ranges(df, [*keys, *order], rows, part, tie)
+    w = Window.partitionBy(part, *keys).orderBy(*order, tie).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy(part, *keys).agg(F.sum(value).alias(own))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    edges = sums.select(part, *keys, F.coalesce(F.sum(own).over(before), F.lit(0)).alias(carry))
+    total = F.sum(value).over(w) + F.col(carry)
+    return carried(ranged, edges, part, keys).withColumn(out, total).select(*df.columns, out)

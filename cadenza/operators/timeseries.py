@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators.ranks import running_total
+from cadenza.operators.ranks import keyed_total, neighbours, running_total
 
 
 def islands(df: DataFrame, key: str, order: list[str], flag: Column, start: str, end: str) -> DataFrame:
-    """``key, first, last, rows``: runs of consecutive rows whose flag holds."""
-    w, v = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key, "__f").orderBy(*order)
-    marked = df.withColumn("__f", F.coalesce(flag, F.lit(False)))
-    runs = marked.withColumn("__g", F.row_number().over(w) - F.row_number().over(v)).where("__f")
+    """``key, first, last, rows``: runs of consecutive rows whose flag holds; a run begins where the row before does not hold it."""
+    marked = neighbours(df.withColumn("__f", F.coalesce(flag, F.lit(False))), [key], order, ["__f"], -1)
+    begins = marked.withColumn("__b", (F.col("__f") & ~F.coalesce("near___f", F.lit(False))).cast("long")).drop("near___f")
+    runs = keyed_total(begins, [key], order, "__b", "__g").where("__f")
     return runs.groupBy(key, "__g").agg(F.min(start).alias("first"), F.max(end).alias("last"), F.count(F.lit(1)).alias("rows")).drop("__g")
 
 
@@ -65,9 +65,9 @@ def quantise(value: Column, low: float, high: float, levels: int = 64) -> Column
 
 def deltas(df: DataFrame, key: str, order: list[str], tick: str) -> DataFrame:
     """``df`` plus ``delta`` (ticks since the row before, 0 for the first) and ``elapsed`` (their running sum)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    d = F.greatest(F.lit(0), F.col(tick) - F.lag(tick, 1).over(w))
-    return df.withColumn("delta", F.coalesce(d, F.lit(0)).cast("long")).withColumn("elapsed", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = neighbours(df, [key], order, [tick], -1)
+    timed = near.withColumn("delta", F.coalesce(F.greatest(F.lit(0), F.col(tick) - F.col(f"near_{tick}")), F.lit(0)).cast("long")).drop(f"near_{tick}")
+    return keyed_total(timed, [key], order, "delta", "elapsed")
 
 
 def within_budget(df: DataFrame, order: str, size: str, limit: int) -> DataFrame:
@@ -84,6 +84,5 @@ def energy_db(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def pairing(df: DataFrame, key: str, order: str, kind: str, first: str, second: str, carry: str) -> DataFrame:
     """Rows of kind ``first`` that a row of kind ``second`` follows at once, with its ``carry``."""
-    w = Window.partitionBy(key).orderBy(order)
-    led = df.withColumn("next_kind", F.lead(kind).over(w)).withColumn(f"next_{carry}", F.lead(carry).over(w))
-    return led.where((F.col(kind) == first) & (F.col("next_kind") == second)).drop("next_kind")
+    led = neighbours(df, [key], [order], list(dict.fromkeys([kind, carry])), 1).withColumn(f"next_{carry}", F.col(f"near_{carry}"))
+    return led.where((F.col(kind) == first) & (F.col(f"near_{kind}") == second)).drop(*{f"near_{kind}", f"near_{carry}"})

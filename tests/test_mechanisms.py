@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import text
-from cadenza.operators import catalogue, clusters, documents, matching, mel, neighbors, ranks, sinks
+from cadenza.operators import catalogue, clusters, documents, matching, mel, neighbors, ranks, sinks, timeseries
 from cadenza.sources import events, files, vectors
 from cadenza.sources.table import Conflict, Table
 from cadenza.streaming import playlog, votes
@@ -257,6 +257,40 @@ def test_running_totals_where_half_of_the_rows_tie(spark):
     assert [x[:5] for x in (tuple(y) for y in ranks.running_total(df, "p", "s", rows=40).orderBy("seq").collect())] == got
 
 
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_windows_of_a_hot_key_in_ranges(spark, monkeypatch, limit):
+    """Islands, deltas and pairs are those of one window a key, whether it is sorted in ranges or not."""
+    r = random.Random(12)
+    made = [(None if i % 50 == 0 else "hot" if i % 4 else r.choice("ab"), i * 3 % 700 + i / 1000, r.random() < 0.7, r.choice(["play", "stop"]), None if i % 9 == 0 else r.randrange(100)) for i in range(700)]
+    r.shuffle(made)
+    df = spark.createDataFrame(made, "k string, t double, f boolean, kind string, tick long")
+    monkeypatch.setattr(ranks, "HOT", limit)
+    if not limit:  # so that a key is in many ranges
+        whole = ranks.by_ranges
+        monkeypatch.setattr(ranks, "by_ranges", lambda df, by, rows, part, tie: whole(df, by, 30, part, tie))
+    keyed = {}
+    for m in sorted(made, key=lambda m: m[1]):
+        keyed.setdefault(m[0], []).append(m)
+    islands, deltas, pairs = [], [], []
+    for k, ms in keyed.items():
+        run, total, last = [], 0, None
+        for i, m in enumerate(ms):
+            if m[2]:
+                run.append(m[1])
+            if run and (not m[2] or i == len(ms) - 1):
+                islands.append((k, run[0], run[-1], len(run)))
+                run = []
+            d = max(0, m[4] - last) if i and m[4] is not None and last is not None else 0
+            total += d
+            deltas.append((k, m[1], d, total))
+            last = m[4]
+            if i + 1 < len(ms) and (m[3], ms[i + 1][3]) == ("play", "stop"):
+                pairs.append((k, m[1], ms[i + 1][1]))
+    assert rows(timeseries.islands(df, "k", ["t"], F.col("f"), "t", "t"), "k", "first", "last", "rows") == sorted(islands, key=repr)
+    assert rows(timeseries.deltas(df, "k", ["t"], "tick"), "k", "t", "delta", "elapsed") == sorted(deltas, key=repr)
+    assert rows(timeseries.pairing(df, "k", "t", "kind", "play", "stop", "t"), "k", "t", "next_t") == sorted(pairs, key=repr)
+
+
 # ---------------------------------------------------------------- documents
 def plain_leaves(v, path=()):
     unwrap = lambda s: m[2] if isinstance(s, str) and (m := re.fullmatch(r"b(['\"])(.*)\1", s, re.DOTALL)) else s
