@@ -9,13 +9,17 @@ from cadenza.operators.ranks import running_total
 
 
 def playlist_lines(df: DataFrame, playlist: str, order: list[str], seconds: str, name: str, path: str) -> DataFrame:
-    """``playlist, line_no, line``: a header, then an ``#EXTINF`` line and a path a track, in a sort that can spill."""
+    """``playlist, line_no, line``: a header, then an ``#EXTINF`` line and a path a track, in a sort that can spill.
+
+    The header is exploded with the first track, not added by a union: all lines of a playlist are in one partition then and stay there.
+    """
     n = F.row_number().over(Window.partitionBy(playlist).orderBy(*order)).cast("long")
     info = F.concat(F.lit("#EXTINF:"), F.col(seconds).cast("string"), F.lit(","), F.col(name))
     tracks = df.select(playlist, n.alias("n"), info.alias("i"), F.col(path).alias("p"))
-    both = F.explode(F.array(F.struct((2 * F.col("n") - 1).alias("line_no"), F.col("i").alias("line")), F.struct((2 * F.col("n")).alias("line_no"), F.col("p").alias("line")))).alias("l")
-    head = df.select(playlist).distinct().select(playlist, F.lit(0).cast("long").alias("line_no"), F.lit("#EXTM3U").alias("line"))
-    return head.unionByName(tracks.select(playlist, both).select(playlist, "l.*"))
+    line = lambda no, text: F.struct(no.cast("long").alias("line_no"), text.alias("line"))
+    both = F.array(line(2 * F.col("n") - 1, F.col("i")), line(2 * F.col("n"), F.col("p")))
+    head = F.array(line(F.lit(0), F.lit("#EXTM3U")))
+    return tracks.select(playlist, F.explode(F.when(F.col("n") == 1, F.concat(head, both)).otherwise(both)).alias("l")).select(playlist, "l.*")
 
 
 def favourites_playlist(favourites: DataFrame, have: DataFrame, name: str, order: list[str], ident: str = "track_id") -> DataFrame:

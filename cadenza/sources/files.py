@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, line``: every playlist file whole (``wholetext``), its lines in order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("l"))
     return whole.select("file", F.posexplode("l").alias("line_no", "line"))
 
 
