@@ -177,23 +177,28 @@ def chord_root(c: Column) -> Column:
 
 
 def year_or_last(c: Column) -> Column:
-    """:func:`leading_year`, 9999 where there is none, so that it sorts last."""
-    return F.coalesce(leading_year(c), F.lit(9999))
+    """:func:`leading_year`, or all of a longer year before a ``-``; 9999 where there is none, so that it sorts last."""
+    return F.coalesce(F.regexp_extract(c, r"^(\d{5,})-", 1).try_cast("int"), leading_year(c), F.lit(9999))
+
+
+def shown_time(c: Column, pattern: str) -> Column:
+    """A time by the pattern, without the sign that it puts before years of more than four digits."""
+    return F.regexp_replace(F.date_format(c, pattern), r"^\+", "")
 
 
 def epoch_text(c: Column) -> Column:
     """Seconds since 1970 as ``yyyy-MM-dd HH:mm:ss`` in the session's time zone; null if they are no number."""
-    return F.date_format(F.timestamp_seconds(c.try_cast("long")), "yyyy-MM-dd HH:mm:ss")
+    return shown_time(F.timestamp_seconds(c.try_cast("long")), "yyyy-MM-dd HH:mm:ss")
 
 
 def parse_time(c: Column) -> Column:
-    """A ``yyyy-MM-dd HH:mm:ss`` text as a timestamp; null if it is none."""
-    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss"))
+    """A ``yyyy-MM-dd HH:mm:ss`` text as a timestamp, years of more than four digits too; null if it is none."""
+    return F.try_to_timestamp(F.regexp_replace(c, r"^(?=\d{5,}-)", "+"), F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
 def stamp(c: Column, file: bool = False) -> Column:
     """A timestamp in ISO form, or as part of a file name."""
-    return F.date_format(c, "yyyyMMdd_HHmmss" if file else "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return shown_time(c, "yyyyMMdd_HHmmss" if file else "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def whole_seconds(ms: Column) -> Column:

@@ -388,3 +388,16 @@ def test_names_and_paths(spark):
     assert got[0] == "the best of" and got[1] == "_" + "x" * 19 and got[2] == "eee" + "x" * 17
     assert got[3] == 80
     assert tuple(got[4]) == ("Band", "Song") and got[5] == ["rock", "pop"]
+
+
+def test_years_of_five_digits(spark):
+    df = spark.createDataFrame([("253402300800",), ("253402300799",), ("0",)], "s string").withColumn("t", text.epoch_text(F.col("s")))
+    got = df.select("t", F.unix_seconds(text.parse_time(F.col("t"))).alias("s"), text.stamp(F.timestamp_seconds(F.col("s").cast("long")), file=True).alias("f"), text.year_or_last(F.col("t")).alias("y"))
+    assert rows(got) == [
+        ("10000-01-01 00:00:00", 253402300800, "100000101_000000", 10000), ("9999-12-31 23:59:59", 253402300799, "99991231_235959", 9999), ("1970-01-01 00:00:00", 0, "19700101_000000", 1970),
+    ]
+
+
+def test_sections_of_equal_paths_go_by_name(spark):
+    df = spark.createDataFrame([(k, "/m/x.m4a") for k in range(40, 0, -1)], "k long, path string")
+    assert [r.name for r in sinks.sections([("a", df)], "k", "path").orderBy("pos").collect()] == list(range(1, 41))
