@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import length_bound, percent_ratio, ratio
-from cadenza.operators.similarity import alike_pairs
+from cadenza.functions.text import length_bound, ratio
+from cadenza.operators.similarity import alike_pairs, best_alike
 from cadenza.sources.files import lines, playlist_paths
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
@@ -161,8 +161,7 @@ def file_ids(files: DataFrame, tracks: DataFrame, path: str = "path", ident: str
     ids = tracks.select(F.col(ident).alias("id"), F.lower(ident).alias("low")).where("id is not null").groupBy("low").agg(F.min("id").alias("id"))
     rest = names.where("given is null").join(ids.withColumnRenamed("id", "same"), F.col("name") == F.col("low"), "left").drop("low")
     left = rest.where("same is null").select("name").distinct()
-    near = alike_pairs(left, ids, "name", "low", (cutoff + 0.5) / 100).withColumn("score", percent_ratio(F.col("name"), F.col("low"))).where(F.col("score") > cutoff)
-    best = near.groupBy(F.col("name").alias("n")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).getField("id").alias("alike"))
+    best = best_alike(left, ids, cutoff).select(F.col("name").alias("n"), F.col("id").alias("alike"))
     found = rest.join(best, F.col("name") == F.col("n"), "left").select("path", F.coalesce("same", "alike").alias("track_id"), F.when(F.col("same").isNotNull(), "name").when(F.col("alike").isNotNull(), "alike").alias("how"))
     return names.where("given is not null").select("path", F.col("given").alias("track_id"), F.lit("given").alias("how")).unionByName(found)
 

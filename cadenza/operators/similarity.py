@@ -10,8 +10,13 @@ Two-grams serve pairs long enough for a bound of 1, one-grams the shorter ones a
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ from cadenza.functions.text import length_bound, token_set_ratio
 #: Grams up to which their counts are broadcast.
 FEW_GRAMS = 100_000
 EPSILON = 1e-9
+#: Texts of a block on either side of a search, texts whose bounds are counted at once, classes of characters and of two-grams.
+SOUGHT, HELD, AT_ONCE, CHARACTERS, TWOS = 1024, 32_768, 16, 97, 251
 
 
 def numbered(items: Column) -> Column:
@@ -141,3 +148,93 @@ def token_set_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: i
     names = [d.select(F.col("raw").alias(c), F.col("text").alias(k)) for d, c, k in ((one, a, "a_key"), (two, b, "b_key"))]
     met = scored.select(F.col("a").alias("x"), F.col("b").alias("y"), "score")
     return names[0].join(met, F.col("a_key") == F.col("x")).join(names[1], F.col("y") == F.col("b_key")).select(a, b, "score")
+
+
+def bags(texts: list[str], size: int) -> np.ndarray:
+    """How often each class of grams of ``size`` (1 or 2) characters comes in each text, a row a text."""
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in texts]
+    if size == 2:
+        codes = [c[:-1] * 31 + c[1:] for c in codes]
+    classes = CHARACTERS if size == 1 else TWOS
+    row = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
+    flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+    n = np.bincount(row * classes + flat % classes, minlength=len(texts) * classes).reshape(len(texts), classes)
+    return n.astype(np.uint16 if n.max(initial=0) < 1 << 15 else np.int64)
+
+
+def most_alike(names: list[str], others: list[str], cutoff: int) -> Iterator[tuple[int, int, int]]:
+    """Name, the first of the other texts most like it, and their ratio from 0 to 100, if that is more than ``cutoff``.
+
+    Characters in common bound a ratio, and so do two-grams: M matched characters in r runs share M - r of them, and r is at most
+    one more than the T - 2 M unmatched ones, so 3 M <= two-grams + T + 1.  Texts are compared from the highest bound down, until none can be better.
+    """
+    held, twos = np.ascontiguousarray(bags(others, 1).T), bags(others, 2)
+    length = np.array([len(t) for t in others])
+    mine, my_twos = bags(names, 1), bags(names, 2)
+    kind = np.result_type(held, mine)
+    kind = kind if kind != np.uint16 or held.astype(np.int64).sum(0).max(initial=0) < 1 << 16 else np.int64
+    some = np.flatnonzero(held.any(1))
+    top = lambda m, t: np.floor(200 * m / np.maximum(t, 1) + 0.5 + EPSILON).astype(int)
+    for a in range(0, len(names), AT_ONCE):
+        part = mine[a : a + AT_ONCE]
+        shared, space = np.zeros((len(part), len(others)), kind), np.empty((len(part), len(others)), kind)
+        for c in some[part[:, some].any(0)]:
+            np.minimum(part[:, c, None], held[c][None], out=space, casting="unsafe")
+            shared += space
+        for k in range(len(part)):
+            name, both = names[a + k], length + len(names[a + k])
+            bound = np.where(both > 0, top(shared[k], both), 100)
+            best, at, open_ = cutoff, -1, []
+            able = np.flatnonzero(bound > cutoff)
+            able = able[np.argsort(-bound[able], kind="stable")]
+            levels = bound[able]
+            start = 0
+            while start < len(able) and (levels[start] > best or levels[start] == best and at >= 0):
+                level = levels[start]
+                stop = int(np.searchsorted(-levels, -level, side="right"))
+                now = able[start:stop]
+                start = stop
+                if level == best:
+                    now = now[now < at]
+                in_common = np.minimum(twos[now], my_twos[a + k][None]).sum(1, dtype=np.int64)
+                least = np.minimum(level, np.where(both[now] > 0, top((in_common + both[now] + 1) // 3, both[now]), 100))
+                for b, j in zip(least.tolist(), now.tolist(), strict=True):
+                    if b > best or b == best and j < at:
+                        heapq.heappush(open_, (-b, j))
+                following = levels[start] if start < len(able) else -1
+                while open_ and -open_[0][0] > following:
+                    b, j = heapq.heappop(open_)
+                    if -b > best or -b == best and j < at:
+                        score = round(100 * SequenceMatcher(None, name, others[j]).ratio())
+                        if score > best or score == best and j < at:
+                            best, at = score, j
+            if at >= 0:
+                yield a + k, at, best
+
+
+def best_alike(left: DataFrame, right: DataFrame, cutoff: int) -> DataFrame:
+    """``name, id, score``: for each distinct ``name`` of the left the right's ``id`` whose ``low`` is most like it, the smallest of
+    equals, if the ratio (0 to 100) is more than ``cutoff``.
+
+    Every block of names meets every block of the other side in a row of its own, so memory is bounded and the work is names times texts, of which
+    all but a few are only bounded.
+    """
+    counts = [max(1, -(-d.count() // n)) for d, n in ((left, SOUGHT), (right, HELD))]
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    one = left.select(deal("name", counts[0]).alias("block"), "name").groupBy("block").agg(F.collect_list("name").alias("names"))
+    one = one.select("names", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))).alias("other"))
+    two = right.select(deal("low", counts[1]).alias("other"), "low", "id").groupBy("other").agg(F.sort_array(F.collect_list(F.struct("id", "low"))).alias("held"))
+    to = f"name string, id {right.schema['id'].dataType.simpleString()}, score int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                names, held = batch.column(0)[k].values, batch.column(1)[k].values
+                found = list(most_alike(names.to_pylist(), held.field("low").to_pylist(), cutoff))
+                at = [pa.array([f[i] for f in found], pa.int32()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([names.take(at[0]), held.field("id").take(at[1]), at[2]], names=["name", "id", "score"])
+
+    parts = min(counts[0] * counts[1], 2000)
+    met = one.join(two, "other").select("names", "held").repartition(parts).mapInArrow(run, to)
+    top = F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("m")
+    return met.groupBy("name").agg(top).select("name", F.col("m.id").alias("id"), (-F.col("m.s")).alias("score"))

@@ -170,3 +170,21 @@ def test_name_matches_are_the_best_of_all_pairs(spark):
         if -best[0] >= 0.9:
             want.append((q, best[1], round(-best[0], 9)))
     assert got == sorted(want)
+
+
+def test_best_alike_compares_few_and_loses_none(spark, names, monkeypatch):
+    a, b = sorted({x for x in names[0]}), sorted({x.lower() for x in names[1]})
+    score = lambda x, y: round(100 * SequenceMatcher(None, x, y).ratio())
+    want = []
+    for x in a:
+        s, y = min((-score(x, y), y) for y in b)
+        if s < -70:
+            want.append((x, y, -s))
+    monkeypatch.setattr(similarity, "SOUGHT", 100)
+    monkeypatch.setattr(similarity, "HELD", 70)
+    left, right = spark.createDataFrame([(x,) for x in a], "name string"), spark.createDataFrame([(y, y) for y in b], "low string, id string")
+    assert sorted(tuple(r) for r in similarity.best_alike(left, right, 70).collect()) == want
+    compared = []
+    monkeypatch.setattr(similarity, "SequenceMatcher", lambda n, x, y: compared.append(1) or SequenceMatcher(n, x, y))
+    assert [(a[i], b[j], s) for i, j, s in similarity.most_alike(a, b, 70)] == want
+    assert len(compared) < len(a) * len(b) / 50
