@@ -235,7 +235,8 @@ def like(df: DataFrame, rated: DataFrame, ident: str, vec: str, sigma: float = 0
         w = np.where(s < 0, 0.0, np.exp(-(d * d) / (2 * sigma * sigma)))
         return pa.RecordBatch.from_arrays([qi, pa.array(w.sum(1)), pa.array((w * d).sum(1))], names=to.names)
 
-    found = neighbors.products(df, rated, (ident, ident), (vec, vec), weigh, to)
+    fold = lambda t: t.group_by("id").aggregate([("w", "sum"), ("wd", "sum")]).select(["id", "w_sum", "wd_sum"]).rename_columns(to.names)
+    found = neighbors.products(df, rated, (ident, ident), (vec, vec), weigh, to, fold=fold)
     sums = found.groupBy(F.col("id").alias("s_id")).agg(F.sum("w").alias("w"), F.sum("wd").alias("wd"))
     value = F.col(rating).cast("double") if rating else F.lit(1.0)
     chosen = rated.select(F.col(ident).alias("r_id"), value.alias("value")).groupBy("r_id").agg(F.max("value").alias("value"))

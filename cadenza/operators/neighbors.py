@@ -1,10 +1,10 @@
 """Exact cosine neighbours by block matrix products.
 
-Vectors are packed into blocks of bounded size; every query block meets every base
-block in a task of its own, which keeps the best of each query row.  No row pair is
-ever a Spark row, and no side is broadcast.  The work is rows times rows: 10**8
+Vectors are dealt to parts of bounded size; every query part meets every base part in
+a group of its own, block by block, which keeps the best of each query row.  No row pair
+is ever a Spark row, and no side is broadcast.  The work is rows times rows: 10**8
 vectors of 100 values against themselves are 2 * 10**18 operations, some thousand
-core-hours; each query block is shuffled once a base block.
+core-hours; each vector is shuffled once a part of the other side.
 """
 
 from __future__ import annotations
@@ -17,19 +17,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cadenza.operators.ranks import median
 from cadenza.operators.shared import stored
 
 #: Vectors of a block, and bytes of one that goes to every task.
 BLOCK, SMALL_BYTES = 2048, 8 << 20
+#: Vectors of a part, which is sent once a part of the other side, and parts of a side that has fewer.
+PART, SPREAD = 65_536, 8
 
 
-def blocks(df: DataFrame, ident: str, vec: str, count: int, name: str, *more: str) -> DataFrame:
-    """``block`` and ``name``, arrays of structs (id, vec, and the columns ``more``); rows without a vector are left out."""
-    rows = df.where(F.size(vec) > 0).select(F.col(ident).alias("id"), F.col(vec).cast("array<double>").alias("vec"), *more)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("block").agg(F.collect_list(F.struct("id", "vec", *more)).alias(name))
+def sides(left: int, right: int) -> tuple[int, int]:
+    """Parts that either side of so many rows is dealt to: enough pairs of parts to keep the cores busy, and never more than :data:`PART` rows in one."""
+    return tuple(max(1, min(SPREAD, -(-n // BLOCK)), -(-n // PART)) for n in (left, right))
 
 
 def units(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -43,6 +44,10 @@ def units(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return rows.field("id").take(pa.array(kept)), m[kept] / n[kept, None], kept
 
 
+def doubles(vec: pa.ListArray) -> pa.ListArray:
+    return vec.cast(pa.list_(pa.float64()))
+
+
 Product = Callable[[pa.StructArray, pa.StructArray], pa.RecordBatch | None]
 
 
@@ -65,24 +70,43 @@ def beside(rows: DataFrame, side: pa.Table, of: Product, to: T.StructType) -> Da
     return rows.mapInArrow(run, to)
 
 
-def products(left: DataFrame, right: DataFrame, ident: tuple[str, str], vec: tuple[str, str], of: Product, to: T.StructType, more: tuple[str, ...] = ()) -> DataFrame:
-    """What ``of`` makes of every pair of a left and a right block (arrays of structs); ``more`` are columns of the right side."""
+def products(left: DataFrame, right: DataFrame, ident: tuple[str, str], vec: tuple[str, str], of: Product, to: T.StructType, more: tuple[str, ...] = (), fold: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
+    """What ``of`` makes of every pair of a left and a right block (arrays of structs); ``more`` are columns of the right side.
+
+    What a left block got from the right blocks of a part may be made less by ``fold``."""
     head = right.where(F.size(vec[1]) > 0).select(F.col(ident[1]).alias("id"), F.col(vec[1]).cast("array<double>").alias("vec"), *more)
     side = head.limit(BLOCK + 1).toArrow()
     if side.num_rows <= BLOCK and side.nbytes <= SMALL_BYTES:
         return beside(left.where(F.size(vec[0]) > 0).select(F.col(ident[0]).alias("id"), F.col(vec[0]).cast("array<double>").alias("vec")), side, of, to)
-    counts = [max(1, -(-d.count() // BLOCK)) for d in (left, right)]
-    one = blocks(left, ident[0], vec[0], counts[0], "q").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))))
-    two = blocks(right, ident[1], vec[1], counts[1], "b", *more).withColumnRenamed("block", "other")
+    counts = sides(left.count(), right.count())
+
+    def dealt(df: DataFrame, k: int, *columns: str) -> DataFrame:
+        rows = df.where(F.size(vec[k]) > 0).select(F.col(ident[k]).alias("id"), F.col(vec[k]).alias("vec"), *columns)
+        own, other = F.pmod(F.xxhash64("id"), F.lit(counts[k])).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(counts[1 - k] - 1)))
+        return rows.select((own if k == 0 else other).alias("i"), (other if k == 0 else own).alias("j"), "id", "vec", *columns)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows = [
+            [pa.StructArray.from_arrays([t[c].combine_chunks() if c != "vec" else doubles(t[c].combine_chunks()) for c in t.column_names[2:]], names=t.column_names[2:]) for t in (whole.slice(k, BLOCK) for k in range(0, whole.num_rows, BLOCK))]
+            for whole in (a, b)
+        ]
+        found = []
+        for q in rows[0]:
+            some = [out for o in rows[1] if (out := of(q, o)) is not None]
+            if some:
+                found.append(fold(pa.Table.from_batches(some)) if fold else pa.Table.from_batches(some))
+        return pa.concat_tables(found) if found else pa.table({f.name: pa.array([], f.type) for f in empty})
+
+    empty = to_arrow_schema(to)
+    one, two = dealt(left, 0).groupBy("i", "j"), dealt(right, 1, *more).groupBy("i", "j")
+    return one.cogroup(two).applyInArrow(run, to)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                out = of(batch.column(0)[k].values, batch.column(1)[k].values)
-                if out is not None:
-                    yield out
 
-    return one.join(two, "other").select("q", "b").mapInArrow(run, to)
+def most(found: pa.Table) -> pa.Table:
+    """The best row of each id: the highest similarity, the smallest neighbour of equals."""
+    found = found.sort_by([("id", "ascending"), ("similarity", "descending"), ("neighbor", "ascending")])
+    codes = found["id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    return found.take(pa.array(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])))) if found.num_rows else found
 
 
 def nearest(queries: DataFrame, base: DataFrame, ident: str = "id", vec: str = "embedding", decimals: int = 9, base_ident: str = "", base_vec: str = "", own: bool = False) -> DataFrame:
@@ -112,7 +136,7 @@ def nearest(queries: DataFrame, base: DataFrame, ident: str = "id", vec: str = "
         ok = pa.array(np.isfinite(most))
         return pa.RecordBatch.from_arrays([qi.filter(ok), bi.take(pa.array(top)).filter(ok), pa.array(most).filter(ok)], names=to.names)
 
-    found = products(queries, base, (ident, base_ident), (vec, base_vec), best, to)
+    found = products(queries, base, (ident, base_ident), (vec, base_vec), best, to, fold=most)
     top = F.min(F.struct((-F.col("similarity")).alias("s"), "neighbor")).alias("m")
     return found.groupBy("id").agg(top).select("id", F.col("m.neighbor").alias("neighbor"), (-F.col("m.s")).alias("similarity"))
 
