@@ -7,7 +7,7 @@ neighbour found so far cannot hold a better one, so their vectors never meet.
 
 A first pass joins each query block with the few base blocks that are nearest by their rings; it gives
 the bounds.  The second joins it with the blocks that are left.  Blocks travel in bundles that lie
-together, so a bundle is sent once for each bundle it has something to do with, not once a block.
+together, as large as the parts of :mod:`cadenza.operators.neighbors`, so a bundle is sent once for each bundle it has something to do with, not once a block.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.operators.neighbors import BLOCK, units
+from cadenza.operators.neighbors import BLOCK, doubles, most, sides, units
 from cadenza.operators.shared import stored
 
-#: Bytes of pivots that go to every task, rings that a pivot's angles are counted in, blocks of a bundle.
-PIVOT_BYTES, RINGS, BUNDLE = 8 << 20, 64, 16
+#: Bytes of pivots that go to every task, rings that a pivot's angles are counted in.
+PIVOT_BYTES, RINGS = 8 << 20, 64
 #: Base blocks of the first pass for each query block.
 FIRST = 3
 #: Similarities are compared after rounding, so a bound prunes only what is lower by more than this.
@@ -51,18 +51,18 @@ def placed(df: DataFrame, ident: str, vec: str, pivots: np.ndarray) -> DataFrame
     """``id, vec, cell, angle, ring``: the nearest pivot of each vector that has a direction."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
     kind = df.schema[ident].dataType
-    to = T.StructType([T.StructField("id", kind), T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+    to = T.StructType([T.StructField("id", kind), T.StructField("vec", df.schema[vec].dataType), T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, m, kept = units(pa.StructArray.from_arrays(batch.columns, names=["id", "vec"]))
+            ids, m, kept = units(pa.StructArray.from_arrays([batch.column(0), doubles(batch.column(1))], names=["id", "vec"]))
             angle = angles(m, shared.value)
             cell = angle.argmin(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([ids, batch.column(1).take(pa.array(kept)), pa.array(cell), pa.array(angle[np.arange(len(cell)), cell])], names=to.names)
 
-    rows = df.where(F.size(vec) > 0).select(F.col(ident).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    rows = df.where(F.size(vec) > 0).select(F.col(ident).alias("id"), F.col(vec).alias("vec"))
     return rows.mapInArrow(run, to).withColumn("ring", F.least(F.lit(RINGS - 1), F.floor(F.col("angle") * (RINGS / np.pi))).cast("int"))
 
 
@@ -122,21 +122,31 @@ def block_pairs(spark: SparkSession, rings: np.ndarray, others: np.ndarray, pivo
     return spark.range(len(rings)).repartition(max(1, min(len(rings) // 64 + 1, 2000))).mapInArrow(run, "q int, b int")
 
 
-def met(pairs: DataFrame, queries: DataFrame, base: DataFrame, to: T.StructType, decimals: int, own: bool) -> DataFrame:
-    """``id, neighbor, similarity, block``: the best of each query vector in each of the bundles its block meets."""
-    bundle = lambda c: F.floor(F.col(c) / BUNDLE).cast("int")
-    pairs = pairs.select("q", "b", bundle("q").alias("i"), bundle("b").alias("j"))
+def bundles(rings: np.ndarray, parts: int) -> int:
+    """Blocks of a bundle if there are to be so many bundles."""
+    return -(-len(rings) // parts)
+
+
+def met(pairs: DataFrame, queries: DataFrame, base: DataFrame, to: T.StructType, decimals: int, own: bool, size: tuple[int, int]) -> DataFrame:
+    """``id, neighbor, similarity, block``: the best of each query vector in each of the bundles its block meets; ``size`` are the blocks of a bundle of either side."""
+    bundle = lambda c, n: F.floor(F.col(c) / n).cast("int")
+    pairs = pairs.select("q", "b", bundle("q", size[0]).alias("i"), bundle("b", size[1]).alias("j"))
     wanted = pairs.groupBy("i", "j", "q").agg(F.collect_list("b").alias("others"))
-    left = queries.join(wanted, F.col("block") == F.col("q")).select("i", "j", "block", "others", "id", "vec")
+    left = queries.join(wanted.select("i", "j", "q"), F.col("block") == F.col("q")).select("i", "j", "block", F.lit(None).cast("array<int>").alias("others"), "id", "vec")
+    none = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in ("id", "vec")]
+    left = left.unionByName(wanted.select("i", "j", F.col("q").alias("block"), "others", *none))  # what a block meets is sent once, not with every row
     right = base.join(pairs.select("i", "j", "b").distinct(), F.col("block") == F.col("b")).select(*[F.col(c).alias(c) for c in ("i", "j", "block", "id", "vec")])
     whole = T.StructType([*to.fields, T.StructField("block", T.IntegerType())])
 
     def struct(t: pa.Table, own_rows: np.ndarray) -> pa.StructArray:
         part = t.take(pa.array(own_rows))
-        return pa.StructArray.from_arrays([part["id"].combine_chunks(), part["vec"].combine_chunks()], names=["id", "vec"])
+        return pa.StructArray.from_arrays([part["id"].combine_chunks(), doubles(part["vec"].combine_chunks())], names=["id", "vec"])
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         parts = []
+        told = a.filter(pc.is_valid(a["others"]))
+        others = dict(zip(told["block"].to_pylist(), told["others"].to_pylist(), strict=True))
+        a = a.filter(pc.is_null(a["others"]))
         if a.num_rows and b.num_rows:
             rows = {int(k): np.flatnonzero(b["block"].to_numpy() == k) for k in np.unique(b["block"].to_numpy())}
             held = {k: units(struct(b, v))[:2] for k, v in rows.items()}
@@ -145,7 +155,7 @@ def met(pairs: DataFrame, queries: DataFrame, base: DataFrame, to: T.StructType,
                 at = np.flatnonzero(mine == k)
                 ids, m, _ = units(struct(a, at))
                 top = None
-                for other in a["others"][int(at[0])].as_py():
+                for other in others[int(k)]:
                     names, v = held[other]
                     order = pc.sort_indices(names)
                     names, s = names.take(order), np.round(m @ v[order.to_numpy()].T, decimals)
@@ -155,10 +165,8 @@ def met(pairs: DataFrame, queries: DataFrame, base: DataFrame, to: T.StructType,
                     first = s.argmax(1)
                     found = pa.table([ids, names.take(pa.array(first)), pa.array(s[np.arange(len(ids)), first])], names=["id", "neighbor", "similarity"])
                     top = found if top is None else pa.concat_tables([top, found])
-                top = top.filter(pc.is_finite(top["similarity"])).sort_by([("id", "ascending"), ("similarity", "descending"), ("neighbor", "ascending")])
+                top = most(top.filter(pc.is_finite(top["similarity"])))
                 if top.num_rows:
-                    codes = top["id"].combine_chunks().dictionary_encode().indices.to_numpy()
-                    top = top.take(pa.array(np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))))
                     parts.append(top.append_column("block", pa.array(np.full(top.num_rows, k, np.int32))))
         return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip(whole.names, (a["id"].type, b["id"].type, pa.float64(), pa.int32()), strict=True)})
 
@@ -179,10 +187,11 @@ def nearest_pruned(queries: DataFrame, base: DataFrame, ident: str = "id", vec:
         return spark.createDataFrame([], to)
     two, others = blocked(stored(placed(base, ident, vec, pivots), "placed"), block)
     one, rings = (two, others) if queries is base else blocked(stored(placed(queries, ident, vec, pivots), "placed"), block)
-    first = stored(met(block_pairs(spark, rings, others, pivots), one, two, to, decimals, own), "first")
+    size = tuple(bundles(r, n) for r, n in zip((rings, others), sides(int(rings[:, 3].sum()), int(others[:, 3].sum())), strict=True))
+    first = stored(met(block_pairs(spark, rings, others, pivots), one, two, to, decimals, own, size), "first")
     per_row = first.groupBy("block", "id").agg(F.max("similarity").alias("s")).groupBy("block").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"))
     bounds = {r.block: r.s for r in per_row.collect() if r.n == rings[r.block, 3]}
-    rest = met(block_pairs(spark, rings, others, pivots, bounds), one, two, to, decimals, own)
+    rest = met(block_pairs(spark, rings, others, pivots, bounds), one, two, to, decimals, own, size)
     found = first.unionByName(rest)
     top = F.min(F.struct((-F.col("similarity")).alias("s"), "neighbor")).alias("m")
     return found.groupBy("id").agg(top).select("id", F.col("m.neighbor").alias("neighbor"), (-F.col("m.s")).alias("similarity"))
