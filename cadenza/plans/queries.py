@@ -82,11 +82,11 @@ def q_nearest_pruned(spark, sf_dir):
     return metric.nearest_pruned(v, v, block=256).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH {NN.replace("a.id <> b.id", "a.id % 20 = 0 AND a.id <> b.id")} SELECT id, neighbor, round(similarity, 6) AS similarity,
+@query(f"""WITH {NN} SELECT id, neighbor, round(similarity, 6) AS similarity,
 CASE WHEN similarity >= 0.45 THEN 'duplicate' WHEN similarity >= 0.40 THEN 'ask' ELSE 'new' END AS class FROM nn""")
 def q_near_duplicates(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    nn = neighbors.nearest(v.where("id % 20 = 0"), v)
+    nn = neighbors.nearest(v, v)
     return nn.select("id", "neighbor", F.round("similarity", 6).alias("similarity"), neighbors.duplicate_class(F.col("similarity"), 0.45, 0.40).alias("class"))
 
 

@@ -188,3 +188,27 @@ def test_best_alike_compares_few_and_loses_none(spark, names, monkeypatch):
     monkeypatch.setattr(similarity, "SequenceMatcher", lambda n, x, y: compared.append(1) or SequenceMatcher(n, x, y))
     assert [(a[i], b[j], s) for i, j, s in similarity.most_alike(a, b, 70)] == want
     assert len(compared) < len(a) * len(b) / 50
+
+
+def test_parts_meet_without_a_join(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 6)).round(2)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>")
+    for name, n in (("BLOCK", 16), ("PART", 64), ("SPREAD", 3), ("SMALL_BYTES", 0)):
+        monkeypatch.setattr(neighbors, name, n)
+    assert neighbors.sides(10, 100) == (1, 3) and neighbors.sides(300, 640) == (5, 10)
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -np.inf)
+    got = neighbors.nearest(v, v)
+    assert sorted((r.id, r.neighbor, r.similarity) for r in got.collect()) == [(i, int(x.argmax()), float(x.max())) for i, x in enumerate(s)]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(metric, "BLOCK", 16)
+    assert sorted(tuple(r) for r in metric.nearest_pruned(v, v, block=16).collect()) == sorted(tuple(r) for r in got.collect())
+
+
+def test_near_duplicates_take_every_vector(spark):
+    from cadenza.plans import queries
+
+    assert queries.q_near_duplicates(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
