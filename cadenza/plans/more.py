@@ -123,8 +123,12 @@ UNION ALL SELECT k, 'title', n, 'ids' FROM p UNION ALL SELECT k, 'Acoustid Id',
 UNION ALL SELECT k, 'genre', 'old', 'ids' FROM p
 UNION ALL SELECT k, 'genres', '["house","dub"]', 'ids' FROM p WHERE known AND whole UNION ALL SELECT k, 'ids', '3', 'ids' FROM p WHERE known AND whole""")
 def q_overlays(spark, sf_dir):
-    """What a file's tags become by either rule; the ids are told as their number."""
-    p = read(spark, sf_dir, "part")
+    """What a file's tags become by either rule; the ids are told as their number.
+
+    Files are dealt by key before their tags are exploded, so a task has some tens of thousands of files however small the table's own files are.
+    """
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    p = p.repartition(-(-p.count() // 25_000) or 1, "p_partkey")
     short = {catalogue.GENRE: "genre", catalogue.WRITER: "writer", catalogue.REVISION: "metadata_rev", catalogue.FILE_KEYS[1]: "Acoustid Id"}
     file = F.create_map(*[x for k, v in (("title", F.col("p_name")), (catalogue.GENRE, F.lit("old")), (catalogue.WRITER, F.lit("w")), (catalogue.FILE_KEYS[1], F.lit("file"))) for x in (F.lit(k), v)])
     ids = [x for i, k in enumerate(catalogue.ID_KEYS) for x in (F.lit(k), F.when((F.col("p_size") % 3 == 0) | F.lit(i < 2), F.lit("i")).otherwise(F.lit("N/A")))]
