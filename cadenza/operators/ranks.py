@@ -85,6 +85,15 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Ranges up to which they may be as small as asked for, and rows of one beyond: each adds samples and sizes on the driver.
+MOST_RANGES, LARGE = 1000, 1_000_000
+
+
+def range_parts(n: int, rows: int) -> int:
+    """Ranges of about ``rows`` rows each, larger ones where that would make more than :data:`MOST_RANGES`."""
+    return max(1, min(-(-n // rows), max(MOST_RANGES, -(-n // LARGE))))
+
+
 def running_total(df: DataFrame, order: str | list[str], value: str, rows: int = 1_000_000, out: str = "total") -> DataFrame:
     """``df`` plus the sum of ``value`` up to each row and its sequence number, by the ``order`` columns.
 
@@ -95,7 +104,7 @@ def running_total(df: DataFrame, order: str | list[str], value: str, rows: int =
     order = [order] if isinstance(order, str) else order
     tie, part, key, sums_, count = free(df, "tie", "range", "key", "sum", "count")
     plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
-    parts = max(1, -(-df.count() // rows))
+    parts = range_parts(df.count(), rows)
     by = [*order, tie]
     ranged = stored(df.withColumn(tie, F.xxhash64(*plain)).repartitionByRange(parts, *by).withColumn(part, F.spark_partition_id()), "ranges")
     sums = ranged.groupBy(F.col(part).alias(key)).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
@@ -119,7 +128,7 @@ def hot(df: DataFrame, keys: list[str]) -> bool:
 def by_ranges(df: DataFrame, by: list[str], rows: int, part: str, tie: str) -> DataFrame:
     """``df`` as a table dealt by ranges of ``by`` and a hash of the row, with the range and the hash."""
     plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
-    parts = max(1, -(-df.count() // rows))
+    parts = range_parts(df.count(), rows)
     return stored(df.withColumn(tie, F.xxhash64(*plain)).repartitionByRange(parts, *by, tie).withColumn(part, F.spark_partition_id()), "ranges")
 
 
