@@ -142,9 +142,11 @@ def q_gains(spark, sf_dir):
     part = F.when(F.col("l_linenumber") < 3, 0).otherwise(1)
     line = F.concat(F.lit("  Gain "), F.col("l_linenumber").cast("string"), F.lit(" : "), F.col("v").cast("string"), F.lit(" dB"))
     rows = li.select("l_orderkey", (part * 1_000_000 + F.col("l_linenumber")).cast("long").alias("at"), line.alias("line"))
-    heads = li.select("l_orderkey", part.alias("p")).distinct().select("l_orderkey", (F.col("p") * 1_000_000).cast("long").alias("at"), F.when(F.col("p") == 0, "[Track]").otherwise(" [Album] ").alias("line"))
+    lines = li.count()
+    heads = li.select("l_orderkey", part.alias("p")).repartition(-(-lines // files.LINES) or 1, "l_orderkey").distinct().select("l_orderkey", (F.col("p") * 1_000_000).cast("long").alias("at"), F.when(F.col("p") == 0, "[Track]").otherwise(" [Album] ").alias("line"))
     texts = rows.unionByName(heads).select(F.col("l_orderkey").cast("string").alias("file"), F.col("at").alias("line_no"), "line")
-    return files.gains(texts).groupBy(F.col("file").cast("long").alias("l_orderkey"), "section", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = files.gains(texts, 2 * lines).groupBy("file", "section", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("file").cast("long").alias("l_orderkey"), "section", "name", "value", "n")
 
 
 @query("""WITH f AS (SELECT p_partkey AS k, p_name AS name, row_number() OVER (ORDER BY p_name, p_partkey) AS r FROM part WHERE p_size % 3 = 0 AND p_partkey % 2 = 0)

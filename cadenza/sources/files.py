@@ -86,8 +86,16 @@ def flat_vectors(df: DataFrame, ident: str, vec: str) -> DataFrame:
     return df.select(F.col(ident).alias("id"), flat.cast("array<float>").alias("embedding")).where(F.size("embedding") > 0)
 
 
-def gains(text: DataFrame) -> DataFrame:
-    """``file, section, name, value``: ``name: value`` lines of analysis texts (file, line_no, line), under the last ``[section]`` above; numbers without their unit."""
+#: Lines of a task.
+LINES = 250_000
+
+
+def gains(text: DataFrame, lines: int | None = None) -> DataFrame:
+    """``file, section, name, value``: ``name: value`` lines of analysis texts (file, line_no, line), under the last ``[section]`` above; numbers without their unit.
+
+    Files are dealt to tasks of a bounded number of ``lines`` (how many there are at most; counted if not known), so a task is no larger for more files.
+    """
+    text = text.repartition(max(1, -(-(text.count() if lines is None else lines) // LINES)), "file")
     w = Window.partitionBy("file").orderBy("line_no")
     head = F.regexp_extract("line", r"^\s*\[(.+?)\]\s*$", 1)
     marked = text.withColumn("section", F.last(F.when(head != "", head), ignorenulls=True).over(w))

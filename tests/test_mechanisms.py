@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import text
+from cadenza.sources import files as files_source
 from cadenza.operators import catalogue, clusters, documents, matching, mel, neighbors, ranks, sinks, timeseries
 from cadenza.sources import events, files, vectors
 from cadenza.sources.table import Conflict, Table
@@ -465,3 +466,24 @@ def test_pickled_vectors_and_nothing_else(spark, tmp_path):
 def test_title_case_begins_words_after_any_sign(spark):
     df = spark.createDataFrame([("don't_stop 2nd o'NEILL",), (None,), ("",)], "c string")
     assert [r.x for r in df.select(text.title_case(F.col("c")).alias("x")).collect()] == ["Don'T Stop 2Nd O'Neill", None, ""]
+
+
+def test_overlays_are_dealt_before_they_are_exploded(spark):
+    from cadenza.plans import more
+
+    plan = more.q_overlays(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange " in x]
+    assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)  # no exploded row is sorted before a shuffle
+
+
+def test_ranges_are_bounded():
+    assert [ranks.range_parts(n, 5000) for n in (0, 1, 5001, 36_000_000, 216_000_000, 3_000_000_000)] == [1, 1, 2, 1000, 1000, 3000]
+
+
+def test_gains_are_dealt_by_files(spark, monkeypatch):
+    monkeypatch.setattr(files_source, "LINES", 10)
+    text = spark.createDataFrame([(f"f{k}", n, "[Track]" if n == 0 else f" Gain {n}: {k}.5 dB") for k in range(40) for n in range(3)], "file string, line_no long, line string")
+    got = files_source.gains(text)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f"f{k}", "Track", f"Gain {n}", k + 0.5) for k in range(40) for n in (1, 2))
+    plan = got.groupBy("file", "section", "name", "value").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(file" in plan and ", 12)" in plan
