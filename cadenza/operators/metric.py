@@ -187,7 +187,7 @@ def nearest_pruned(queries: DataFrame, base: DataFrame, ident: str = "id", vec:
         return spark.createDataFrame([], to)
     two, others = blocked(stored(placed(base, ident, vec, pivots), "placed"), block)
     one, rings = (two, others) if queries is base else blocked(stored(placed(queries, ident, vec, pivots), "placed"), block)
-    size = tuple(bundles(r, n) for r, n in zip((rings, others), sides(int(rings[:, 3].sum()), int(others[:, 3].sum())), strict=True))
+    size = tuple(bundles(r, n) for r, n in zip((rings, others), sides(int(rings[:, 3].sum()), int(others[:, 3].sum()), pivots.shape[1]), strict=True))
     first = stored(met(block_pairs(spark, rings, others, pivots), one, two, to, decimals, own, size), "first")
     per_row = first.groupBy("block", "id").agg(F.max("similarity").alias("s")).groupBy("block").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"))
     bounds = {r.block: r.s for r in per_row.collect() if r.n == rings[r.block, 3]}

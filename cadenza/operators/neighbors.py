@@ -24,13 +24,14 @@ from cadenza.operators.shared import stored
 
 #: Vectors of a block, and bytes of one that goes to every task.
 BLOCK, SMALL_BYTES = 2048, 8 << 20
-#: Vectors of a part, which is sent once a part of the other side, and parts of a side that has fewer.
-PART, SPREAD = 65_536, 8
+#: Vectors of up to ``WIDTH`` values in a part, which is sent once a part of the other side, and parts of a side that has fewer.
+PART, WIDTH, SPREAD = 65_536, 64, 8
 
 
-def sides(left: int, right: int) -> tuple[int, int]:
-    """Parts that either side of so many rows is dealt to: enough pairs of parts to keep the cores busy, and never more than :data:`PART` rows in one."""
-    return tuple(max(1, min(SPREAD, -(-n // BLOCK)), -(-n // PART)) for n in (left, right))
+def sides(left: int, right: int, width: int = 0) -> tuple[int, int]:
+    """Parts that either side of so many rows is dealt to: enough pairs of parts to keep the cores busy, and about :data:`PART` rows in one, or fewer longer ones."""
+    part = max(1, PART * WIDTH // max(WIDTH, width))
+    return tuple(max(1, min(SPREAD, -(-n // BLOCK)), -(-n // part)) for n in (left, right))
 
 
 def units(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -78,7 +79,7 @@ def products(left: DataFrame, right: DataFrame, ident: tuple[str, str], vec: tup
     side = head.limit(BLOCK + 1).toArrow()
     if side.num_rows <= BLOCK and side.nbytes <= SMALL_BYTES:
         return beside(left.where(F.size(vec[0]) > 0).select(F.col(ident[0]).alias("id"), F.col(vec[0]).cast("array<double>").alias("vec")), side, of, to)
-    counts = sides(left.count(), right.count())
+    counts = sides(left.count(), right.count(), len(side["vec"][0]))
 
     def dealt(df: DataFrame, k: int, *columns: str) -> DataFrame:
         rows = df.where(F.size(vec[k]) > 0).select(F.col(ident[k]).alias("id"), F.col(vec[k]).alias("vec"), *columns)

@@ -212,3 +212,16 @@ def test_near_duplicates_take_every_vector(spark):
     from cadenza.plans import queries
 
     assert queries.q_near_duplicates(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+
+
+def test_like_is_the_same_in_small_parts(spark, monkeypatch):
+    from cadenza.operators import clusters
+
+    rng = np.random.default_rng(6)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(200, 5)))], "id long, embedding array<float>")
+    rated = v.where("id % 3 = 0").withColumn("rating", F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0))
+    want = sorted(tuple(r) for r in clusters.like(v, rated, "id", "embedding", 0.3, rating="rating").collect())
+    for name, n in (("BLOCK", 16), ("PART", 64), ("SPREAD", 2), ("SMALL_BYTES", 0)):
+        monkeypatch.setattr(neighbors, name, n)
+    assert neighbors.sides(200, 200) == (4, 4) and neighbors.sides(200, 200, 4 * neighbors.WIDTH) == (13, 13)
+    assert sorted(tuple(r) for r in clusters.like(v, rated, "id", "embedding", 0.3, rating="rating").collect()) == want
