@@ -806,3 +806,47 @@ def test_pipeline_stages_against_brute_force(spark):
     texts = text_of(left)
     coded = stages["sentencepiece"](spark, left, sf).collect()
     assert {r["doc_id"]: r["n_pieces"] for r in coded} == {i: len(model.encode(t or "")) for i, t in texts.items()} and all(r["round_trip"] for r in coded)
+
+
+def test_passages_of_parts_that_many_documents_have_apart(spark):
+    """Eleven documents have both parts of a passage in different places; two have them behind one another, with a word between."""
+    r = random.Random(45)
+    own = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    made, want = {}, {}
+    for family in range(8):
+        one, two, base = own(30), own(24), 100 * family
+        made |= {base + k: own(20) + one + own(40) + two + own(9) for k in range(11)}
+        made |= {base + k: own(k) + one + own(1) + two + own(30) for k in (20, 30)}
+        want[base + 30] = (base + 20, 1, "30-85")
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "doc_id long, text string")
+    got = {x["doc_id"]: (x["class_id"], x["n_links"], x["spans"]) for x in substring_dedup.substring_dedup(df).collect()}
+    assert got == {i: (i, i % 100 == 20, "") for i in made} | want
+
+
+def test_rest_of_pairs_against_all_pairs():
+    """What is ruled out adds to no class and to no passage; in one block and in two."""
+    r = random.Random(46)
+    base = [r.getrandbits(63) for _ in range(160)]
+    texts = []
+    for _ in range(40):
+        text = base[r.randrange(60) : r.randrange(90, 160)]
+        for _ in range(r.choice((0, 1, 3, 6))):
+            at = r.randrange(len(text))
+            text[at : at + r.choice((0, 1, 2))] = [r.getrandbits(63) for _ in range(r.choice((0, 1, 2)))]
+        texts.append(np.array(text * r.choice((1, 1, 2)), np.uint64))
+    want, root = collections.defaultdict(list), list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if spans := substring_dedup.passages(texts[i], texts[j]):
+                want[i] += spans
+                root = [root[j] if x == root[i] else x for x in root]
+    words, at = np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts]))
+    for sides in ([[range(40)]], [[range(20)], [range(20, 40)], [range(20), range(20, 40)]]):
+        got, near = collections.defaultdict(list), list(range(40))
+        for side in sides:
+            for i, j, spans in substring_dedup.rest_of_pairs(words, at, np.arange(40), [[] for _ in texts], [np.array(x) for x in side], 50):
+                assert spans == substring_dedup.passages(texts[i], texts[j])
+                got[i] += spans
+                near = [near[j] if x == near[i] else x for x in near]
+        assert {i: substring_dedup.merged(x) for i, x in got.items()} == {i: substring_dedup.merged(x) for i, x in want.items()}
+        assert len({(a, b) for a, b in zip(root, near, strict=True)}) == len(set(root)) == len(set(near))
