@@ -4,17 +4,17 @@ Template: ``<|im_start|>role\ntext<|im_end|>\n`` a turn.  Inside texts every ``<
 any number of backslashes, ``|`` gets one backslash more, so no marker can appear in
 a text and the escape can be taken back exactly.  Roles are URL-encoded.
 
-Every assistant turn becomes an example of its own: all turns before it are context,
-only its text is trained on.  An example refers to the conversation's formatted turns
-by position instead of repeating them, so the output stays in proportion to the
-input however long a conversation is; :func:`render_examples` writes the texts out.
+Every assistant turn becomes an example of its own: all turns before it are its prefix,
+which is written out, and only its text is trained on.  An example is one row at a time
+on its way, so memory is in proportion to a conversation, but all prefixes of one
+together are quadratic in its length.
 
 Main path: DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import read
@@ -67,28 +67,27 @@ def turns_of(segments: Column) -> Column:
 
 
 def expanded(formatted: DataFrame) -> DataFrame:
-    """One row per formatted turn: ``conv_id, n_context, target, trained, example, context_chars`` and what else ``formatted`` has.
+    """One row per trained turn: ``conv_id, example, n_context, prefix, target`` and what else ``formatted`` has; a conversation without any has one row of nulls.
 
-    ``n_context`` turns of together ``context_chars`` characters come before the turn; ``trained`` turns are numbered by ``example``.
-    Conversations are in one row before, so exploding and numbering them moves nothing.
+    ``prefix`` is the text of the ``n_context`` turns before ``target``, the formatted reply.
+    Conversations are in one row before, so exploding them moves nothing.
     """
-    rows = formatted.select(*[c for c in formatted.columns if c != "segments"], F.posexplode("segments").alias("n_context", "target"))
-    rows = rows.withColumn("trained", F.col("target").startswith(START + TRAINED_ROLE + "\n"))
-    before = Window.partitionBy("conv_id").orderBy("n_context").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    return rows.withColumn("example", F.coalesce(F.sum(F.col("trained").cast("int")).over(before), zero)).withColumn("context_chars", F.coalesce(F.sum(F.length("target")).over(before), zero))
+    trained = F.filter(F.transform("segments", lambda s, i: F.when(s.startswith(START + TRAINED_ROLE + "\n"), i)), lambda i: i.isNotNull())
+    rows = formatted.select("*", F.posexplode_outer(trained).alias("example", "n_context"))
+    prefix = F.array_join(F.slice("segments", F.lit(1), F.col("n_context")), "")
+    return rows.withColumn("prefix", prefix).withColumn("target", F.get("segments", F.col("n_context"))).drop("segments")
 
 
 def expand_targets(formatted: DataFrame) -> DataFrame:
-    """One row per trained turn: ``conv_id, example, n_context, context_chars, target, loss_start, loss_chars``.
+    """One row per trained turn: ``conv_id, example, n_context, context_chars, target, loss_start, loss_chars, prefix``.
 
     ``target`` is the formatted reply; characters ``loss_start`` to ``loss_start +
-    loss_chars`` of it (from 0, code points) are trained on, the ``n_context``
-    segments before it are not.
+    loss_chars`` of it (from 0, code points) are trained on, the ``prefix`` of
+    ``n_context`` segments before it is not.
     """
     head = len(START) + len(TRAINED_ROLE) + 1
-    examples = expanded(formatted.select("conv_id", "segments")).where("trained")
-    return examples.select("conv_id", "example", "n_context", "context_chars", "target", F.lit(head).alias("loss_start"), (F.length("target") - F.lit(head + len(END))).alias("loss_chars"))
+    examples = expanded(formatted.select("conv_id", "segments")).where("target is not null")
+    return examples.select("conv_id", "example", "n_context", F.length("prefix").cast("long").alias("context_chars"), "target", F.lit(head).alias("loss_start"), (F.length("target") - F.lit(head + len(END))).alias("loss_chars"), "prefix")
 
 
 def loss_text() -> Column:
@@ -99,30 +98,28 @@ def loss_text() -> Column:
 
 def render_examples(formatted: DataFrame) -> DataFrame:
     """``conv_id, example, prompt, completion`` written out in full, for trainers that need flat text."""
-    whole = formatted.withColumnRenamed("conv_id", "c")
-    out = expand_targets(formatted).join(whole, F.col("conv_id").eqNullSafe(F.col("c")))
-    return out.select(
+    return expand_targets(formatted).select(
         "conv_id", "example",
-        F.concat(F.array_join(F.slice("segments", F.lit(1), F.col("n_context")), ""), F.substr(F.col("target"), F.lit(1), F.col("loss_start"))).alias("prompt"),
+        F.concat("prefix", F.substr(F.col("target"), F.lit(1), F.col("loss_start"))).alias("prompt"),
         F.substr(F.col("target"), F.col("loss_start") + 1, F.col("loss_chars")).alias("completion"),
-    )
+    )
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation what the formatted turns and the examples made of them say, read back from both.
 
     The text under the loss mask is put together from the examples; ``n_examples`` and ``context_chars`` are
-    how many there are and the formatted characters that all their contexts have together when they are written out.
+    how many there are and the characters that all their prefixes have together.
     """
     said = formatted.select("conv_id", "segments", turns_of(F.col("segments")).alias("t"))
     all_text = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     read_back = said.select(
         "conv_id", "segments", F.size("t").cast("long").alias("n_turns"), F.sha2(all_text, 256).alias("turns_sha256"), F.length(F.array_join("segments", "")).cast("long").alias("formatted_chars")
     )
-    learnt = F.when(F.col("trained"), F.struct("example", loss_text().alias("loss")))
+    learnt = F.when(F.col("target").isNotNull(), F.struct("example", loss_text().alias("loss")))
     per = expanded(read_back).groupBy("conv_id").agg(
         *[F.max(c).alias(c) for c in ("n_turns", "turns_sha256", "formatted_chars")], F.sort_array(F.collect_list(learnt)).alias("x"),
-        F.count_if("trained").alias("n_examples"), F.coalesce(F.sum(F.when(F.col("trained"), F.col("context_chars"))), F.lit(0)).alias("context_chars"),
+        F.count("target").alias("n_examples"), F.coalesce(F.sum(F.length("prefix").cast("long")), F.lit(0)).alias("context_chars"),
     )
     out = per.withColumn("loss", F.array_join(F.transform("x", lambda e: e["loss"]), ""))
     return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "context_chars")

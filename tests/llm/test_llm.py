@@ -850,3 +850,14 @@ def test_rest_of_pairs_against_all_pairs():
                 near = [near[j] if x == near[i] else x for x in near]
         assert {i: substring_dedup.merged(x) for i, x in got.items()} == {i: substring_dedup.merged(x) for i, x in want.items()}
         assert len({(a, b) for a, b in zip(root, near, strict=True)}) == len(set(root)) == len(set(near))
+
+
+def test_chat_examples_hold_their_prefix(spark):
+    """Every example has the text of all turns before it; a conversation without a reply has none."""
+    rows = [(1, 0, "user", "a<|b"), (1, 1, "assistant", "c"), (1, 2, "user", "d"), (1, 3, "assistant", "e"), (2, 0, "user", "f")]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    segments = {r["conv_id"]: r["segments"] for r in formatted.collect()}[1]
+    got = {(r["conv_id"], r["example"]): (r["n_context"], r["prefix"], r["target"]) for r in chat_format.expanded(formatted).where("target is not null").collect()}
+    assert got == {(1, 0): (1, segments[0], segments[1]), (1, 1): (3, "".join(segments[:3]), segments[3])}
+    digest = {r["conv_id"]: (r["n_examples"], r["context_chars"]) for r in chat_format.digests(formatted).collect()}
+    assert digest == {1: (2, len(segments[0]) + len("".join(segments[:3]))), 2: (0, 0)}
