@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import length_bound, token_set_ratio
+from cadenza.operators.shared import stored
 
 #: Grams up to which their counts are broadcast.
 FEW_GRAMS = 100_000
@@ -134,14 +135,15 @@ def token_set_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: i
 
     The ratio is the best of three: the shared tokens against all tokens of either side, found by the rarest tokens that must
     then be shared, and both sides in full, found by grams that do not depend on the order of words.  Texts without a token equal nothing.
+    The rows are read once: what follows is done on distinct texts, whose tokens are stored.
     """
     least = (cutoff - 0.5) / 100
 
     def tokens(d: DataFrame, c: str) -> DataFrame:
-        words = F.sort_array(F.array_distinct(F.array_remove(F.split(F.regexp_replace(F.lower(c), r"(?U)\s+", " "), " "), "")))
-        return d.select(F.col(c).alias("raw"), words.alias("tokens")).distinct().where(F.size("tokens") > 0).withColumn("text", F.array_join("tokens", " "))
+        words = F.sort_array(F.array_distinct(F.array_remove(F.split(F.regexp_replace(F.lower("raw"), r"(?U)\s+", " "), " "), "")))
+        return d.select(F.col(c).alias("raw")).distinct().withColumn("tokens", words).where(F.size("tokens") > 0).withColumn("text", F.array_join("tokens", " "))
 
-    one, two = tokens(left, a), tokens(right, b)
+    one, two = stored(tokens(left, a), "tokens"), stored(tokens(right, b), "tokens")
     l_keys, r_keys = (d.select("text", "tokens").distinct() for d in (one, two))
     pairs = contained(l_keys, r_keys, least).unionByName(contained(r_keys, l_keys, least).select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(alike_texts(l_keys, r_keys, least, any_order=True))
     scored = pairs.distinct().withColumn("score", token_set_ratio(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)

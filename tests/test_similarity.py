@@ -72,6 +72,15 @@ def test_token_set_pairs_are_all_pairs(names, sides):
     assert similarity.token_set_pairs(empty, sides[1], "a", "b").count() == 0 == matching.fuzzy_pairs(sides[0], sides[1].where("false"), "a", "b", 0.8).count()
 
 
+def test_token_set_pairs_read_the_rows_once(spark, tmp_path):
+    """Repeated rows are met once, when their distinct texts are stored; what follows reads these."""
+    spark.createDataFrame([("red ring", "RING red big")] * 50 + [("old cog", "cog")] * 50, "a string, b string").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    pairs = similarity.token_set_pairs(rows, rows, "a", "b", 80)
+    assert not [f for f in pairs.inputFiles() if "/rows/" in f]
+    assert sorted(map(tuple, pairs.collect())) == [("old cog", "cog", 100), ("red ring", "RING red big", 100)]
+
+
 @pytest.mark.parametrize("others", [False, True])
 def test_tiered_is_the_best_of_all_pairs(spark, others):
     rng = random.Random(7)
