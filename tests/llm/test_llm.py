@@ -852,6 +852,42 @@ def test_rest_of_pairs_against_all_pairs():
         assert len({(a, b) for a, b in zip(root, near, strict=True)}) == len(set(root)) == len(set(near))
 
 
+def test_runs_in_turn_need_no_chains(monkeypatch):
+    """Sums over runs that follow one another find what following their chains finds."""
+    r, pairs = random.Random(47), []
+    for _ in range(60):
+        one = [r.getrandbits(63) for _ in range(200)]
+        two = list(one)
+        for _ in range(r.choice((2, 5, 9))):
+            at = r.randrange(len(two))
+            two[at : at + r.choice((0, 1, 4))] = [r.getrandbits(63) for _ in range(r.choice((1, 3, 6)))]
+        pairs.append((np.array(one, np.uint64), np.array(two, np.uint64)))
+    want = [brute_spans(one, two, 50) for one, two in pairs]
+    monkeypatch.setattr(substring_dedup, "chains", None)
+    assert [substring_dedup.passages(one, two) for one, two in pairs] == want
+    for one, two in pairs:
+        place = {v: k for k, v in enumerate(hashing.shingles(one, np.array([0, len(one)]))[0].tolist())}
+        runs = substring_dedup.runs_by_place(np.array([place.get(v, -1) for v in hashing.shingles(two, np.array([0, len(two)]))[0].tolist()]))
+        assert sorted(runs.tolist()) == sorted(substring_dedup.equal_runs(one, two, substring_dedup.in_order(two)).tolist())
+
+
+def test_links_do_not_depend_on_blocks(spark, monkeypatch):
+    r = random.Random(48)
+    base = [f"w{r.randint(0, 9999)}" for _ in range(120)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for k in range(r.choice((1, 3, 6))):
+            words[r.randrange(120)] = f"new{i}-{k}"
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = []
+    for n in (256, 4):
+        monkeypatch.setattr(substring_dedup, "BLOCK", n)
+        got.append(sorted(map(tuple, substring_dedup.substring_dedup(df).collect())))
+    assert got[0] == got[1]
+
+
 def test_chat_examples_hold_their_prefix(spark):
     """Every example has the text of all turns before it; a conversation without a reply has none."""
     rows = [(1, 0, "user", "a<|b"), (1, 1, "assistant", "c"), (1, 2, "user", "d"), (1, 3, "assistant", "e"), (2, 0, "user", "f")]
