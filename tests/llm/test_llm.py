@@ -897,3 +897,43 @@ def test_chat_examples_hold_their_prefix(spark):
     assert got == {(1, 0): (1, segments[0], segments[1]), (1, 1): (3, "".join(segments[:3]), segments[3])}
     digest = {r["conv_id"]: (r["n_examples"], r["context_chars"]) for r in chat_format.digests(formatted).collect()}
     assert digest == {1: (2, len(segments[0]) + len("".join(segments[:3]))), 2: (0, 0)}
+
+
+def test_pairs_that_add_nothing_are_not_compared(monkeypatch):
+    """A line and a repeated word that all have bring no two texts to a comparison, and one of ten copies is enough."""
+    r, calls = random.Random(49), []
+    own = lambda n: [r.getrandbits(63) for _ in range(n)]
+    line, again, part = own(12), own(2) * 100, own(70)
+    compare = substring_dedup.spans_of
+    monkeypatch.setattr(substring_dedup, "spans_of", lambda *x: calls.append(1) or compare(*x))
+
+    def pairs(texts, known):
+        words, at = np.concatenate([np.array(t, np.uint64) for t in texts]), np.append(0, np.cumsum([len(t) for t in texts]))
+        return list(substring_dedup.rest_of_pairs(words, at, np.arange(len(texts)), known, [np.arange(len(texts))], 50))
+
+    lines = [own(30) + line + own(40) + again for _ in range(40)]
+    assert pairs(lines, [[(82, 282)] for _ in lines]) == [] and not calls
+    copies = [[*part[:k], *own(1), *part[k + 1 :]] for k in range(60, 70)] + [part + own(20)]
+    assert pairs(copies, [[(0, 70)]] * 10 + [[(5, 60)]]) == [(10, 0, [(0, 70)])]
+
+
+def test_passages_of_one_text_against_pairs():
+    """Many texts compared at once with one, whether it has a shingle twice or not, have the passages of each pair."""
+    r, some = random.Random(50), 0
+    for repeat in (1, 2):
+        for _ in range(12):
+            base = [r.getrandbits(63) for _ in range(120)] * repeat
+            texts = [base]
+            for _ in range(20):
+                text = base[r.randrange(60) :] + base[: r.choice((0, 30, 60))]
+                for _ in range(r.choice((0, 1, 3, 6))):
+                    at = r.randrange(len(text))
+                    text[at : at + r.choice((0, 1, 4))] = [r.getrandbits(63) for _ in range(r.choice((0, 1, 4)))]
+                texts.append(text)
+            texts = [np.array(t, np.uint64) for t in texts]
+            words, at = np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts]))
+            got = dict(substring_dedup.passages_of_one(words, at, np.arange(1, 21), 0, 50))
+            want = {i: spans for i in range(1, 21) if (spans := substring_dedup.passages(texts[i], texts[0]))}
+            some += len(want)
+            assert got == want
+    assert some > 300
