@@ -10,6 +10,7 @@ Two-grams serve pairs long enough for a bound of 1, one-grams the shorter ones a
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Iterator
@@ -26,8 +27,10 @@ from cadenza.operators.shared import stored
 #: Grams up to which their counts are broadcast.
 FEW_GRAMS = 100_000
 EPSILON = 1e-9
-#: Texts of a block on either side of a search, texts whose bounds are counted at once, classes of characters and of two-grams.
-SOUGHT, HELD, AT_ONCE, CHARACTERS, TWOS = 1024, 32_768, 16, 97, 251
+#: Names of a block in the first round of a search and in the second, texts and bytes of a block of the other side.
+SOUGHT, SOUGHT_AGAIN, HELD, HELD_BYTES = 8192, 32_768, 131_072, 8 << 20
+#: Texts of a leaf and leaves that are opened at once, classes of characters and of two-grams.
+LEAF, AT_ONCE, CHARACTERS, TWOS = 64, 8, 97, 251
 
 
 def numbered(items: Column) -> Column:
@@ -154,89 +157,146 @@ def token_set_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: i
 
 def bags(texts: list[str], size: int) -> np.ndarray:
     """How often each class of grams of ``size`` (1 or 2) characters comes in each text, a row a text."""
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in texts]
-    if size == 2:
-        codes = [c[:-1] * 31 + c[1:] for c in codes]
     classes = CHARACTERS if size == 1 else TWOS
-    row = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-    n = np.bincount(row * classes + flat % classes, minlength=len(texts) * classes).reshape(len(texts), classes)
-    return n.astype(np.uint16 if n.max(initial=0) < 1 << 15 else np.int64)
+    parts = [np.zeros((0, classes), np.uint8)]
+    for a in range(0, len(texts), 8192):
+        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in texts[a : a + 8192]]
+        if size == 2:
+            codes = [c[:-1] * 31 + c[1:] for c in codes]
+        row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        n = np.bincount(row * classes + np.concatenate(codes) % classes, minlength=len(codes) * classes).reshape(len(codes), classes)
+        parts.append(n.astype(np.min_scalar_type(n.max(initial=0))))
+    return np.concatenate(parts)
 
 
-def most_alike(names: list[str], others: list[str], cutoff: int) -> Iterator[tuple[int, int, int]]:
+def in_common(rows: np.ndarray, bag: np.ndarray, axis: int) -> np.ndarray:
+    return np.minimum(rows, bag).sum(axis, dtype=np.int64)
+
+
+def highest(ones: np.ndarray, twos: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The highest ratio (0 to 100) that a text of ``n`` characters can have to others of ``low`` to ``high``, by how many characters and two-grams they share at most.
+
+    M matched characters in r runs share M - r two-grams, and r is at most one more than the T - 2 M unmatched ones of T in all, so 3 M <= two-grams + T + 1.
+    """
+    matched = np.minimum(ones, high)
+    first = 200.0 * matched / np.maximum(n + np.maximum(low, matched), 1)
+    total = np.maximum(n + low, 1)
+    second = 200.0 * (twos + total + 1) / (3 * total)
+    return np.where(n + low > 0, np.floor(np.minimum(np.minimum(first, second), 100) + 0.5 + EPSILON), 100).astype(np.int64)
+
+
+def most_alike(names: list[str], others: list[str], cutoff: int, known: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, int]]:
     """Name, the first of the other texts most like it, and their ratio from 0 to 100, if that is more than ``cutoff``.
 
-    Characters in common bound a ratio, and so do two-grams: M matched characters in r runs share M - r of them, and r is at most
-    one more than the T - 2 M unmatched ones, so 3 M <= two-grams + T + 1.  Texts are compared from the highest bound down, until none can be better.
+    With ``known``, a ratio for each name and a place, only a higher ratio counts, or the same one before that place.  The other texts lie in leaves of neighbours in the
+    order of the alphabet.  What a leaf shares with a name at most bounds all of it; leaves are opened, and their texts compared, from the highest bound down and at equal
+    ones from the first place on, until none can be better.
     """
-    held, twos = np.ascontiguousarray(bags(others, 1).T), bags(others, 2)
-    length = np.array([len(t) for t in others])
-    mine, my_twos = bags(names, 1), bags(names, 2)
-    kind = np.result_type(held, mine)
-    kind = kind if kind != np.uint16 or held.astype(np.int64).sum(0).max(initial=0) < 1 << 16 else np.int64
-    some = np.flatnonzero(held.any(1))
-    top = lambda m, t: np.floor(200 * m / np.maximum(t, 1) + 0.5 + EPSILON).astype(int)
-    for a in range(0, len(names), AT_ONCE):
-        part = mine[a : a + AT_ONCE]
-        shared, space = np.zeros((len(part), len(others)), kind), np.empty((len(part), len(others)), kind)
-        for c in some[part[:, some].any(0)]:
-            np.minimum(part[:, c, None], held[c][None], out=space, casting="unsafe")
-            shared += space
-        for k in range(len(part)):
-            name, both = names[a + k], length + len(names[a + k])
-            bound = np.where(both > 0, top(shared[k], both), 100)
-            best, at, open_ = cutoff, -1, []
-            able = np.flatnonzero(bound > cutoff)
-            able = able[np.argsort(-bound[able], kind="stable")]
-            levels = bound[able]
-            start = 0
-            while start < len(able) and (levels[start] > best or levels[start] == best and at >= 0):
-                level = levels[start]
-                stop = int(np.searchsorted(-levels, -level, side="right"))
-                now = able[start:stop]
-                start = stop
-                if level == best:
-                    now = now[now < at]
-                in_common = np.minimum(twos[now], my_twos[a + k][None]).sum(1, dtype=np.int64)
-                least = np.minimum(level, np.where(both[now] > 0, top((in_common + both[now] + 1) // 3, both[now]), 100))
-                for b, j in zip(least.tolist(), now.tolist(), strict=True):
-                    if b > best or b == best and j < at:
-                        heapq.heappush(open_, (-b, j))
-                following = levels[start] if start < len(able) else -1
-                while open_ and -open_[0][0] > following:
-                    b, j = heapq.heappop(open_)
-                    if -b > best or -b == best and j < at:
-                        score = round(100 * SequenceMatcher(None, name, others[j]).ratio())
-                        if score > best or score == best and j < at:
-                            best, at = score, j
-            if at >= 0:
-                yield a + k, at, best
+    if not others:
+        return
+    by_text = np.array(sorted(range(len(others)), key=others.__getitem__))
+    texts = [others[j] for j in by_text.tolist()]
+    length, starts = np.array([len(t) for t in texts]), np.arange(0, len(texts), LEAF)
+    ones, twos, names_ones, names_twos = bags(texts, 1), bags(texts, 2), bags(names, 1), bags(names, 2)
+    leaf_ones, leaf_twos = (np.ascontiguousarray(np.maximum.reduceat(b, starts).T) for b in (ones, twos))
+    low, high, first = np.minimum.reduceat(length, starts), np.maximum.reduceat(length, starts), np.minimum.reduceat(by_text, starts)
+    inside, size = np.arange(LEAF), len(others)
+    for i, name in enumerate(names):
+        n, (best, at) = len(name), known[i] if known else (cutoff, -1)
+        found = -1
+        ratio = lambda j, name=name: round(100 * SequenceMatcher(None, name, others[j]).ratio())
+        c, d = np.flatnonzero(names_ones[i]), np.flatnonzero(names_twos[i])
+        mine, my_twos = names_ones[i, c], names_twos[i, d]
+
+        def bounds(rows: np.ndarray, n=n, c=c, d=d, mine=mine, my_twos=my_twos) -> np.ndarray:
+            return highest(in_common(ones[rows[:, None], c], mine, 1), in_common(twos[rows[:, None], d], my_twos, 1), n, length[rows], length[rows])
+
+        if not known:  # the neighbours by alphabet are a start
+            k = bisect.bisect_left(texts, name)
+            rows = np.arange(max(k - 1, 0), min(k + 1, size))
+            for bound, j in zip(bounds(rows).tolist(), by_text[rows].tolist(), strict=True):
+                score = ratio(j) if bound > best or bound == best and j < at else -1
+                if score > best or score == best and j < at:
+                    best, at, found = score, j, j
+        bound = highest(in_common(leaf_ones[c], mine[:, None], 0), in_common(leaf_twos[d], my_twos[:, None], 0), n, low, high)
+        able = np.flatnonzero((bound > best) | (bound == best) & (first < at))
+        order = (100 - bound[able]) * size + first[able]
+        by = np.argsort(order)
+        able, order = able[by], order[by].tolist()
+        nearest: list[int] = []
+        start = 0
+        while start < len(able) or nearest:
+            if start < len(able) and (not nearest or order[start] <= nearest[0]):
+                if order[start] >= (100 - best) * size + max(at, 0):
+                    start = len(able)
+                    continue
+                rows = (starts[able[start : start + AT_ONCE], None] + inside).ravel()
+                rows = rows[rows < size]
+                start += AT_ONCE
+                keys = (100 - bounds(rows)) * size + by_text[rows]
+                for key in keys[keys < (100 - best) * size + max(at, 0)].tolist():
+                    heapq.heappush(nearest, key)
+                continue
+            key = heapq.heappop(nearest)
+            if key >= (100 - best) * size + max(at, 0):
+                break
+            j = key % size
+            score = ratio(j)
+            if score > best or score == best and j < at:
+                best, at, found = score, j, j
+        if found >= 0:
+            yield i, found, best
 
 
 def best_alike(left: DataFrame, right: DataFrame, cutoff: int) -> DataFrame:
     """``name, id, score``: for each distinct ``name`` of the left the right's ``id`` whose ``low`` is most like it, the smallest of
     equals, if the ratio (0 to 100) is more than ``cutoff``.
 
-    Every block of names meets every block of the other side in a row of its own, so memory is bounded and the work is names times texts, of which
-    all but a few are only bounded.
+    The right is dealt to blocks by ranges of ``low``.  A name is sought first in the block where it would lie, and then in all others, where only something better than
+    what the first has counts, so most of a block is ruled out by leaves.  Blocks meet as groups of rows and both sides' are bounded, so memory is too.
     """
-    counts = [max(1, -(-d.count() // n)) for d, n in ((left, SOUGHT), (right, HELD))]
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    one = left.select(deal("name", counts[0]).alias("block"), "name").groupBy("block").agg(F.collect_list("name").alias("names"))
-    one = one.select("names", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))).alias("other"))
-    two = right.select(deal("low", counts[1]).alias("other"), "low", "id").groupBy("other").agg(F.sort_array(F.collect_list(F.struct("id", "low"))).alias("held"))
-    to = f"name string, id {right.schema['id'].dataType.simpleString()}, score int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                names, held = batch.column(0)[k].values, batch.column(1)[k].values
-                found = list(most_alike(names.to_pylist(), held.field("low").to_pylist(), cutoff))
-                at = [pa.array([f[i] for f in found], pa.int32()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([names.take(at[0]), held.field("id").take(at[1]), at[2]], names=["name", "id", "score"])
-
-    parts = min(counts[0] * counts[1], 2000)
-    met = one.join(two, "other").select("names", "held").repartition(parts).mapInArrow(run, to)
+    spark, kind = right.sparkSession, right.schema["id"].dataType.simpleString()
+    n, width = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("low")), F.lit(0))).first()
+    blocks = max(1, -(-n // HELD), -(-width // HELD_BYTES))
+    held = stored(right.select("low", "id").where("low is not null").repartitionByRange(blocks, "low").withColumn("part", F.spark_partition_id()), "held")
+    starts = sorted((r.part, r.low) for r in held.groupBy("part").agg(F.min("low").alias("low")).collect())
+    if not starts:
+        return spark.createDataFrame([], f"name string, id {kind}, score int")
+    parts, lows = F.lit([p for p, _ in starts]), F.lit([s for _, s in starts])
+    own = F.element_at(parts, F.greatest(F.size(F.filter(lows, lambda s: s <= F.col("name"))), F.lit(1)))
+    names = stored(left.select("name").where("name is not null").withColumn("part", own), "sought")
+    counts = {r.part: -(-r["count"] // SOUGHT) for r in names.groupBy("part").count().collect()}
+    if not counts:
+        return spark.createDataFrame([], f"name string, id {kind}, score int")
+
+    def met(one: DataFrame, two: DataFrame, groups: int, again: bool) -> DataFrame:
+        def run(names: pa.Table, held: pa.Table) -> pa.Table:
+            held = held.sort_by([("id", "ascending"), ("low", "ascending")])
+            ids, known = held["id"].to_pylist(), None
+            if again:
+                known = [(cutoff, -1) if i is None else (s, bisect.bisect_left(ids, i)) for s, i in zip(names["score"].to_pylist(), names["id"].to_pylist(), strict=True)]
+            found = list(most_alike(names["name"].to_pylist(), held["low"].to_pylist(), cutoff, known)) if names.num_rows else []
+            at = {i: (j, s) for i, j, s in found}
+            rows = [f[0] for f in found] if again else range(names.num_rows)
+            some = [at.get(i, (None, None)) for i in rows]
+            kept = names.take(pa.array(rows, pa.int64()))
+            columns = [kept["name"], kept["part"], held["id"].take(pa.array([x[0] for x in some], pa.int64())), pa.array([x[1] for x in some], pa.int32())]
+            return pa.Table.from_arrays(columns, names=["name", "part", "id", "score"])
+
+        n = min(2 * groups, 2000)
+        one, two = (d.repartition(n, "part", "slice").groupBy("part", "slice") for d in (one, two))
+        return one.cogroup(two).applyInArrow(run, f"name string, part int, id {kind}, score int")
+
+    def deal(slices) -> Column:
+        return F.pmod(F.xxhash64("name"), slices).cast("int").alias("slice")
+
+    slices = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col("part")]
+    first = met(names.select("part", deal(slices), "name"), held.where(slices > 0).select("part", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "low", "id"), sum(counts.values()), False)
+    first = found = stored(first, "best")
+    if len(starts) > 1:
+        again = max(1, -(-names.count() // SOUGHT_AGAIN))
+        one = first.select(F.explode(F.array_remove(parts, F.col("part"))).alias("part"), deal(F.lit(again)), "name", "score", "id")
+        two = held.select("part", F.explode(F.sequence(F.lit(0), F.lit(again - 1))).alias("slice"), "low", "id")
+        found = first.unionByName(met(one, two, again * len(starts), True))
     top = F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("m")
-    return met.groupBy("name").agg(top).select("name", F.col("m.id").alias("id"), (-F.col("m.s")).alias("score"))
+    return found.where("score is not null").groupBy("name").agg(top).select("name", F.col("m.id").alias("id"), (-F.col("m.s")).alias("score"))

@@ -234,3 +234,28 @@ def test_like_is_the_same_in_small_parts(spark, monkeypatch):
         monkeypatch.setattr(neighbors, name, n)
     assert neighbors.sides(200, 200) == (4, 4) and neighbors.sides(200, 200, 4 * neighbors.WIDTH) == (13, 13)
     assert sorted(tuple(r) for r in clusters.like(v, rated, "id", "embedding", 0.3, rating="rating").collect()) == want
+
+
+def test_best_alike_of_long_texts_and_no_row_with_a_block(spark, monkeypatch):
+    """Ratios of texts that share more than 327 characters, in blocks that know what the ones before found."""
+    r = random.Random(26)
+    texts = ["x" * 250 + str(i) * r.randint(1, 99) for i in range(60)]
+    a, b = texts[:9], sorted(set(texts[9:]))
+    want = []
+    for x in a:
+        s, y = min((-round(100 * SequenceMatcher(None, x, y).ratio()), y) for y in b)
+        if s < -70:
+            want.append((x, y, -s))
+    assert [(a[i], b[j], s) for i, j, s in similarity.most_alike(a, b, 70)] == want
+    monkeypatch.setattr(similarity, "HELD", 10)
+    left, right = spark.createDataFrame([(x,) for x in a], "name string"), spark.createDataFrame([(y, y) for y in b], "low string, id string")
+    found = similarity.best_alike(left, right, 70)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_best_alike_without_rows(spark):
+    left, right = spark.createDataFrame([("a",), (None,)], "name string"), spark.createDataFrame([("a", "A")], "low string, id string")
+    assert similarity.best_alike(left, right.where("false"), 70).collect() == []
+    assert similarity.best_alike(left.where("false"), right, 70).collect() == []
+    assert [tuple(r) for r in similarity.best_alike(left, right, 70).collect()] == [("a", "A", 100)]
