@@ -35,13 +35,13 @@ def favourites_playlist(favourites: DataFrame, have: DataFrame, name: str, order
 
 
 def sections(parts: list[tuple[str, DataFrame]], name: str, path: str) -> DataFrame:
-    """``section, pos, name, path`` of several lists one after another, each in order of the lower-case file name, then of the path, then of the name."""
+    """``section, pos, name, path`` of several lists one after another, each in order of the lower-case file name, then of the path, then of the name; rows without a path come last."""
     out = None
     for i, (title, rows) in enumerate(parts):
         base = F.lower(F.element_at(F.split(path, "/"), -1))
-        one = rows.select(F.lit(i).alias("__i"), F.lit(title).alias("section"), F.col(name).alias("name"), F.col(path).alias("path"), base.alias("__b"))
+        one = rows.select(F.lit(i).alias("__i"), F.lit(title).alias("section"), F.col(name).alias("name"), F.col(path).alias("path"), F.col(path).isNull().alias("__e"), base.alias("__b"))
         out = one if out is None else out.unionByName(one)
-    numbered = running_total(out.withColumn("__n", F.lit(1)), ["__i", "__b", "path", "name"], "__n", out="__t")  # by ranges, so a long section is no one task's
+    numbered = running_total(out.withColumn("__n", F.lit(1)), ["__i", "__e", "__b", "path", "name"], "__n", out="__t")  # by ranges, so a long section is no one task's
     first = out.groupBy(F.col("__i").alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
     start = first.withColumn("__a", F.coalesce(F.sum("__c").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a section
     joined = numbered.join(F.broadcast(start), F.col("__i") == F.col("__k"))

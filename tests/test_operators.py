@@ -6,13 +6,14 @@ import random
 import sqlite3
 from difflib import SequenceMatcher
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import genres, text
 from cadenza.operators import catalogue, clusters, matching, neighbors, sinks, timeseries
-from cadenza.plans import queries
+from cadenza.plans import library, queries
 from cadenza.sources import files
 from cadenza.streaming import playlog
 
@@ -401,3 +402,13 @@ def test_years_of_five_digits(spark):
 def test_sections_of_equal_paths_go_by_name(spark):
     df = spark.createDataFrame([(k, "/m/x.m4a") for k in range(40, 0, -1)], "k long, path string")
     assert [r.name for r in sinks.sections([("a", df)], "k", "path").orderBy("pos").collect()] == list(range(1, 41))
+
+
+def test_sections_without_paths_come_last_as_in_their_sql(spark, tmp_path):
+    """Paths are all different here: the SQL leaves the order of equal ones open."""
+    urls = [None, "http://a/B.html", "http://a/a.html", None, "http://b/", "http://c/é", "http://b/a.html"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(rows(library.q_sections(spark, str(tmp_path)).select("section", "pos", "name", "path")), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"SELECT section, pos, name, path FROM ({queries.SQL['q_sections']})").fetchall(), key=repr)
